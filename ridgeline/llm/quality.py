@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.arrow import kept, with_arrow_columns
 
-LABELLERS = ["symbols", "shouting", "stutter", "table", "variety", "word_length", "short_words"]
+LABELLERS = ["decorated words", "marks", "shouting", "word ends", "stutter", "triples", "narrow windows", "table", "no small words"]
+# A statistic above the first bound is a vote for junk, below the second one for good.
+JUNK = {"decorated words": 0.15, "marks": 0.15, "shouting": 0.3, "word ends": 0.5, "stutter": 0.2, "triples": 0.1, "narrow windows": 0.6, "table": 0.15, "no small words": 0.92}
+GOOD = {"decorated words": 0.02, "marks": 0.06, "shouting": 0.05, "word ends": 0.35, "stutter": 0.03, "triples": 0.01, "narrow windows": 0.3, "table": 0.03, "no small words": 0.75}
+TRUST = 0.1
+"""Weight of the prior belief in the labellers, as a share of the documents."""
 DIMENSIONS = 1024
 """Hashed features."""
 FIT_ROWS = 20_000
@@ -44,16 +49,23 @@ class Reader:
     """Statistics and hashed features of a text; what depends on a word alone is remembered."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int, int, int]] = {}
-
-    def facts(self, word: str) -> tuple[int, int, int, int]:
-        """Flags packed for adding up, and the hashed shape."""
-        bare = any(map(str.isalnum, word))
-        shout = len(word) > 2 and word.isupper()
-        flags = bool(DECORATED.search(word)) | shout << 21 | (not bare) << 42
-        return (flags, len(word), len(word) <= 3 and bare, crc32(word_shape(word).encode()) % DIMENSIONS)
-
-    def look_up(self, text: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def facts(self, word: str) -> tuple[int, ...]:
+        """Decorated, all capitals, without letter or digit, ends in a mark, small; marks, length, hashed shape."""
+        plain = sum(map(str.isalnum, word))
+        return (
+            int(bool(DECORATED.search(word))),
+            int(len(word) > 2 and word.isupper()),
+            int(not plain),
+            int(not word[-1].isalnum()),
+            int(len(word) <= 3 and plain > 0),
+            len(word) - plain,
+            len(word),
+            crc32(word_shape(word).encode()) % DIMENSIONS,
+        )
+
+    def look_up(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
         words = text.split()
         memo = self.memo
         if len(memo) > MEMO_WORDS:
@@ -69,22 +81,22 @@ class Reader:
         n = len(words)
         if not n:
             return [0] * len(LABELLERS), {}
-        flags, chars, short, shapes = zip(*facts, strict=True)
-        packed = sum(flags)
-        symbols, shouting, bare = packed & 0x1FFFFF, packed >> 21 & 0x1FFFFF, packed >> 42
+        *columns, shapes = zip(*facts, strict=True)
+        decorated, shouting, bare, ends, small, marks, chars = map(sum, columns)
         stutter = sum(map(eq, words, words[1:])) / n
-        variety = len(set(words)) / n
-        rates = [symbols / n, shouting / n, stutter, bare / n]
-        votes = [-1 if r > 0.2 else 1 if r < 0.03 else 0 for r in rates]
-        votes.append((-1 if variety < 0.12 else 1 if variety > 0.3 else 0) if n >= 40 else 0)
-        mean = sum(chars) / n
-        votes.append(-1 if mean > 16 or mean < 1.5 else 1 if 3 <= mean <= 10 else 0)
-        votes.append((1 if sum(short) / n > 0.15 else -1 if sum(short) / n < 0.05 else 0) if n >= 20 else 0)
+        triples = sum(a == b == c for a, b, c in zip(words, words[1:], words[2:], strict=False)) / n if stutter else 0.0
+        windows = [words[k : k + 20] for k in range(0, max(n - 19, 1), 20)]
+        narrow = 1 - sum(len(set(w)) / len(w) for w in windows) / len(windows)
+        stats = {
+            "decorated words": decorated / n, "marks": marks / chars, "shouting": shouting / n, "word ends": ends / n,
+            "stutter": stutter, "triples": triples, "narrow windows": narrow, "table": bare / n, "no small words": 1 - small / n if n >= 20 else 0.6,
+        }
+        votes = [-1 if v > JUNK[k] else 1 if v < GOOD[k] else 0 for k, v in stats.items()]
         features: dict[int, float] = {}
-        each = np.bincount(np.array(shapes), minlength=0)
+        each = np.bincount(shapes)
         for k in np.flatnonzero(each).tolist():
             features[k] = float(each[k]) / n
-        for name, value in (("same as before", stutter), ("repeated", 1 - variety if n >= 40 else 0.0), ("marks only", bare / n), ("mean length", mean / 20), ("short", sum(short) / n)):
+        for name, value in stats.items():
             k = crc32(f"\0{name}".encode()) % DIMENSIONS
             features[k] = features.get(k, 0.0) + value
         return votes, features
@@ -114,24 +126,27 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
     """Expectation-maximisation over vote patterns.
 
     Returns the posterior of "good" for each pattern, and P(vote | class) as (class, labeller, vote
-    -1/0/1). Classes: 0 junk, 1 good. It starts from labellers that are right four times in five and
-    from mostly good documents; smoothing keeps every probability above zero.
+    -1/0/1). Classes: 0 junk, 1 good. Where it starts is also a prior belief, worth a share TRUST of the
+    documents: a good document seldom draws a vote for junk, and documents are mostly good. It keeps
+    the two classes from changing places or splitting documents some other way.
     """
     n, m = patterns.shape
-    start = np.array([[0.4, 0.4, 0.2], [0.02, 0.28, 0.7]])
-    table = np.repeat(start[:, None, :], m, axis=1)
-    prior = np.array([0.2, 0.8])
+    belief = np.array([[0.4, 0.3, 0.3], [0.01, 0.19, 0.8]])
+    table = np.repeat(belief[:, None, :], m, axis=1)
+    prior = start = np.array([0.2, 0.8])
     one_hot = np.eye(3)[patterns + 1]
     good = np.full(n, 0.5)
+    weight_of = TRUST * counts.sum() + 1
     for _ in range(rounds):
         logs = np.log(prior)[:, None] + np.einsum("nmv,cmv->cn", one_hot, np.log(table))
         logs -= logs.max(0)
         p = np.exp(logs)
         good, before = p[1] / p.sum(0), good
-        for c, share in enumerate((1 - good, good)):
-            weight = share * counts
-            table[c] = (np.einsum("n,nmv->mv", weight, one_hot) + 0.5) / (weight.sum() + 1.5)
-            prior[c] = (weight.sum() + 1) / (counts.sum() + 2)
+        shares = np.stack([(1 - good) * counts, good * counts])
+        for c in (0, 1):
+            own = weight_of * start[c]
+            table[c] = (np.einsum("n,nmv->mv", shares[c], one_hot) + own * belief[c]) / (shares[c].sum() + own)
+        prior = (shares.sum(1) + weight_of * start) / (counts.sum() + weight_of)
         if np.abs(good - before).max() < 1e-9:
             break
     return good, table
@@ -162,7 +177,7 @@ def fit_scorer(features: list[tuple[list[int], list[float]]], target: np.ndarray
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Weights of the scorer.
 
-    Vote patterns of all documents are counted in Spark; there are at most 3^7 of them, so the counts
+    Vote patterns of all documents are counted in Spark; there are at most 3^9 of them, so the counts
     fit the driver whatever the corpus. So does the bounded sample of feature vectors.
     """
     voted = votes(docs, id_col, text_col)
