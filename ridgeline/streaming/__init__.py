@@ -1 +1 @@
-"""Ridgeline streaming."""
+"""Streams of results."""
