@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,7 @@ d8 AS MATERIALIZED (SELECT tile_id, j, i, z, CASE WHEN best > 0 THEN CASE best W
 step(fd, di, dj) AS (VALUES (1, 1, 0), (2, 1, 1), (4, 0, 1), (8, -1, 1), (16, -1, 0), (32, -1, -1), (64, 0, -1), (128, 1, -1)),
 links AS MATERIALIZED (SELECT tile_id, j, i, j + dj AS dn_j, i + di AS dn_i, CASE WHEN di <> 0 AND dj <> 0 THEN sqrt(2) ELSE 1.0 END AS steps FROM d8 JOIN step USING (fd)),
 walk AS (SELECT tile_id, j AS sj, i AS si, j, i FROM d8 UNION ALL SELECT w.tile_id, w.sj, w.si, l.dn_j, l.dn_i FROM walk w JOIN links l ON w.tile_id = l.tile_id AND w.j = l.j AND w.i = l.i),
-area AS MATERIALIZED (SELECT tile_id, j, i, 100.0 * count(*) AS area FROM walk GROUP BY tile_id, j, i),
+area AS MATERIALIZED (SELECT tile_id, j, i, CAST(100 * count(*) AS DOUBLE) AS area FROM walk GROUP BY tile_id, j, i),
 flow AS MATERIALIZED (SELECT d8.*, area.area, nj, ni FROM d8 JOIN area USING (tile_id, j, i) JOIN box USING (tile_id))"""
 POINTS = "points AS (SELECT l_returnflag AS grp, l_extendedprice AS a, l_discount * pow(l_extendedprice, -0.45) AS s FROM lineitem), logs AS (SELECT grp, log10(a) AS x, log10(s) AS y, a, s FROM points WHERE a > 0 AND s > 0)"
 BINS = """ends AS (SELECT grp, min(x) AS lo, max(x) AS hi FROM logs GROUP BY grp HAVING count(*) >= 30 AND max(x) > min(x)),
@@ -40,13 +41,26 @@ bins AS (SELECT raw_bins.* FROM raw_bins JOIN used USING (grp) WHERE n >= least_
 RUNS = "runs AS (SELECT l_returnflag AS location, CAST(l_suppkey % 5 AS INTEGER) AS tile, CAST(l_linenumber AS DOUBLE) AS dx, l_extendedprice AS ks_mod, CASE WHEN l_quantity > 5 THEN l_quantity END AS ks_obs FROM lineitem)"
 
 
+def unsigned_zero(sql: str) -> str:
+    """Add 0.0 to every rounded value: DuckDB's round keeps the sign of a zero, Spark's does not."""
+    out, at = [], 0
+    for m in re.finditer(r"\bround\(", sql):
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append(sql[at:m.start()] + "(" + sql[m.start():end] + " + 0.0)")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def query(sql: str | None = None) -> Callable:
     """Register a query, with its SQL if SQL can say it."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = unsigned_zero(sql)
         return f
 
     return add
@@ -206,8 +220,8 @@ def centreline_steepness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CELLS}, v AS (SELECT tile_id, j, i FROM cells WHERE z > -1), side(dj, di) AS (VALUES (0, -1), (0, 1), (-1, 0), (1, 0))
-SELECT v.tile_id, v.j, v.i, w.j AS nj, w.i AS ni, 0.01 AS coefficient FROM v, side JOIN v w ON w.tile_id = v.tile_id AND w.j = v.j + dj AND w.i = v.i + di
-UNION ALL SELECT tile_id, j, i, j, i, -0.04 FROM v""")
+SELECT v.tile_id, v.j, v.i, w.j AS nj, w.i AS ni, CAST(0.01 AS DOUBLE) AS coefficient FROM v, side JOIN v w ON w.tile_id = v.tile_id AND w.j = v.j + dj AND w.i = v.i + di
+UNION ALL SELECT tile_id, j, i, j, i, CAST(-0.04 AS DOUBLE) FROM v""")
 def diffusion_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grids.matrix_cells(spark, sf_dir).withColumn("area", F.when(F.col("z") > -1, 1.0))
     return stencil.diffusion_stencil(cells, DX).select("tile_id", "j", "i", "nj", "ni", *rounded(6, "coefficient"))
@@ -396,7 +410,7 @@ TILE_SIZES = f"sizes AS (SELECT vec_id // {grids.TILE_ROWS} AS t, count(*) AS ny
 
 
 def model_sql(runs: int) -> str:
-    return f"WITH {TILE_SIZES} SELECT 'solved' AS \"check\", {runs} * cells AS n, 0 AS n_bad FROM total UNION ALL SELECT 'boundary', {runs} * edge, 0 FROM total"
+    return f"WITH {TILE_SIZES} SELECT 'solved' AS \"check\", {runs} * cells AS n, CAST(0 AS BIGINT) AS n_bad FROM total UNION ALL SELECT 'boundary', {runs} * edge, 0 FROM total"
 
 
 def run_scenarios(spark: SparkSession, model: str) -> DataFrame:
@@ -423,7 +437,7 @@ def _model_query(name: str, model: str, kind: str) -> None:
 for _name, _model, _kind in (("ad_solve", "ad", "d8"), ("ad_solve_dinf", "ad", "dinf"), ("threshold_solve", "threshold", "d8"), ("threshold_solve_dinf", "threshold", "dinf"), ("nonlinear_solve", "nonlinear", "d8"), ("nonlinear_solve_dinf", "nonlinear", "dinf")):
     _model_query(_name, _model, _kind)
 
-PLANFORM_SQL = "WITH s AS (SELECT 11 + 2 * (s_suppkey % 3) AS nx, 15 + s_suppkey % 5 AS ny FROM supplier) SELECT 'solved' AS \"check\", CAST(sum(nx * ny) AS BIGINT) AS n, 0 AS n_bad FROM s UNION ALL SELECT 'outlet', count(*), 0 FROM s"
+PLANFORM_SQL = "WITH s AS (SELECT 11 + 2 * (s_suppkey % 3) AS nx, 15 + s_suppkey % 5 AS ny FROM supplier) SELECT 'solved' AS \"check\", CAST(sum(nx * ny) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_bad FROM s UNION ALL SELECT 'outlet', count(*), 0 FROM s"
 
 
 def planform_checks(spark: SparkSession, sf_dir: str, no_flux: bool) -> DataFrame:
@@ -443,7 +457,7 @@ def planform_solve_noflux(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planform_checks(spark, sf_dir, True)
 
 
-@query(f"WITH {TILE_SIZES} SELECT 'raised' AS \"check\", cells AS n, 0 AS n_bad FROM total UNION ALL SELECT 'drains', cells - edge, 0 FROM total")
+@query(f"WITH {TILE_SIZES} SELECT 'raised' AS \"check\", cells AS n, CAST(0 AS BIGINT) AS n_bad FROM total UNION ALL SELECT 'drains', cells - edge, 0 FROM total")
 def fill_pits(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = stage(routing.fill_pits(grids.matrix_cells(spark, sf_dir)), "filled")
     near = stencil.eight_neighbours(filled, "filled", "f")
@@ -466,7 +480,7 @@ def channel_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BASE = {"m": 0.45, "u": 1e-4, "k": 1e-5, "d": 1e-2, "a_crit": 2000.0, "s_c": 1.27}
-CALIBRATED_SQL = f"WITH {TILE_SIZES} SELECT 'not worse' AS \"check\", tiles AS n, 0 AS n_bad FROM total"
+CALIBRATED_SQL = f"WITH {TILE_SIZES} SELECT 'not worse' AS \"check\", tiles AS n, CAST(0 AS BIGINT) AS n_bad FROM total"
 
 
 def calibration_checks(spark: SparkSession, sf_dir: str, what: str, bounds: dict, rounds: int) -> DataFrame:

@@ -37,4 +37,6 @@ def same_rows(df: DataFrame, sql: str, sf_dir: str) -> None:
     result = duck(sf_dir).execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(names)
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert sorted((n, kinds[t]) for n, t in df.dtypes) == sorted((d[0], str(d[1])) for d in result.description)
     assert rows_of(df.columns, [tuple(r) for r in got]) == rows_of(names, result.fetchall())
