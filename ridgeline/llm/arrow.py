@@ -22,11 +22,11 @@ def kept(key: object, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
-def pieces(batch: pa.RecordBatch, text_col: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no piece holds much more than ``most_bytes`` of text; bounds memory per step."""
+def pieces(batch: pa.RecordBatch, text_col: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no piece holds much more than ``most_bytes``; bounds memory per step."""
     col = batch.column(batch.schema.get_field_index(text_col))
     if pa.types.is_list(col.type):
-        lengths = pc.list_value_length(col)
+        lengths = pc.multiply(pc.list_value_length(col), 16)  # numbers weigh more as Python objects
     else:
         lengths = pc.binary_length(col)
     lengths = lengths.fill_null(0).to_pylist()

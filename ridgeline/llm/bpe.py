@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.arrow import kept, with_arrow_columns
 
 NONE = np.int64(1) << 62
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 """Words a task remembers; it forgets all of them when there are more."""
 MEMO_CHARS = 48
 """Longer words are not remembered."""
@@ -71,13 +71,13 @@ class Vocabulary:
         at = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word. Words are grouped by length (powers of two) and stepped together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as 32-bit numbers. Words are grouped by length (powers of two) and stepped together."""
+        out = [b""] * len(words)
         groups: dict[int, list[int]] = {}
         for n, word in enumerate(words):
             if len(word) < 2:
-                out[n] = self.byte_ids[np.frombuffer(word, np.uint8)].astype(np.int32)
+                out[n] = self.byte_ids[np.frombuffer(word, np.uint8)].astype(np.int32).tobytes()
             else:
                 groups.setdefault(1 << (len(word) - 1).bit_length(), []).append(n)
         for width, members in groups.items():
@@ -88,7 +88,7 @@ class Vocabulary:
                     out[n] = ids
         return out
 
-    def _encode(self, width: int, words: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, width: int, words: list[bytes]) -> list[bytes]:
         n, row = len(words), width + 2
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
         length = np.fromiter(map(len, words), np.int64, n)
@@ -136,8 +136,9 @@ class Vocabulary:
                     child = leaves + 2 * paths[p]
                     tree[leaves + paths[p]] = np.minimum(tree[child], tree[child + 1])
         sym = sym.reshape(n, row)
-        counts = (sym >= 0).sum(1)
-        return np.split(sym[sym >= 0].astype(np.int32), np.cumsum(counts)[:-1])
+        flat = sym[sym >= 0].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum((sym >= 0).sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Encoder:
@@ -166,19 +167,17 @@ class Encoder:
             self.memo.clear()
         memo = self.memo
         each = [self.words(t) for t in texts]
-        fresh = list({w for ws in each for w in ws if w not in memo and w not in self.added})
-        known = self.vocabulary.encode_words([w.encode() for w in fresh])
         memo.update(self.added)
-        memo.update(zip(fresh, (ids.tobytes() for ids in known), strict=True))
-        out = [np.frombuffer(b"".join([memo[w] for w in ws]), np.int32) for ws in each]
+        fresh = list(set().union(*each).difference(memo))
+        memo.update(zip(fresh, self.vocabulary.encode_words([w.encode() for w in fresh]), strict=True))
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.int32) for ws in each]
         for w in fresh:
             if len(w) > MEMO_CHARS:
                 del memo[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
-        table = self.vocabulary.token_bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def _vocabulary(spark, path: str):
