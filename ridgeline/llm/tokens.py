@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.arrow import kept, with_arrow_columns
 
 MARK = "▁"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 """Words a task remembers; it forgets all of them when there are more."""
 MEMO_PAIRS = 1_000_000
 LAST = float("-inf")
@@ -113,7 +113,7 @@ class PrefixCounter:
         made = min(own, score[x] if len(x) > 1 else own, score[y] if len(y) > 1 else own)
         return made > x_up and made >= y_up
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Run the programme over words (marks, then characters without marks) and remember packed counts.
 
         Words go in sorted order: what a word shares with the one before it is not computed again."""
@@ -165,8 +165,8 @@ class PrefixCounter:
             self.memo.clear()
         memo = self.memo
         words = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for ws in words for w in ws if w not in memo}
-        self.learn(list(fresh))
+        fresh = set().union(*words).difference(memo)
+        self.learn(fresh)
         out = [self._add_up(ws) for ws in words]
         for w in fresh:
             if len(w) > MEMO_CHARS:
@@ -176,7 +176,7 @@ class PrefixCounter:
     def _add_up(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0, dtype=np.int32)
-        flat = np.frombuffer(b"".join([self.memo[w] for w in words]), dtype=np.int32)
+        flat = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), dtype=np.int32)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         totals = flat[np.cumsum(lengths) - 1].astype(np.int64)
         before = np.cumsum(totals) - totals
