@@ -9,9 +9,9 @@ registers, corrected for the collisions that 16 bits cause, estimate the Jaccard
 whose estimate is far too low go, all others are confirmed on full sets.
 
 Equal sets are one class from the start. Within a bucket of a band, members are compared with one hub
-instead of with each other; what is then in one component needs no further comparison. Rounds with
-other hubs follow while pairs between components are many, then all remaining pairs are compared. So
-no link between components is lost, and groups of thousands cost about a pair a member.
+(the one that shares most buckets with others, so the most central) instead of with each other; what is then in one component needs no further comparison. Members still
+in different components are compared through what they have outside their hubs, which is exact and
+small (see :func:`links_across`). So groups of thousands cost about a pair a member.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from ridgeline.session import stage, unstage
 
 BANDS, ROWS = 32, 4
 MANTISSA = 10
-STAR_ROUNDS = 4
-"""Rounds with hubs before all remaining pairs are compared."""
 BLOCK = 2048
 MEMO_WORDS = 300_000
 
@@ -160,55 +158,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def similar_classes(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Components of classes under exact links: (node, component) for linked representatives."""
     banded = classes.select(F.col("rep"), F.posexplode("bands").alias("band", "key"))
-    full = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").select("band", "key")
+    full = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = stage(banded.join(full, ["band", "key"]), "members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = stage(full_sets(texts.join(wanted, "id", "left_semi"), "id", "text", words), "sets")
-    floor = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))
+    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    hubs = members.join(degree, "rep").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("best"))
+    hubs = hubs.select("band", "key", (-F.col("best.minus")).alias("hub"))
     known = classes.select("rep", "n", "bands")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that are links: estimate first, then full sets."""
-        left, right = (known.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").where(
-            (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate(F.col("bands_a"), F.col("bands_b"), F.col("n_a"), F.col("n_b")) >= floor)
-        )
-        near = near.select("a", "b", "n_a", "n_b")
-        for x in "ab":
-            near = near.join(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")), x)
-        near = near.where((F.size("s_a") == F.col("n_a")) & (F.size("s_b") == F.col("n_b")))  # rows may share an id
-        common = F.size(F.array_intersect("s_a", "s_b"))
-        return near.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
-
-    links = parts = None
-    seen = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.select("band", "key", "rep", F.col("rep").alias("component")) if parts is None else members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-        if turn:
-            apart = placed.groupBy("band", "key", "component").agg(F.count("*").alias("c")).groupBy("band", "key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("open")).where("open > 0")
-            apart = stage(apart, "open")
-            open_pairs = apart.agg(F.sum("open")).first()[0] or 0
-            if not open_pairs:
-                break
-            placed = placed.join(apart.select("band", "key"), ["band", "key"])
-        if turn and (turn == STAR_ROUNDS or open_pairs <= 2 * members.count()):
-            one, two = (placed.select("band", "key", F.col("rep").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-            pairs = one.join(two, ["band", "key"]).where("a < b AND c_a <> c_b")
-            last = True
-        else:
-            hubs = placed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("component").alias("at"))).alias("s")).select("band", "key", "s.hub", "s.at")
-            pairs = placed.join(hubs, ["band", "key"]).where("rep <> hub" + (" AND component <> at" if turn else "")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-            last = False
-        pairs = pairs.select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(confirm(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        parts = stage(connected_components(links), "components")
-        if last:
-            break
+    hubbed = stage(members.select("band", "key", "rep").join(hubs, ["band", "key"]), "hubbed")
     unstage(members)
-    unstage(sets)
-    return parts
+    wanted = hubbed.select(F.col("rep").alias("id")).distinct()
+    sets = stage(full_sets(texts.join(wanted, "id", "left_semi"), "id", "text", words), "sets")
+    first = hubbed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    links = stage(confirm(plausible(first, known, percent), sets, percent), "links")
+    parts = stage(connected_components(links), "components")
+    more = links_across(hubbed, parts, known, sets, percent)
+    final = stage(connected_components(links.unionByName(more)), "components")
+    for table in (hubbed, sets, parts):
+        unstage(table)
+    return final
+
+
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) whose sizes allow a link and whose estimate is not six deviations too low."""
+    share = percent / 100
+    floor = share - 6 * math.sqrt(share * (1 - share) / (BANDS * ROWS))
+    left, right = (known.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}")) for x in "ab")
+    met = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return met.where(estimate(F.col("bands_a"), F.col("bands_b"), F.col("n_a"), F.col("n_b")) >= floor).select("a", "b", "n_a", "n_b")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Append the full sets s_a and s_b (of the right size, since rows may share an id)."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")), x)
+    return pairs.where((F.size("s_a") == F.col("n_a")) & (F.size("s_b") == F.col("n_b")))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, n_a, n_b) that are links on full sets."""
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return with_sets(pairs, sets).where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+
+
+def links_across(members: DataFrame, parts: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between members of one bucket that comparison with its hub has left in different
+    components. members: (band, key, hub, rep).
+
+    For members x and y of a hub h, |x & y| <= |y & h| + |(x - h) & (y - h)|, and a link needs
+    |x & y| >= t = p (|x| + |y|) / (100 + p). So y shares at least t - |y & h| of its shingles outside h
+    with x, and any |y - h| - (t - |y & h|) + 1 of them contain one that x has too: the rarest among
+    the hub's members are looked up. t depends on |x|, so members are looked up by classes of size.
+    Where |y & h| reaches t by itself (x must then be shorter than h), x and y are compared directly.
+    That is exact, and a few outliers beside a group of thousands cost about a row for each shingle
+    outside the hub, not one for each pair.
+    """
+    component = lambda x: F.coalesce(f"part_{x}", x)
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+    n_of = lambda x: known.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
+    placed = members.withColumnRenamed("rep", "a").withColumnRenamed("hub", "b").join(of("a"), "a", "left").withColumn("c_a", component("a"))
+    several = placed.groupBy("band", "key").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high")).where("low < high").select("band", "key")
+    asked = placed.join(several, ["band", "key"]).where("a <> b").select("a", "b", "c_a").distinct()
+    asked = asked.join(of("b"), "b", "left").withColumn("c_b", component("b")).drop("part_b").join(n_of("a"), "a").join(n_of("b"), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    met = stage(with_sets(asked, sets).select("a", "b", "c_a", "c_b", "n_a", "n_b", common.alias("common"), F.array_except("s_a", "s_b").alias("beyond")), "met")
+    hub_links = met.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+
+    grade = F.floor(F.log(F.col("n_a").cast("double")) / math.log(1.02))
+    xs = met.select("b", F.col("a").alias("x"), F.col("c_a").alias("c_x"), F.col("n_a").alias("n_x"), grade.alias("grade"), "beyond")
+    ys = met.where("c_a <> c_b").select("b", F.col("a").alias("y"), F.col("c_a").alias("c_y"), F.col("n_a").alias("n_y"), "common", F.size("beyond").alias("outside"), "beyond")
+    grades = xs.groupBy("b", "grade").agg(F.min("n_x").alias("least"), F.max("n_x").alias("most"))
+    fits = (100 * F.col("most") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("least"))
+    shortest = F.greatest(F.col("least"), F.ceil(percent * F.col("n_y") / 100))
+    need = F.ceil(percent * (F.col("n_y") + shortest) / (100 + percent)) - F.col("common")
+    wanted = ys.drop("beyond").join(grades, "b").where(fits).withColumn("need", need).where("need <= outside")
+    wanted = stage(wanted.select("b", "y", "c_y", "n_y", "common", "grade", "need", (F.col("outside") - F.greatest("need", F.lit(1)) + 1).cast("int").alias("first")), "wanted")
+
+    theirs = xs.select("b", "grade", "x", "c_x", F.explode("beyond").alias("shingle"))
+    counts = xs.select("b", F.explode("beyond").alias("shingle")).groupBy("b", "shingle").agg(F.count("*").alias("times"))
+    hopeful = ys.join(wanted.select("b", "y").distinct(), ["b", "y"], "left_semi").select("b", "y", F.explode("beyond").alias("shingle"))
+    rarest = hopeful.join(counts, ["b", "shingle"]).groupBy("b", "y").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("rarest"))
+    sought = wanted.join(rarest, ["b", "y"]).select("b", "y", "c_y", "grade", F.explode(F.slice("rarest", F.lit(1), F.col("first"))).alias("r")).select("b", "y", "c_y", "grade", "r.shingle")
+    shared = sought.join(theirs, ["b", "grade", "shingle"]).where("c_x <> c_y").select("x", "y")
+    reach = (100 + percent) * F.col("common") - percent * F.col("n_y")
+    short = wanted.where("need <= 0").join(xs.drop("beyond"), ["b", "grade"]).where((F.col("c_x") != F.col("c_y")) & (percent * F.col("n_x") <= reach)).select("x", "y")
+    pairs = shared.unionByName(short).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = stage(pairs, "pairs")
+    found = stage(confirm(plausible(pairs, known, percent), sets, percent).unionByName(hub_links), "links")
+    for table in (met, wanted, pairs):
+        unstage(table)
+    return found
