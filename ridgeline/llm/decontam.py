@@ -35,26 +35,35 @@ def hashes(text: Column) -> Column:
 
 
 def seeds(df: DataFrame, at: str) -> DataFrame:
-    """A row for each window of ``w`` and mask: the window's start ``at`` and the ``key`` of kept words."""
+    """A row for each window of ``w`` and mask: the window's start ``at`` and the ``key`` of kept words.
+
+    The row is made and hashed within one span of generated code; the array passes by reference."""
     count = F.size("w") - (WINDOW - 1)
     steps = F.when(count > 0, F.sequence(F.lit(0), count * len(MASKS) - 1))
     rows = df.withColumn("k", F.explode(steps))
-    mask = F.col("k") % len(MASKS)
-    start = F.floor(F.col("k") / len(MASKS)).cast("int")
+    mask, start = F.col("k") % len(MASKS), F.expr(f"CAST(k div {len(MASKS)} AS INT)")
     block = lambda side: F.get(F.array(*(F.lit(BLOCK * m[side]) for m in MASKS)), mask)
-    rows = rows.withColumn("mask", mask).withColumn(at, start).withColumn("b0", start + block(0)).withColumn("b1", start + block(1))
+    rows = rows.select("*", mask.alias("mask"), start.alias(at)).select("*", (F.col(at) + block(0)).alias("b0"), (F.col(at) + block(1)).alias("b1"))
     kept = [F.get("w", F.col(b) + i) for b in ("b0", "b1") for i in range(BLOCK)]
     return rows.withColumn("key", F.xxhash64("mask", *kept)).drop("k", "b0", "b1")
 
 
 def matched_windows(docs: DataFrame, items: DataFrame, few: bool) -> DataFrame:
-    """(doc, item, at) of verified windows; docs and items have their word hashes in w and v."""
-    own = seeds(items.select("item", F.col("v").alias("w")), "j").select("item", "mask", "key", "j", F.col("w").alias("v"))
-    hit = seeds(docs, "i").join(F.broadcast(own) if few else own, ["mask", "key"])
-    same = [(F.get("w", F.col("i") + n) == F.get("v", F.col("j") + n)).cast("int") for n in range(WINDOW)]
-    whole = [sum(same[b * BLOCK + 1 : (b + 1) * BLOCK], same[b * BLOCK]) == BLOCK for b in range(BLOCKS)]
+    """(doc, item, at) of verified windows; docs and items have their word hashes in w and v.
+
+    A window that several masks find counts once, for the first mask whose blocks are both whole."""
+    cut = lambda at: F.slice("w", F.col(at) + 1, WINDOW)
+    own = seeds(items.select("item", F.col("v").alias("w")), "j").select("item", "key", cut("j").alias("v"))  # the key holds the mask
+    theirs = seeds(docs, "i")
+    if few:  # the words of a window are cut out after the join, in the same span of code, for hits only
+        hit = theirs.join(F.broadcast(own), "key").select("doc", "item", "i", "mask", cut("i").alias("u"), "v")
+    else:
+        hit = theirs.select("doc", "i", "mask", "key", cut("i").alias("u")).join(own, "key")
+    hit = hit.withColumn("same", F.explode(F.array(F.zip_with("u", "v", lambda a, b: (a == b).cast("int")))))  # stays above the join
+    total = lambda start, length: F.aggregate(F.slice("same", start + 1, length), F.lit(0), lambda a, x: a + x)
+    whole = [total(b * BLOCK, BLOCK) == BLOCK for b in range(BLOCKS)]
     first = F.coalesce(*(F.when(whole[a] & whole[b], F.lit(n)) for n, (a, b) in enumerate(MASKS)))
-    verified = hit.where((sum(same[1:], same[0]) >= WINDOW - SUBSTITUTIONS) & (F.col("mask") == first))
+    verified = hit.where((total(0, WINDOW) >= WINDOW - SUBSTITUTIONS) & (F.col("mask") == first))
     return verified.select("doc", "item", "i", F.lit(WINDOW).alias("size"))
 
 
