@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +30,14 @@ DIMENSIONS = 1024
 """Hashed features."""
 FIT_ROWS = 20_000
 """Documents that train the scorer, chosen by a hash of their id; everything else uses all rows."""
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
+JUNK_BOUNDS = np.array([JUNK[k] for k in LABELLERS])
+GOOD_BOUNDS = np.array([GOOD[k] for k in LABELLERS])
+STATISTICS = [crc32(f"\0{k}".encode()) % DIMENSIONS for k in LABELLERS]
+
+PLAIN_WORDS = 5
+"""Every text is judged as if it had this many plain words more, so a few words don't decide alone."""
+PLAIN = np.full(PLAIN_WORDS, crc32(b"a") % DIMENSIONS, np.int32)
 
 DECORATED = re.compile(r"([*$&%#@^~=_+<>|\\])\1")
 SHAPES = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"), (re.compile(r"\s+"), " ")]
@@ -46,12 +52,14 @@ def word_shape(word: str) -> str:
 
 
 class Reader:
-    """Statistics and hashed features of a text; what depends on a word alone is remembered."""
+    """Statistics of texts and the hashed shapes of their words; what depends on a word alone is remembered."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.number: dict[str, int] = {}
+        self.facts = np.zeros((0, 8), np.int32)
 
-    def facts(self, word: str) -> tuple[int, ...]:
+    @staticmethod
+    def of_word(word: str) -> tuple[int, ...]:
         """Decorated, all capitals, without letter or digit, ends in a mark, small; marks, length, hashed shape."""
         plain = sum(map(str.isalnum, word))
         return (
@@ -65,55 +73,71 @@ class Reader:
             crc32(word_shape(word).encode()) % DIMENSIONS,
         )
 
-    def look_up(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
-        words = text.split()
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = self.facts(w)
-        return words, [memo[w] for w in words]
-
-    def read(self, text: str) -> tuple[list[int], dict[int, float]]:
-        """Votes of the labellers, and hashed features with their values."""
-        words, facts = self.look_up(text)
+    def read(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """For each text its statistics (in the order of LABELLERS) and its words' shapes; None without words."""
+        if len(self.number) > MEMO_WORDS:
+            self.__init__()
+        split = [(t or "").split() for t in texts]
+        fresh = list(set().union(*split).difference(self.number))
+        if fresh:
+            first = len(self.number)
+            self.facts = np.concatenate([self.facts, np.array([self.of_word(w) for w in fresh], np.int32)])
+            self.number.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        return [self._statistics(words) if words else None for words in split]
+
+    def _statistics(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n = len(words)
-        if not n:
-            return [0] * len(LABELLERS), {}
-        *columns, shapes = zip(*facts, strict=True)
-        decorated, shouting, bare, ends, small, marks, chars = map(sum, columns)
-        stutter = sum(map(eq, words, words[1:])) / n
-        triples = sum(a == b == c for a, b, c in zip(words, words[1:], words[2:], strict=False)) / n if stutter else 0.0
-        windows = [words[k : k + 20] for k in range(0, max(n - 19, 1), 20)]
-        narrow = 1 - sum(len(set(w)) / len(w) for w in windows) / len(windows)
-        stats = {
-            "decorated words": decorated / n, "marks": marks / chars, "shouting": shouting / n, "word ends": ends / n,
-            "stutter": stutter, "triples": triples, "narrow windows": narrow, "table": bare / n, "no small words": 1 - small / n if n >= 20 else 0.6,
-        }
-        votes = [-1 if v > JUNK[k] else 1 if v < GOOD[k] else 0 for k, v in stats.items()]
-        features: dict[int, float] = {}
-        each = np.bincount(shapes)
-        for k in np.flatnonzero(each).tolist():
-            features[k] = float(each[k]) / n
-        for name, value in stats.items():
-            k = crc32(f"\0{name}".encode()) % DIMENSIONS
-            features[k] = features.get(k, 0.0) + value
-        return votes, features
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, n)
+        facts = self.facts[at]
+        decorated, shouting, bare, ends, small, marks, chars = facts[:, :7].sum(0, dtype=np.int64).tolist()
+        same = at[1:] == at[:-1]
+        triples = int((same[1:] & same[:-1]).sum())
+        blocks = np.sort(at[: n - n % 20].reshape(-1, 20), axis=1) if n >= 20 else np.sort(at)[None]
+        narrow = float((blocks[:, 1:] == blocks[:, :-1]).sum()) / blocks.size
+        m, letters = n + PLAIN_WORDS, chars + 5 * PLAIN_WORDS
+        stats = [decorated / m, marks / letters, shouting / m, ends / m, int(same.sum()) / m, triples / m, narrow * n / m, bare / m, 1 - small / n if n >= 20 else 0.6]
+        return np.array(stats), np.concatenate([facts[:, 7], PLAIN])
+
+
+def vote(stats: np.ndarray) -> list[int]:
+    """-1 above a labeller's bound for junk, 1 below its bound for good, else 0."""
+    return np.where(stats > JUNK_BOUNDS, -1, np.where(stats < GOOD_BOUNDS, 1, 0)).tolist()
+
+
+def features(stats: np.ndarray, shapes: np.ndarray) -> tuple[list[int], list[float]]:
+    """Hashed features: the share of each word shape, and the statistics."""
+    index, count = np.unique(shapes, return_counts=True)
+    value = dict(zip(index.tolist(), (count / len(shapes)).tolist(), strict=True))
+    for k, v in zip(STATISTICS, stats.tolist(), strict=True):
+        value[k] = value.get(k, 0.0) + v
+    return list(value), list(value.values())
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, votes (one for each of LABELLERS) and the hashed features (index, value) of every row."""
+    """id and votes (one for each of LABELLERS; none but zeros without words) of every row."""
+
+    def setup() -> Callable[[list[str | None]], list[pa.Array]]:
+        reader = kept("quality reader", Reader)
+        none = [0] * len(LABELLERS)
+        return lambda texts: [pa.array([vote(r[0]) if r else none for r in reader.read(texts)], pa.list_(pa.int8()))]
+
+    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
+    return with_arrow_columns(rows, text_col, "votes array<tinyint>", setup).drop(text_col)
+
+
+def sample_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, votes and the hashed features (feature, value) of every row."""
 
     def setup() -> Callable[[list[str | None]], list[pa.Array]]:
         reader = kept("quality reader", Reader)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            read = [reader.read(t or "") for t in texts]
+            read = reader.read(texts)
+            each = [features(*r) if r else ([], []) for r in read]
             return [
-                pa.array([v for v, _ in read], pa.list_(pa.int8())),
-                pa.array([list(f) for _, f in read], pa.list_(pa.int32())),
-                pa.array([list(f.values()) for _, f in read], pa.list_(pa.float64())),
+                pa.array([vote(r[0]) if r else [0] * len(LABELLERS) for r in read], pa.list_(pa.int8())),
+                pa.array([f for f, _ in each], pa.list_(pa.int32())),
+                pa.array([v for _, v in each], pa.list_(pa.float64())),
             ]
 
         return work
@@ -191,7 +215,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_r
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(fit_rows).agg(F.max("h")).first()[0]
     if chosen is None:
         return np.zeros(DIMENSIONS + 1)
-    sample = votes(docs.where(F.xxhash64(id_col) <= chosen), id_col, text_col).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).collect()
+    sample = sample_features(docs.where(F.xxhash64(id_col) <= chosen), id_col, text_col).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).collect()
     target = np.array([posterior.get(tuple(r["votes"]), 0.5) for r in sample])
     return fit_scorer([(r["feature"], r["value"]) for r in sample], target)
 
@@ -210,15 +234,12 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def setup() -> Callable[[list[str | None]], list[pa.Array]]:
         reader, w = kept("quality reader", Reader), shared.value
 
-        def one(text: str | None) -> float:
-            _, features = reader.read(text or "")
-            if not features:
-                return 0.0
-            z = w[-1] + sum(w[k] * v for k, v in features.items())
+        def one(stats: np.ndarray, shapes: np.ndarray) -> float:
+            z = w[-1] + w[shapes].mean() + w[STATISTICS] @ stats
             return round(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))), 6)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            scores = [one(t) for t in texts]
+            scores = [one(*r) if r else 0.0 for r in reader.read(texts)]
             return [pa.array(scores, pa.float64()), pa.array([s >= 0.5 for s in scores], pa.bool_())]
 
         return work
