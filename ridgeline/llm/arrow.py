@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ridgeline.session import use_package
@@ -16,8 +17,9 @@ _KEPT: dict = {}
 
 
 def kept(key: object, make: Callable[[], object]) -> object:
-    """What a Python worker keeps from task to task (a model with its bounded memory)."""
+    """What a Python worker keeps from task to task: the latest model with its bounded memory."""
     if key not in _KEPT:
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -40,10 +42,19 @@ def pieces(batch: pa.RecordBatch, text_col: str, most_bytes: int = 2 << 20) -> I
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Let no Arrow batch hold more than 8 MB: long texts come in fewer rows, and a task's memory stays bounded."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(name)))
+    if not 0 < now <= most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
 def with_arrow_columns(df: DataFrame, text_col: str, new: str, setup: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
     """Append the columns of the DDL string ``new``; ``setup()`` runs once a task and returns a function
     from a list of the column's values (null: None) to one Arrow array for each new column."""
     use_package(df.sparkSession)
+    small_batches(df.sparkSession)
     added = T.StructType.fromDDL(new)
     schema = T.StructType([*df.schema.fields, *added.fields])
 
@@ -53,5 +64,7 @@ def with_arrow_columns(df: DataFrame, text_col: str, new: str, setup: Callable[[
             for batch in pieces(whole, text_col):
                 values = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(values)], names=schema.names)
+                del values
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.arrow import kept, with_arrow_columns
 
 NONE = np.int64(1) << 62
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 """Words a task remembers; it forgets all of them when there are more."""
 MEMO_CHARS = 48
 """Longer words are not remembered."""
