@@ -1,7 +1,8 @@
 """License scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each normalised sentence is looked up in a table of known licence
-sentences; the identifiers, in order, are matched against ordered licence rules. A rule is a run of
+A text is cut into pieces at line ends and at marks before a blank; a run of pieces that spells a
+sentence of a table of known licence sentences is that sentence, however it is wrapped, commented out
+or numbered; the identifiers, in order, are matched against ordered licence rules. A rule is a run of
 adjacent identifiers. Rules are tried in the order given (longest first), and what one rule has
 matched no later rule sees.
 
@@ -11,6 +12,8 @@ are parameters with a few dozen entries that become literals of the plan; their
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,19 +73,50 @@ RULES: list[tuple[str, list[str]]] = [
 
 END = r"([.!?:;])[ \t\r\n\f]+"
 PUNCTUATION = r"[] \t\r\f\"'(),:;/*#<>_\[{}|~=&%$@!?\\-]+"
+MARK, FOUND = "\x02", "\x03"
+"""Stand behind a list marker, and around a known sentence; both are taken out of texts first."""
 
+COMMENT_WORDS = {"c", "dnl", "rem"}
+"""Begin comment lines in Fortran, M4 and Basic; other comment signs are punctuation."""
 
-def sentences(text: Column) -> Column:
-    """The normalised, non-empty sentences of a text, in order.
+MARKER = r"(?dm)^([^\p{L}\p{N}\n]*+(?:(?:c|dnl|rem)[ \t][^\p{L}\p{N}\n]*+)?(?:[0-9]{1,3}(?:\.[0-9]{1,3}){0,3}|[a-z]|[ivx]{2,5}))[.:)\]]+(?=[ \t\r\f]|$)"
+NO_WORD = r"[^\p{L}\p{N}]*"
+GAP = rf"{MARK}?(?: |\n{NO_WORD})"
+def pieces(text: Column) -> Column:
+    """The normalised, non-empty pieces of a text, in order; list markers end with MARK.
 
-    A sentence ends at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, or at a line end.
+    A piece ends at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, or at a line end.
     Lower-cased; runs of punctuation and blanks become one space; outer blanks and full stops go.
     """
-    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), END, "$1\n")
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARK + FOUND, "\x01\x01")
+    cut = F.regexp_replace(F.regexp_replace(plain, END, "$1\n"), MARKER, f"$1{MARK}")
     flat = F.regexp_replace(cut, PUNCTUATION, " ")
     return F.filter(F.transform(F.split(flat, "\n"), lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != "")
 
 
+def identifiers(cut: Column, known: dict[str, str]) -> Column:
+    """``<id>`` for each known sentence and ``.`` for each stretch of other words, in order, as one string.
+
+    A known sentence begins with a piece, behind a list marker or not, and ends with a piece. Within it
+    any piece may end: a line, or a mark that the table leaves out ("free software: you can"). The
+    longest sentence counts.
+    """
+    if not known:
+        return F.lit(".")
+    text = F.concat(F.lit("\n"), F.array_join(cut, "\n"), F.lit("\n"))
+    if words := COMMENT_WORDS - {w for s in known.values() for w in s.split()}:
+        text = F.regexp_replace(text, rf"(?<=\n)(?:{'|'.join(sorted(words))})(?: |(?=\n))", "")
+    spelled = "|".join(GAP.join(map(re.escape, s.split(" "))) for s in sorted(known.values(), key=len, reverse=True))
+    held = F.regexp_replace(text, rf"\n(?:[0-9a-z.]+{MARK}[ \n])?{NO_WORD}({spelled}){MARK}?(?=\n)", f"\n{FOUND}$1{FOUND}")
+    table = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, f"<{i}>")])
+
+    def name(s: Column, k: Column) -> Column:
+        other = F.when(F.regexp_like(s, F.lit(r"[\p{L}\p{N}]")), ".").otherwise("")
+        return F.when(k % 2 == 1, F.coalesce(table[F.regexp_replace(s, GAP, " ")], F.lit("."))).otherwise(other)
+
+    return F.array_join(F.transform(F.split(held, FOUND), name), "")
+
+
 def check_tables(known: dict[str, str], rules: list[tuple[str, list[str]]]) -> None:
     """Refuse a sentence table too large for a literal, and rules that name unknown sentences."""
     if len(known) > MAX_SENTENCES:
@@ -97,15 +131,14 @@ def check_tables(known: dict[str, str], rules: list[tuple[str, list[str]]]) -> N
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """One row per input row: id, n_sentences, sentence_ids, licenses, n_unmatched.
 
-    sentence_ids: recognised identifiers in order, joined by commas. licenses: the licence of each
+    n_sentences: pieces of the text, so a wrapped sentence counts once a line. sentence_ids: recognised identifiers in order, joined by commas. licenses: the licence of each
     matched rule in text order, joined by commas. n_unmatched: recognised sentences that no rule used.
     A null or empty text has no sentence and empty strings. Repeated rows each get their row; other
     columns are ignored, whatever their names.
     """
     check_tables(known, rules)
-    table = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, f"<{i}>")])
-    found = docs.select(F.col(id_col).alias(id_col), sentences(F.col(text_col)).alias("_s"))
-    found = found.select(id_col, F.size("_s").cast("long").alias("n_sentences"), F.array_join(F.transform("_s", lambda s: F.coalesce(table[s], F.lit("."))), "").alias("_ids"))
+    found = docs.select(F.col(id_col).alias(id_col), pieces(F.col(text_col)).alias("_s"))
+    found = found.select(id_col, F.size("_s").cast("long").alias("n_sentences"), identifiers(F.col("_s"), known).alias("_ids"))
     matched = F.col("_ids")
     for licence, ids in rules:
         matched = F.replace(matched, F.lit("".join(f"<{i}>" for i in ids)), F.lit(f"[{licence}]"))
@@ -121,7 +154,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def scan_sql(table: str = "documents", known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> str:
-    """The same scan as DuckDB SQL."""
+    """The scan as DuckDB SQL, for texts whose known sentences are pieces of their own: not wrapped, not numbered."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     matched = "ids"
     for licence, ids in rules:

@@ -52,6 +52,66 @@ def test_license_rules_take_adjacent_sentences_longest_first(spark, make):
         licenses.check_tables({"a": "x"}, [("L", ["b"])])
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_numbered_and_commented_licences_count(spark, make):
+    flat = lambda t: " ".join(t.split())
+    commented = lambda t, sign: "\n".join(f"{sign} {line}".rstrip() for line in t.splitlines())
+    listed = lambda t, a, b, c: t.replace("1. ", a).replace("2. ", b).replace("3. ", c)
+    bsd = "LicenseRef-all-rights-reserved,BSD-3-Clause"
+    cases = [(MIT, "MIT,MIT"), (GPL, "GPL-3.0-or-later"), (BSD, bsd)]
+    want = []
+    for text, names in cases:
+        want += [(text, names), (text.replace("\n", "\r\n"), names)] + [(commented(text, sign), names) for sign in (" *", "#", "//", ";;", "%", "--", "dnl", "REM", "C")]
+    want += [(flat(GPL), "GPL-3.0-or-later"), (flat(BSD.split("reserved.")[1]), "BSD-3-Clause"), (BSD.split("3. ")[0], bsd.replace("3", "2"))]
+    want += [(listed(BSD, *m), bsd) for m in (("a) ", "b) ", "c) "), ("(1) ", "(2) ", "(3) "), ("i. ", "ii. ", "iii. "), ("* ", "* ", "* "), ("\u2022 ", "\u2022 ", "\u2022 "))]
+    want += [("This work is licensed under the GNU General Public License version\n3.\n", "GPL-3.0-only"), ("a MIT license", ""), ("MIT License and\nmore", ""), (BSD.replace("2. ", "Not so. 2. "), bsd.split(",")[0])]
+    rows = licenses.scan_licenses(make(*enumerate(t for t, _ in want))).collect()
+    got = {r["doc_id"]: r["licenses"] for r in rows}
+    assert [(t, got[k]) for k, (t, _) in enumerate(want)] == want
+
+
 SP = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 COUNTER = tokens.PrefixCounter(tokens.model_pieces(tokens.read_file(PIECES)))
 
