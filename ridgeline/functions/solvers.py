@@ -57,9 +57,17 @@ def residual(c: np.ndarray, b: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def minimise(f: Callable[[np.ndarray], float], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 60, tol: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Nelder and Mead's simplex method held inside a box; values that are not finite count as infinite.
+    """The best point that ``search`` finds, and its value."""
+    return search(f, start, low, high, rounds, tol)[:2]
 
-    Points met before are not evaluated again."""
+
+def search(f: Callable[[np.ndarray], float], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int, tol: float = 1e-4) -> tuple[np.ndarray, float, bool]:
+    """Nelder and Mead's simplex method held inside a box: the best point, its value, whether it has converged.
+
+    Values that are not finite count as infinite. A simplex smaller than ``tol`` may have collapsed
+    against the box, so a new one is laid around its best point; the search has converged when that one
+    shrinks too and moves the best point by less than ten times ``tol``, or its value by less than a
+    millionth (or 1e-12 of the value at the start). ``rounds`` holds for all of them. Points met before are not evaluated again."""
     known: dict[tuple, float] = {}
 
     def g(x: np.ndarray) -> float:
@@ -70,17 +78,26 @@ def minimise(f: Callable[[np.ndarray], float], start: np.ndarray, low: np.ndarra
         return known[key]
 
     clip = lambda x: np.minimum(high, np.maximum(low, x))
-    n = len(start)
-    points = [clip(np.array(start, float))]
-    for k in range(n):
-        x = points[0].copy()
-        step = 0.1 * (high[k] - low[k])
-        x[k] += step if x[k] + step <= high[k] else -step
-        points.append(clip(x))
+
+    def simplex(at: np.ndarray) -> list[np.ndarray]:
+        points = [clip(np.array(at, float))]
+        for k in range(len(at)):
+            x = points[0].copy()
+            step = 0.1 * (high[k] - low[k])
+            x[k] += step if x[k] + step <= high[k] else -step
+            points.append(clip(x))
+        return points
+
+    points, settled = simplex(start), None
+    first = points[0]
     for _ in range(rounds):
         points.sort(key=g)
         if max(np.abs(p - points[0]).max() for p in points[1:]) < tol:
-            break
+            best = points[0]
+            if settled is not None and (np.abs(best - settled).max() < 10 * tol or g(settled) - g(best) <= 1e-6 * abs(g(settled)) + 1e-12 * abs(g(first))):
+                return best, g(best), bool(np.isfinite(g(best)))
+            points, settled = simplex(best), best
+            continue
         centre = np.mean(points[:-1], axis=0)
         mirrored = clip(2 * centre - points[-1])
         if g(mirrored) < g(points[0]):
@@ -96,4 +113,4 @@ def minimise(f: Callable[[np.ndarray], float], start: np.ndarray, low: np.ndarra
             else:
                 points = [points[0], *(clip(points[0] + 0.5 * (p - points[0])) for p in points[1:])]
     points.sort(key=g)
-    return points[0], g(points[0])
+    return points[0], g(points[0]), False

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import minimise, residual, solve_stencil
+from ridgeline.functions.solvers import residual, search, solve_stencil
 from ridgeline.operators.routing import D8, FACETS, STEP, dinf_channels, rasters
 from ridgeline.session import use_package
 
@@ -231,12 +231,13 @@ def misfit(modelled: DataFrame, observed: DataFrame, keys: list[str]) -> DataFra
     return both.groupBy(*keys).agg(F.avg(gap * gap).alias("mse"), F.count(gap).alias("n"))
 
 
-def calibrate(cells: DataFrame, what: str, base: dict, bounds: dict[str, tuple[float, float]], dx: float, routing: str = "d8", rounds: int = 40) -> DataFrame:
+def calibrate(cells: DataFrame, what: str, base: dict, bounds: dict[str, tuple[float, float]], dx: float, routing: str = "d8", rounds: int | None = None) -> DataFrame:
     """Per tile: the parameters within ``bounds`` whose model comes closest to the observed elevations.
 
     what: the model; base: its other parameters and the starting values. The search runs over log10 of
-    the parameters, a tile a task. Returns tile_id, each parameter, mse, mse_start, status. Elevations
-    along channels are affine in U / K, so they are integrated once a tile and scaled."""
+    the parameters until it converges, a tile a task; the status of a tile that has not after ``rounds``
+    (200 a parameter unless given) is "not converged". Returns tile_id, each parameter, mse, mse_start,
+    status. Elevations along channels are affine in U / K, so they are integrated once a tile and scaled."""
     use_package(cells.sparkSession)
     names = list(bounds)
 
@@ -260,8 +261,8 @@ def calibrate(cells: DataFrame, what: str, base: dict, bounds: dict[str, tuple[f
 
             low, high = (np.log10([bounds[n][e] for n in names]) for e in (0, 1))
             start = np.clip(np.log10([base[n] for n in names]), low, high)
-            best, value = minimise(loss, start, low, high, rounds)
-            row = dict(zip(names, (10.0**best).tolist(), strict=True)) | {"mse": value, "mse_start": loss(start), "status": "ok"}
+            best, value, converged = search(loss, start, low, high, rounds or 200 * len(names))
+            row = dict(zip(names, (10.0**best).tolist(), strict=True)) | {"mse": value, "mse_start": loss(start), "status": "ok" if converged else "not converged"}
         except (ValueError, np.linalg.LinAlgError) as e:
             row = dict.fromkeys([*names, "mse", "mse_start"], np.nan) | {"status": str(e)[:200]}
         return pd.DataFrame([{"tile_id": tile_id} | row])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import minimise, residual, solve_stencil
+from ridgeline.functions.solvers import minimise, residual, search, solve_stencil
 from ridgeline.jobs import studies
 from ridgeline.operators import models, planform, resample, routing, slope_area, stencil
 from ridgeline.sources import grids
@@ -128,6 +128,27 @@ def test_calibration_recovers_what_made_the_surface(spark):
     assert fit["mse"] < 1e-3 * fit["mse_start"] and fit["mse"] < 1e-2
 
 
+def test_search_converges_far_from_its_start_or_says_not():
+    valley = lambda p: (1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2
+    box = np.array([-2.0, -2.0]), np.array([2.0, 2.0])
+    x, _, converged = search(valley, np.array([-1.9, 1.9]), *box, 400)
+    assert converged and x == pytest.approx([1, 1], abs=1e-2)
+    assert not search(valley, np.array([-1.9, 1.9]), *box, 20)[2]
+    assert not search(lambda p: np.nan, np.array([0.0, 0.0]), *box, 400)[2]
+
+
+def test_calibration_recovers_three_parameters_and_marks_a_short_search(spark):
+    base = routing.flow(grid(spark, lambda j, i: 100.0 - 3 * j + 0.01 * ((7 * i + 3 * j) % 5), 12, 9), 10.0)
+    run = spark.createDataFrame([("x", "threshold", 0.5, 1e-3, 5e-5, 2e-1, 700.0, 1.0)], "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double")
+    made = models.solve_models(base, run, 10.0).select("tile_id", "j", "i", "z")
+    cells = made.join(base.select("tile_id", "j", "i", "area", "fd"), ["tile_id", "j", "i"])
+    start, bounds = {"m": 0.5, "u": 1e-3, "k": 1e-5, "d": 1.0, "a_crit": 300.0}, {"a_crit": (1e2, 1e4), "d": (1e-3, 1e1), "k": (1e-6, 1e-2)}
+    fit = models.calibrate(cells, "threshold", start, bounds, 10.0).first()
+    assert fit["status"] == "ok" and fit["mse"] < 1e-6 * fit["mse_start"]
+    assert (fit["k"], fit["d"]) == pytest.approx((5e-5, 2e-1), rel=1e-2)
+    assert models.calibrate(cells, "threshold", start, bounds, 10.0, rounds=20).first()["status"] == "not converged"
+
+
 def test_failed_runs_have_a_status(spark):
     cells = grid(spark, lambda j, i: 1.0, 4, 4).withColumn("area", F.lit(1.0)).withColumn("fd", F.lit(4))
     run = spark.createDataFrame([("x", "ad", 0.5, 0.0, 0.0, 0.0, 0.0, 1.0)], "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double")
