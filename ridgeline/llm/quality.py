@@ -92,10 +92,12 @@ class Reader:
         decorated, shouting, bare, ends, small, marks, chars = facts[:, :7].sum(0, dtype=np.int64).tolist()
         same = at[1:] == at[:-1]
         triples = int((same[1:] & same[:-1]).sum())
-        blocks = np.sort(at[: n - n % 20].reshape(-1, 20), axis=1) if n >= 20 else np.sort(at)[None]
-        narrow = float((blocks[:, 1:] == blocks[:, :-1]).sum()) / blocks.size
+        rest = n % 20 if n > 20 else 0  # the last words are judged by the last twenty
+        blocks = np.sort(np.concatenate([at[: n - rest], at[n - 20 :]]).reshape(-1, 20) if rest else at.reshape(-1, min(n, 20)), axis=1)
+        again = (blocks[:, 1:] == blocks[:, :-1]).sum(1).tolist()
+        narrow = sum(again[:-1]) + again[-1] * rest / 20 if rest else sum(again)
         m, letters = n + PLAIN_WORDS, chars + 5 * PLAIN_WORDS
-        stats = [decorated / m, marks / letters, shouting / m, ends / m, int(same.sum()) / m, triples / m, narrow * n / m, bare / m, 1 - small / n if n >= 20 else 0.6]
+        stats = [decorated / m, marks / letters, shouting / m, ends / m, int(same.sum()) / m, triples / m, narrow / m, bare / m, 1 - small / n if n >= 20 else 0.6]
         return np.array(stats), np.concatenate([facts[:, 7], PLAIN])
 
 

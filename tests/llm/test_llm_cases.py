@@ -288,3 +288,14 @@ def test_registers_estimate_similarity(spark):
     df = spark.createDataFrame([(x, y)], "x array<long>, y array<long>")
     got = df.select(neardup.estimate(F.col("x"), F.col("y"), F.lit(900), F.lit(900)).alias("j")).first()["j"]
     assert abs(got - 0.8) < 0.12
+
+
+def test_narrow_windows_see_the_last_words():
+    words = [f"word{k}" for k in range(60)]
+    narrow = lambda ws: quality.Reader().read([" ".join(ws)])[0][0][quality.LABELLERS.index("narrow windows")]
+    for n in (1, 19, 20, 21, 39, 40, 60):
+        assert narrow(words[:n]) == 0
+    m = 39 + quality.PLAIN_WORDS
+    assert narrow(words[:20] + ["up", "down"] * 9 + ["up"]) == pytest.approx(17 * 19 / 20 / m)
+    assert narrow(["up", "down"] * 9 + ["up", "x"] + words[:19]) == pytest.approx(17 / m)
+    assert narrow(["up", "down"] * 10) == pytest.approx(18 / (20 + quality.PLAIN_WORDS))
