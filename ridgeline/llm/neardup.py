@@ -9,9 +9,10 @@ registers, corrected for the collisions that 16 bits cause, estimate the Jaccard
 whose estimate is far too low go, all others are confirmed on full sets.
 
 Equal sets are one class from the start. Within a bucket of a band, members are compared with one hub
-(the one that shares most buckets with others, so the most central) instead of with each other; what is then in one component needs no further comparison. Members still
-in different components are compared through what they have outside their hubs, which is exact and
-small (see :func:`links_across`). So groups of thousands cost about a pair a member.
+(the one that shares most buckets with others, so the most central) instead of with each other; what is
+then in one component needs no further comparison. Members still in different components are compared
+through the rarest of what they have outside their hub, or of their whole sets where the hub holds
+most of them, which is exact (see :func:`links_across`). So groups of thousands cost about a pair a member.
 """
 
 from __future__ import annotations
@@ -142,7 +143,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the whole sequence as one; empty for a null text or one without words, which links with nothing.
     Documents link when 100 * intersection >= percent * union. component_id: the smallest id
     reachable over links, itself included; kept: id = component_id. A null id has a null component
-    and is kept. Rows that share an id are one document. Other columns are ignored.
+    and is kept. Rows that share an id are one document: a link of one text links all of them; each row
+    has its own n_shingles. Ids may be of any type that has an order. Repeated texts are one class, ties
+    don't arise, a text of any length is used whole, no rows give no rows. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     drawn = stage(sketches(texts, "id", "text", words), "sketches")
@@ -161,14 +164,15 @@ def similar_classes(texts: DataFrame, classes: DataFrame, words: int, percent: i
     full = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = stage(banded.join(full, ["band", "key"]), "members")
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    hubs = members.join(degree, "rep").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("best"))
-    hubs = hubs.select("band", "key", (-F.col("best.minus")).alias("hub"))
+    hubs = members.join(degree, "rep").groupBy("band", "key").agg(F.min(F.struct((-F.col("degree")).alias("minus"), "rep")).alias("best"))
+    hubs = hubs.select("band", "key", F.col("best.rep").alias("hub"))
     known = classes.select("rep", "n", "bands")
 
     hubbed = stage(members.select("band", "key", "rep").join(hubs, ["band", "key"]), "hubbed")
     unstage(members)
     wanted = hubbed.select(F.col("rep").alias("id")).distinct()
-    sets = stage(full_sets(texts.join(wanted, "id", "left_semi"), "id", "text", words), "sets")
+    # what is wanted grows with the corpus: one strategy at every size, never a broadcast
+    sets = stage(full_sets(texts.join(wanted.hint("shuffle_merge"), "id", "left_semi"), "id", "text", words), "sets")
     first = hubbed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     links = stage(confirm(plausible(first, known, percent), sets, percent), "links")
     parts = stage(connected_components(links), "components")
@@ -205,13 +209,14 @@ def links_across(members: DataFrame, parts: DataFrame, known: DataFrame, sets: D
     """All links between members of one bucket that comparison with its hub has left in different
     components. members: (band, key, hub, rep).
 
-    For members x and y of a hub h, |x & y| <= |y & h| + |(x - h) & (y - h)|, and a link needs
-    |x & y| >= t = p (|x| + |y|) / (100 + p). So y shares at least t - |y & h| of its shingles outside h
-    with x, and any |y - h| - (t - |y & h|) + 1 of them contain one that x has too: the rarest among
-    the hub's members are looked up. t depends on |x|, so members are looked up by classes of size.
-    Where |y & h| reaches t by itself (x must then be shorter than h), x and y are compared directly.
-    That is exact, and a few outliers beside a group of thousands cost about a row for each shingle
-    outside the hub, not one for each pair.
+    A link needs |x & y| >= t = p (|x| + |y|) / (100 + p). For members x and y of a hub h,
+    |x & y| <= min(|x & h|, |y & h|) + |(x - h) & (y - h)|. So either both have t shingles inside h, or
+    they share some outside it. Outside, both sides are looked up by the beginnings of x - h and y - h
+    under one order (rarest first among the hub's members): with at least p |x| / 100 - |x & h| common
+    shingles outside, all but the last so many and one are enough, and so for y. Where both have t
+    inside h, the same is done with their whole sets. :func:`prefix_pairs` does either. That is exact,
+    and neither outliers beside a group of thousands nor thousands of different extracts of one text
+    cost a row for each pair: what each has of its own is rare and so stands first.
     """
     component = lambda x: F.coalesce(f"part_{x}", x)
     of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
@@ -221,30 +226,46 @@ def links_across(members: DataFrame, parts: DataFrame, known: DataFrame, sets: D
     asked = placed.join(several, ["band", "key"]).where("a <> b").select("a", "b", "c_a").distinct()
     asked = asked.join(of("b"), "b", "left").withColumn("c_b", component("b")).drop("part_b").join(n_of("a"), "a").join(n_of("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    met = stage(with_sets(asked, sets).select("a", "b", "c_a", "c_b", "n_a", "n_b", common.alias("common"), F.array_except("s_a", "s_b").alias("beyond")), "met")
-    hub_links = met.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-
-    grade = F.floor(F.log(F.col("n_a").cast("double")) / math.log(1.02))
-    xs = met.select("b", F.col("a").alias("x"), F.col("c_a").alias("c_x"), F.col("n_a").alias("n_x"), grade.alias("grade"), "beyond")
-    ys = met.where("c_a <> c_b").select("b", F.col("a").alias("y"), F.col("c_a").alias("c_y"), F.col("n_a").alias("n_y"), "common", F.size("beyond").alias("outside"), "beyond")
-    grades = xs.groupBy("b", "grade").agg(F.min("n_x").alias("least"), F.max("n_x").alias("most"))
-    fits = (100 * F.col("most") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("least"))
-    shortest = F.greatest(F.col("least"), F.ceil(percent * F.col("n_y") / 100))
-    need = F.ceil(percent * (F.col("n_y") + shortest) / (100 + percent)) - F.col("common")
-    wanted = ys.drop("beyond").join(grades, "b").where(fits).withColumn("need", need).where("need <= outside")
-    wanted = stage(wanted.select("b", "y", "c_y", "n_y", "common", "grade", "need", (F.col("outside") - F.greatest("need", F.lit(1)) + 1).cast("int").alias("first")), "wanted")
-
-    theirs = xs.select("b", "grade", "x", "c_x", F.explode("beyond").alias("shingle"))
-    counts = xs.select("b", F.explode("beyond").alias("shingle")).groupBy("b", "shingle").agg(F.count("*").alias("times"))
-    hopeful = ys.join(wanted.select("b", "y").distinct(), ["b", "y"], "left_semi").select("b", "y", F.explode("beyond").alias("shingle"))
-    rarest = hopeful.join(counts, ["b", "shingle"]).groupBy("b", "y").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("rarest"))
-    sought = wanted.join(rarest, ["b", "y"]).select("b", "y", "c_y", "grade", F.explode(F.slice("rarest", F.lit(1), F.col("first"))).alias("r")).select("b", "y", "c_y", "grade", "r.shingle")
-    shared = sought.join(theirs, ["b", "grade", "shingle"]).where("c_x <> c_y").select("x", "y")
-    reach = (100 + percent) * F.col("common") - percent * F.col("n_y")
-    short = wanted.where("need <= 0").join(xs.drop("beyond"), ["b", "grade"]).where((F.col("c_x") != F.col("c_y")) & (percent * F.col("n_x") <= reach)).select("x", "y")
-    pairs = shared.unionByName(short).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = stage(pairs, "pairs")
+    met = with_sets(asked, sets).select("b", F.col("a").alias("x"), F.col("c_a").alias("c"), (F.col("c_a") != F.col("c_b")).alias("apart"), F.col("n_a").alias("n"), F.col("n_b"), common.alias("inside"), F.array_except("s_a", "s_b").alias("s"))
+    met = stage(met, "met")
+    lively = stage(met.where("apart").select("b").distinct(), "lively")  # its size is known: no shuffle by hub where it is small
+    all_met, met = met, met.join(lively, "b", "left_semi")
+    hub_links = all_met.where(100 * F.col("inside") >= percent * (F.col("n") + F.col("n_b") - F.col("inside"))).select(F.col("x").alias("a"), "b")
+
+    least = F.ceil(percent * F.col("n") / 100)  # of what a link of x has in common
+    row = [*"bxcn", "apart", "inside"]
+    outside = met.select(*row, "s", F.greatest(least - F.col("inside"), F.lit(1)).alias("least"))
+    held = met.where(F.col("inside") >= least).drop("s").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("s")), "x").where(F.size("s") == F.col("n"))
+    held = held.select("b", "x", "c", "n", "apart", F.lit(0).alias("inside"), "s", least.alias("least"))
+    pairs = stage(prefix_pairs(outside, percent).unionByName(prefix_pairs(held, percent)).distinct(), "pairs")
     found = stage(confirm(plausible(pairs, known, percent), sets, percent).unionByName(hub_links), "links")
-    for table in (met, wanted, pairs):
+    for table in (all_met, lively, pairs):
         unstage(table)
     return found
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of members of one hub in different components whose sets may be similar enough.
+
+    rows: b (hub), x (member), c (its component), n (size of its whole set), apart (not in the hub's
+    component), inside (shingles that x shares with the hub beside those in s), s (shingles), least (how
+    many of s a link of x has at least). At the first shingle in order that x and y share, no more than
+    the shorter rest can follow, so that shingle is met only where the rests are long enough for the pair.
+    """
+    rows = rows.where(F.size("s") >= F.col("least")).withColumn("u", F.xxhash64("s"))  # tells rows apart that share an id
+    spread = rows.select("b", "x", "u", F.explode("s").alias("shingle"))
+    times = spread.groupBy("b", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    rare = spread.join(times, ["b", "shingle"]).groupBy("b", "x", "u").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order"))
+    # shingles that x alone holds come first in the order and meet nothing, so they are only counted
+    begun = rows.withColumn("size", F.size("s")).drop("s").join(rare, ["b", "x", "u"])
+    alone = F.col("size") - F.size("order")
+    begun = begun.withColumn("first", (F.col("size") - F.col("least") + 1 - alone).cast("int")).where("first > 0")
+    cut = begun.select("b", "x", "c", "n", "apart", "inside", F.size("order").alias("held"), F.posexplode(F.slice("order", F.lit(1), F.col("first"))).alias("at", "o"))
+    cut = cut.select("b", "x", "c", "n", "apart", "inside", F.col("o.shingle").alias("shingle"), (F.col("held") - F.col("at")).cast("int").alias("rest"))
+    y = cut.where("apart").select("b", "shingle", *(F.col(c).alias(f"{c}_y") for c in ("x", "c", "n", "inside", "rest")))
+    x = cut.select("b", "shingle", "apart", *(F.col(c).alias(f"{c}_x") for c in ("x", "c", "n", "inside", "rest")))
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    need = percent * (n_x + n_y) - (100 + percent) * F.least("inside_x", "inside_y")
+    fits = (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * F.least("rest_x", "rest_y") >= need)
+    met = y.join(x, ["b", "shingle"]).where(fits & (F.col("c_x") != F.col("c_y")) & (~F.col("apart") | (F.col("x_y") < F.col("x_x"))))
+    return met.select(F.least("x_x", "x_y").alias("a"), F.greatest("x_x", "x_y").alias("b")).distinct()
