@@ -5,20 +5,25 @@ over the counts of vote patterns, taken over all documents, estimates how each l
 and on junk documents, and so a posterior for every pattern. The posteriors of a bounded sample of
 documents then train a linear scorer over hashed features, which judges every document by what its
 text looks like, not by the labellers' thresholds. No hand-made label is used.
+
+Texts are read once: votes and compact features are written beside the rows; counting, sampling and
+scoring then work on these few numbers, without Python.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.arrow import kept, with_arrow_columns
+from ridgeline.session import stage
 
 LABELLERS = ["decorated words", "marks", "shouting", "word ends", "stutter", "triples", "narrow windows", "table", "no small words"]
 # A statistic above the first bound is a vote for junk, below the second one for good.
@@ -30,7 +35,8 @@ DIMENSIONS = 1024
 """Hashed features."""
 FIT_ROWS = 20_000
 """Documents that train the scorer, chosen by a hash of their id; everything else uses all rows."""
-MEMO_WORDS = 100_000
+MEMO_WORDS = 200_000
+"""Words a task remembers; it forgets all of them when there are more."""
 JUNK_BOUNDS = np.array([JUNK[k] for k in LABELLERS])
 GOOD_BOUNDS = np.array([GOOD[k] for k in LABELLERS])
 STATISTICS = [crc32(f"\0{k}".encode()) % DIMENSIONS for k in LABELLERS]
@@ -43,9 +49,18 @@ DECORATED = re.compile(r"([*$&%#@^~=_+<>|\\])\1")
 SHAPES = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"), (re.compile(r"\s+"), " ")]
 
 
+def case_of(word: str) -> str:
+    return "A" if len(word) > 1 and word.isupper() else "Aa" if word[:1].isupper() else "a"
+
+
+@functools.lru_cache(100_000)
+def hashed(shape: str) -> int:
+    return crc32(shape.encode()) % DIMENSIONS
+
+
 def word_shape(word: str) -> str:
     """Letters become ``a``, ``A`` (all capitals) or ``Aa``; digits ``0``; repeated marks two of them."""
-    case = "A" if len(word) > 1 and word.isupper() else "Aa" if word[:1].isupper() else "a"
+    case = case_of(word)
     for rx, to in SHAPES:
         word = rx.sub(case if to == "a" else to, word)
     return word[:12]
@@ -61,6 +76,13 @@ class Reader:
     @staticmethod
     def of_word(word: str) -> tuple[int, ...]:
         """Decorated, all capitals, without letter or digit, ends in a mark, small; marks, length, hashed shape."""
+        size = len(word)
+        if word.isalpha():
+            return 0, int(size > 2 and word.isupper()), 0, 0, int(size <= 3), 0, size, hashed(case_of(word))
+        if word[:-1].isalpha() and not word[-1].isalnum():  # letters and one mark
+            return 0, int(size > 2 and word.isupper()), 0, 1, int(size <= 3), 1, size, hashed((case_of(word) + word[-1])[:12])
+        if word.isdecimal():
+            return 0, 0, 0, 0, int(size <= 3), 0, size, hashed("0")
         plain = sum(map(str.isalnum, word))
         return (
             int(bool(DECORATED.search(word))),
@@ -68,9 +90,9 @@ class Reader:
             int(not plain),
             int(not word[-1].isalnum()),
             int(len(word) <= 3 and plain > 0),
-            len(word) - plain,
-            len(word),
-            crc32(word_shape(word).encode()) % DIMENSIONS,
+            size - plain,
+            size,
+            hashed(word_shape(word)),
         )
 
     def read(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
@@ -106,46 +128,33 @@ def vote(stats: np.ndarray) -> list[int]:
     return np.where(stats > JUNK_BOUNDS, -1, np.where(stats < GOOD_BOUNDS, 1, 0)).tolist()
 
 
-def features(stats: np.ndarray, shapes: np.ndarray) -> tuple[list[int], list[float]]:
-    """Hashed features: the share of each word shape, and the statistics."""
-    index, count = np.unique(shapes, return_counts=True)
-    value = dict(zip(index.tolist(), (count / len(shapes)).tolist(), strict=True))
-    for k, v in zip(STATISTICS, stats.tolist(), strict=True):
-        value[k] = value.get(k, 0.0) + v
-    return list(value), list(value.values())
+def features(stats: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features: the share of each word shape, then the statistics; what shares a position adds up."""
+    count = np.bincount(shapes)
+    index = np.flatnonzero(count)
+    return np.concatenate([index, STATISTICS]), np.concatenate([count[index] / len(shapes), stats])
 
 
-def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and votes (one for each of LABELLERS; none but zeros without words) of every row."""
+VOTES, FEATURE, VALUE = "_quality_votes", "_quality_feature", "_quality_value"
 
-    def setup() -> Callable[[list[str | None]], list[pa.Array]]:
-        reader = kept("quality reader", Reader)
-        none = [0] * len(LABELLERS)
-        return lambda texts: [pa.array([vote(r[0]) if r else none for r in reader.read(texts)], pa.list_(pa.int8()))]
-
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    return with_arrow_columns(rows, text_col, "votes array<tinyint>", setup).drop(text_col)
 
-
-def sample_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, votes and the hashed features (feature, value) of every row."""
+def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Append votes (one for each of LABELLERS; none but zeros without words) and the hashed features
+    (positions and values; empty without words) to every row."""
 
     def setup() -> Callable[[list[str | None]], list[pa.Array]]:
         reader = kept("quality reader", Reader)
+        none = [0] * len(LABELLERS), np.zeros(0, np.int64), np.zeros(0)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            read = reader.read(texts)
-            each = [features(*r) if r else ([], []) for r in read]
-            return [
-                pa.array([vote(r[0]) if r else [0] * len(LABELLERS) for r in read], pa.list_(pa.int8())),
-                pa.array([f for f, _ in each], pa.list_(pa.int32())),
-                pa.array([v for _, v in each], pa.list_(pa.float64())),
-            ]
+            each = [(vote(r[0]), *features(*r)) if r else none for r in reader.read(texts)]
+            ends = pa.array(np.cumsum([0, *(len(f) for _, f, _ in each)]).astype(np.int32))
+            flat = lambda k, kind: pa.array(np.concatenate([e[k] for e in each]).astype(kind))
+            return [pa.array([v for v, _, _ in each], pa.list_(pa.int8())), pa.ListArray.from_arrays(ends, flat(1, np.int32)), pa.ListArray.from_arrays(ends, flat(2, np.float64))]
 
         return work
 
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    return with_arrow_columns(rows, text_col, "votes array<tinyint>, feature array<int>, value array<double>", setup).drop(text_col)
+    return with_arrow_columns(docs, text_col, f"{VOTES} array<tinyint>, {FEATURE} array<int>, {VALUE} array<double>", setup)
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +191,7 @@ def fit_scorer(features: list[tuple[list[int], list[float]]], target: np.ndarray
     """Logistic regression on soft targets by accelerated gradient descent; the last weight is the bias."""
     x = np.zeros((len(features), DIMENSIONS + 1))
     for row, (index, value) in enumerate(features):
-        x[row, index] = value
+        np.add.at(x[row], index, value)
     x[:, -1] = 1
     used = np.flatnonzero(np.abs(x).sum(0))
     x = x[:, used]
@@ -200,50 +209,50 @@ def fit_scorer(features: list[tuple[list[int], list[float]]], target: np.ndarray
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Weights of the scorer.
+def train(rows: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """Weights of the scorer, from described rows.
 
     Vote patterns of all documents are counted in Spark; there are at most 3^9 of them, so the counts
-    fit the driver whatever the corpus. So does the bounded sample of feature vectors.
+    fit the driver whatever the corpus. So does the bounded sample of feature vectors: the documents of
+    the smallest hashes of their ids; of rows that tie, those of the smallest id, votes and features.
     """
-    voted = votes(docs, id_col, text_col)
-    table = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
+    table = rows.groupBy(F.col(VOTES).alias("votes")).agg(F.count("*").alias("n")).collect()
     if not table:
         return np.zeros(DIMENSIONS + 1)
     table.sort(key=lambda r: r["votes"])
     patterns = np.array([r["votes"] for r in table])
     good, _ = fit_labellers(patterns, np.array([r["n"] for r in table], dtype=float))
     posterior = {tuple(r["votes"]): g for r, g in zip(table, good, strict=True)}
-    chosen = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(fit_rows).agg(F.max("h")).first()[0]
-    if chosen is None:
+    known = rows.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), VOTES, FEATURE, VALUE)
+    last = known.select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+    if last is None:
         return np.zeros(DIMENSIONS + 1)
-    sample = sample_features(docs.where(F.xxhash64(id_col) <= chosen), id_col, text_col).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).collect()
-    target = np.array([posterior.get(tuple(r["votes"]), 0.5) for r in sample])
-    return fit_scorer([(r["feature"], r["value"]) for r in sample], target)
+    sample = known.where(F.col("h") <= last).orderBy("h", "id", VOTES, FEATURE, VALUE).limit(fit_rows).collect()
+    target = np.array([posterior[tuple(r[VOTES])] for r in sample])
+    return fit_scorer([(r[FEATURE], r[VALUE]) for r in sample], target)
+
 
+def score(feature: Column, value: Column, weights: np.ndarray) -> Column:
+    """Probability (rounded to 6 places) that a document is good; 0 without features."""
+    w = F.lit(weights[:-1].tolist())  # DIMENSIONS numbers
+    z = F.lit(float(weights[-1])) + F.aggregate(F.zip_with(feature, value, lambda f, v: F.get(w, f) * v), F.lit(0.0), lambda a, x: a + x)
+    held = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))
+    return F.when(F.size(feature) > 0, F.round(1.0 / (1.0 + F.exp(-held)), 6)).otherwise(0.0)
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, weights: np.ndarray | None = None) -> DataFrame:
+
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, weights: np.ndarray | None = None, columns: list[str] | None = None) -> DataFrame:
     """Append quality_score and kept to every row.
 
     quality_score: probability (rounded to 6 places) that the document is good; kept: at least one
     half. A null text or one without words scores 0 and is not kept. Rows with a null id are judged
     but not used for training. Ties can't arise: a row's score depends on its text alone, so repeated
-    texts get equal scores. Columns named like the two new ones are replaced.
+    texts get equal scores. A text of any length is read whole; no rows give no rows. ``columns``: those
+    of ``docs`` to return (all unless given). Columns named like the two new ones are replaced.
     """
-    weights = train(docs, id_col, text_col, fit_rows) if weights is None else weights
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # DIMENSIONS + 1 numbers
-
-    def setup() -> Callable[[list[str | None]], list[pa.Array]]:
-        reader, w = kept("quality reader", Reader), shared.value
-
-        def one(stats: np.ndarray, shapes: np.ndarray) -> float:
-            z = w[-1] + w[shapes].mean() + w[STATISTICS] @ stats
-            return round(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))), 6)
-
-        def work(texts: list[str | None]) -> list[pa.Array]:
-            scores = [one(*r) if r else 0.0 for r in reader.read(texts)]
-            return [pa.array(scores, pa.float64()), pa.array([s >= 0.5 for s in scores], pa.bool_())]
-
-        return work
-
-    return with_arrow_columns(docs.drop("quality_score", "kept"), text_col, "quality_score double, kept boolean", setup)
+    names = [c for c in columns or docs.columns if c not in ("quality_score", "kept", VOTES, FEATURE, VALUE)]
+    wanted = docs.select(*dict.fromkeys([*names, id_col, text_col]))
+    rows = stage(described(wanted, text_col).select(*dict.fromkeys([*names, id_col]), VOTES, FEATURE, VALUE), "described")
+    if weights is None:
+        weights = train(rows, id_col, fit_rows)
+    scored = rows.withColumn("quality_score", score(F.col(FEATURE), F.col(VALUE), weights))
+    return scored.select(*names, "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))

@@ -82,7 +82,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return quality.score_quality(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
