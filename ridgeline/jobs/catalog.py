@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -410,20 +412,51 @@ TILE_SIZES = f"sizes AS (SELECT vec_id // {grids.TILE_ROWS} AS t, count(*) AS ny
 
 
 def model_sql(runs: int) -> str:
-    return f"WITH {TILE_SIZES} SELECT 'solved' AS \"check\", {runs} * cells AS n, CAST(0 AS BIGINT) AS n_bad FROM total UNION ALL SELECT 'boundary', {runs} * edge, 0 FROM total"
+    return f"WITH {TILE_SIZES} SELECT 'solved' AS \"check\", {runs} * (cells - edge) AS n, CAST(0 AS BIGINT) AS n_bad FROM total UNION ALL SELECT 'boundary', {runs} * edge, 0 FROM total"
 
 
 def run_scenarios(spark: SparkSession, model: str) -> DataFrame:
     rows = [(f"{model}{n}", model, 0.45, 1e-4, k, d, 2000.0, 1.27) for n, (k, d) in enumerate(((1e-5, 1e-2), (5e-6, 2e-2)))]
-    return spark.createDataFrame(rows, "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double")
+    return spark.createDataFrame(rows, studies.SCENARIO)
+
+
+def left_over(solved: DataFrame, cells: DataFrame, scenarios: DataFrame, kind: str) -> DataFrame:
+    """What the equation of each cell leaves, from the neighbourhood and routing operators, not from the
+    system that was solved: solved cells with ``rest`` (U + D lap z - K A^m S of free cells, the distance from
+    its path's elevation of a channel cell) and is_boundary, z_obs."""
+    key = F.concat_ws("|", "scenario", "tile_id")
+    runs = scenarios.select("scenario", "model", "m", "u", "k", "d", "s_c")
+    shape = routing.with_boundary(cells).drop("z").join(cells.select("tile_id", "j", "i", F.col("z").alias("z_obs")), ["tile_id", "j", "i"])
+    met = stage(solved.join(shape, ["tile_id", "j", "i"]).withColumn("run", key), "met")
+    own = met.withColumnRenamed("tile_id", "tile").withColumnRenamed("run", "tile_id")
+    sloped = stage(stencil.one_sided_slope(stencil.laplacian(own, DX), DX), "sloped").withColumnRenamed("slope", "side_slope")
+    there = own.select("tile_id", F.col("j").alias("rj"), F.col("i").alias("ri"), F.col("z").alias("z_there"))
+    if kind == "d8":
+        steps = routing.downstream(own, "area").where("dn_j IS NOT NULL").select("tile_id", "j", "i", F.col("dn_j").alias("rj"), F.col("dn_i").alias("ri"), (1.0 / (F.col("steps") * DX)).alias("w"))
+    else:
+        angle = own.select("tile_id", "j", "i", "r")
+        steps = routing.dinf_receivers(own).join(angle, ["tile_id", "j", "i"])
+        steps = steps.select("tile_id", "j", "i", F.col("rcv_j").alias("rj"), F.col("rcv_i").alias("ri"), (F.when(F.col("kind") == "cardinal", F.cos("r") - F.sin("r")).otherwise(F.sin("r")) / DX).alias("w"))
+    fall = steps.join(there, ["tile_id", "rj", "ri"]).groupBy("tile_id", "j", "i").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("z_there")).alias("wz"))
+    every = sloped.join(fall, ["tile_id", "j", "i"], "left").join(F.broadcast(runs), "scenario")
+    walked = (routing.channel_paths if kind == "d8" else routing.dinf_channel_paths)(cells, DX, 0.45).withColumnRenamed("tile_id", "tile")
+    every = every.join(walked, ["tile", "j", "i"], "left")
+    drive = F.col("area") if kind == "d8" else F.col("area_dinf")
+    slope = F.coalesce(F.col("w") * F.col("z") - F.col("wz"), F.lit(0.0))
+    incision = F.when(F.col("model") == "ad", F.col("k") * F.pow(drive, F.col("m")) * slope).otherwise(0.0)
+    d = F.when(F.col("model") == "nonlinear", stencil.effective_diffusivity(F.col("d"), F.col("side_slope"), 1.27)).otherwise(F.col("d"))
+    free = F.col("u") + d * F.col("lap") - F.coalesce(incision, F.lit(0.0))
+    path = F.col("z") - F.col("path") - F.col("u") / F.col("k") * F.col("path_unit")
+    return every.withColumn("rest", F.when(F.col("is_channel"), path).otherwise(free))
 
 
 def solved_checks(spark: SparkSession, sf_dir: str, model: str, kind: str) -> DataFrame:
     cells = studies.routed(grids.tilted_cells(spark, sf_dir), DX, kind == "dinf")
-    solved = models.solve_models(cells, run_scenarios(spark, model), DX, kind)
-    edges = routing.with_boundary(cells).select("tile_id", "j", "i", "is_boundary", F.col("z").alias("z_obs"))
-    both = solved.join(edges, ["tile_id", "j", "i"])
-    return checks(both, solved=(F.lit(True), (F.abs("residual") < 1e-8) & (F.col("status") == "ok")), boundary=(F.col("is_boundary"), F.abs(F.col("z") - F.col("z_obs")) < 1e-9))
+    runs = run_scenarios(spark, model)
+    both = left_over(stage(models.solve_models(cells, runs, DX, kind), "solved"), cells, runs, kind)
+    inner = ~F.col("is_boundary")
+    held = (F.abs(F.col("z") - F.col("z_obs")) < 1e-9) | F.col("is_channel") & (F.abs("rest") < 1e-9)
+    return checks(both, solved=(inner, (F.abs("rest") < 1e-8) & (F.col("status") == "ok")), boundary=(F.col("is_boundary"), held))
 
 
 def _model_query(name: str, model: str, kind: str) -> None:
@@ -437,14 +470,78 @@ def _model_query(name: str, model: str, kind: str) -> None:
 for _name, _model, _kind in (("ad_solve", "ad", "d8"), ("ad_solve_dinf", "ad", "dinf"), ("threshold_solve", "threshold", "d8"), ("threshold_solve_dinf", "threshold", "dinf"), ("nonlinear_solve", "nonlinear", "d8"), ("nonlinear_solve_dinf", "nonlinear", "dinf")):
     _model_query(_name, _model, _kind)
 
-PLANFORM_SQL = "WITH s AS (SELECT 11 + 2 * (s_suppkey % 3) AS nx, 15 + s_suppkey % 5 AS ny FROM supplier) SELECT 'solved' AS \"check\", CAST(sum(nx * ny) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_bad FROM s UNION ALL SELECT 'outlet', count(*), 0 FROM s"
+
+# Surfaces whose steady state is known: the edge of each tile holds it, its inside holds the rough surface.
+SHAPES = f"shape AS (SELECT *, CAST(substr(tile_id, 2) AS INTEGER) AS t, max(j) OVER (PARTITION BY tile_id) AS nj, max(i) OVER (PARTITION BY tile_id) AS ni FROM cells)"
+
+
+def edged(spark: SparkSession, sf_dir: str, known: Callable[[Column, Column, Column, Column, Column], Column]) -> DataFrame:
+    """Rough tiles whose edge is known(t, j, i, nj, ni)."""
+    cells = grids.matrix_cells(spark, sf_dir)
+    box = cells.groupBy("tile_id").agg(F.max("j").alias("nj"), F.max("i").alias("ni"))
+    t = F.substr("tile_id", F.lit(2)).cast("int")
+    edge = (F.col("j") == 0) | (F.col("j") == F.col("nj")) | (F.col("i") == 0) | (F.col("i") == F.col("ni"))
+    z = F.when(edge, known(t, F.col("j"), F.col("i"), F.col("nj"), F.col("ni"))).otherwise(F.col("z"))
+    return cells.join(box, "tile_id").withColumn("z", z)
+
+
+def one_run(spark: SparkSession, model: str, m: float, u: float, k: float, d: float, a_crit: float = 0.0) -> DataFrame:
+    return spark.createDataFrame([("known", model, m, u, k, d, a_crit, 1.27)], studies.SCENARIO)
+
+
+@query(f"WITH {CELLS}, {SHAPES} SELECT tile_id, j, i, round(1000 - (0.02 + 0.001 * (t % 5)) * 10 * j + (1e-4 * (0.02 + 0.001 * (t % 5)) - 1e-6) / 0.02 * (10 * i) ** 2, 5) AS z, 'ok' AS status FROM shape")
+def ad_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U + D lap z = K S is met by a plane to the south bent along its rows."""
+    s = lambda t: 0.02 + 0.001 * (t % 5)
+    cells = edged(spark, sf_dir, lambda t, j, i, nj, ni: 1000.0 - s(t) * 10.0 * j + (1e-4 * s(t) - 1e-6) / 0.02 * F.pow(10.0 * i, F.lit(2.0)))
+    flowing = cells.withColumn("area", F.lit(1.0)).withColumn("fd", F.lit(4)).drop("nj", "ni")
+    return models.solve_models(flowing, one_run(spark, "ad", 0.0, 1e-6, 1e-4, 1e-2), DX).select("tile_id", "j", "i", *rounded(5, "z"), "status")
+
+
+@query(f"WITH {CELLS}, {SHAPES} SELECT tile_id, j, i, round(1000 - (0.01 + 0.001 * (t % 5)) * 10 * j - (0.02 - cos(0.3) * (0.01 + 0.001 * (t % 5))) / sin(0.3) * 10 * i, 5) AS z, 'ok' AS status FROM shape")
+def ad_closed_form_dinf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane whose fall along an angle of 0.3 from south to east is U / K."""
+    s = lambda t: 0.01 + 0.001 * (t % 5)
+    cells = edged(spark, sf_dir, lambda t, j, i, nj, ni: 1000.0 - s(t) * 10.0 * j - (0.02 - F.cos(F.lit(0.3)) * s(t)) / F.sin(F.lit(0.3)) * 10.0 * i)
+    flowing = cells.withColumn("area", F.lit(1.0)).withColumn("area_dinf", F.lit(1.0)).withColumn("facet", F.lit(6)).withColumn("r", F.lit(0.3)).drop("nj", "ni")
+    return models.solve_models(flowing, one_run(spark, "ad", 0.0, 2e-6, 1e-4, 1e-2), DX, "dinf").select("tile_id", "j", "i", *rounded(5, "z"), "status")
+
+
+@query(f"WITH {CELLS}, {SHAPES} SELECT tile_id, j, i, round(1000 + t + 10.0 / sqrt(5000.0) * 10 * (nj - j) - 0.005 * (10 * (i - ni // 2)) ** 2, 5) AS z, i = ni // 2 AND j BETWEEN 0 AND nj AS is_channel, 'ok' AS status FROM shape")
+def threshold_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A channel down the middle column between slopes that bend by U / D."""
+    middle = lambda ni: F.floor(ni / 2)
+    cells = edged(spark, sf_dir, lambda t, j, i, nj, ni: 1000.0 + t + 10.0 / math.sqrt(5000.0) * 10.0 * (nj - j) - 0.005 * F.pow(10.0 * (i - middle(ni)), F.lit(2.0)))
+    flowing = cells.withColumn("area", F.when(F.col("i") == middle(F.col("ni")), 5000.0).otherwise(1.0)).withColumn("fd", F.lit(4)).drop("nj", "ni")
+    return models.solve_models(flowing, one_run(spark, "threshold", 0.5, 1e-4, 1e-5, 1e-2, 2000.0), DX).select("tile_id", "j", "i", *rounded(5, "z"), "is_channel", "status")
+
+
+PLANFORM_SQL = "WITH s AS (SELECT 11 + 2 * (s_suppkey % 3) AS nx, 15 + s_suppkey % 5 AS ny FROM supplier) SELECT 'solved' AS \"check\", CAST(sum(nx * ny - 1) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_bad FROM s UNION ALL SELECT 'outlet', count(*), 0 FROM s"
 
 
 def planform_checks(spark: SparkSession, sf_dir: str, no_flux: bool) -> DataFrame:
+    """Each cell's equation anew, with neighbours found by joins: mirrored beyond an edge, or zero there and
+    edge cells repeating the cell next to them."""
     s = scenarios(spark, sf_dir)
-    cells = models.planform_solutions(s, no_flux).join(s.select("scenario", "nx", "ny"), "scenario")
-    at = (F.col("i") == (F.col("nx") - 1) / 2) & (F.col("j") == F.col("ny") - 1)
-    return checks(cells, solved=(F.lit(True), (F.abs("residual") < 1e-10) & (F.col("z") > -1e-9)), outlet=(at, F.abs("z") < 1e-9))
+    solved = stage(models.planform_solutions(s, no_flux).select("scenario", "j", "i", "z", "status"), "planform")
+    cells = planform.planform(s).join(solved, ["scenario", "j", "i"])
+    z_of = lambda name: solved.select("scenario", F.col("j").alias("at_j"), F.col("i").alias("at_i"), F.col("z").alias(name))
+    inner = lambda x, n: F.col(x).between(0, F.col(n) - 1)
+    for name, dj, di in (("w", 0, -1), ("e", 0, 1), ("n", -1, 0), ("s", 1, 0), ("down", None, None)):
+        at_j, at_i = (F.col("dn_j"), F.col("dn_i")) if dj is None else (F.col("j") + dj, F.col("i") + di)
+        if not no_flux:
+            at_j, at_i = stencil.reflect(at_j, F.col("ny")), stencil.reflect(at_i, F.col("nx"))
+        cells = cells.withColumn("at_j", at_j).withColumn("at_i", at_i).join(z_of(f"z_{name}"), ["scenario", "at_j", "at_i"], "left").drop("at_j", "at_i")
+        cells = cells.withColumn(f"z_{name}", F.coalesce(f"z_{name}", F.lit(0.0)))
+    z, ci = F.col("z"), (F.col("nx") - 1) / 2
+    lap = (F.col("z_e") - 2 * z + F.col("z_w")) / F.pow("dx", F.lit(2.0)) + (F.col("z_s") - 2 * z + F.col("z_n")) / F.pow("dy", F.lit(2.0))
+    length = F.when(F.col("dn_j") != F.col("j"), F.col("dy")).otherwise(F.col("dx"))
+    rest = F.col("u") + F.col("d") * lap - F.col("k") * F.pow("area", "m") * (z - F.col("z_down")) / length
+    if no_flux:
+        copied = F.when((F.col("i") == 0) & (F.col("j") > 0), z - F.col("z_e")).when((F.col("i") == F.col("nx") - 1) & (F.col("j") > 0), z - F.col("z_w")).when((F.col("j") == 0) & (F.col("i") != ci), z - F.col("z_s"))
+        rest = F.coalesce(copied, rest)
+    outlet = F.col("is_outlet")
+    return checks(cells, solved=(~outlet, (F.abs(rest) < 1e-9) & (z > -1e-9) & (F.col("status") == "ok")), outlet=(outlet, F.abs(z) < 1e-9))
 
 
 @query(PLANFORM_SQL)
@@ -457,76 +554,197 @@ def planform_solve_noflux(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planform_checks(spark, sf_dir, True)
 
 
-@query(f"WITH {TILE_SIZES} SELECT 'raised' AS \"check\", cells AS n, CAST(0 AS BIGINT) AS n_bad FROM total UNION ALL SELECT 'drains', cells - edge, 0 FROM total")
+@query(f"WITH {TILE_SIZES} SELECT 'edge' AS \"check\", edge AS n, CAST(0 AS BIGINT) AS n_bad FROM total UNION ALL SELECT 'inside', cells - edge, 0 FROM total")
 def fill_pits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges stay; inside, each cell is as high as itself or its lowest neighbour: that has one solution."""
     filled = stage(routing.fill_pits(grids.matrix_cells(spark, sf_dir)), "filled")
     near = stencil.eight_neighbours(filled, "filled", "f")
     lowest = F.least(*(F.col(f"f_{s}") for s in routing.SIDES.values()))
     inner = F.col("f_n").isNotNull() & F.col("f_s").isNotNull() & F.col("f_w").isNotNull() & F.col("f_e").isNotNull()
-    return checks(near, raised=(F.lit(True), F.col("filled") >= F.col("z")), drains=(inner, lowest <= F.col("filled")))
+    return checks(near, edge=(~inner, F.col("filled") == F.col("z")), inside=(inner, F.col("filled") == F.greatest(F.col("z"), lowest)))
 
 
 @query()
 def dinf_channel_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = studies.routed(grids.tilted_cells(spark, sf_dir), DX, True)
-    run = spark.createDataFrame([("all", "threshold", 0.45, 1e-4, 1e-5, 1e-2, 0.0, 1.0)], run_scenarios(spark, "ad").schema)
-    return models.solve_models(cells, run, DX, "dinf").select("tile_id", "j", "i", *to(6, z_channel=F.col("z")))
+    paths = routing.dinf_channel_paths(cells, DX, 0.45)
+    return paths.select("tile_id", "j", "i", *to(6, z_channel=F.col("path") + 10.0 * F.col("path_unit")))
 
 
-@query()
+TILTED = CELLS.replace("CAST(unnest(embedding) AS DOUBLE) AS z FROM embeddings)", "unnest(embedding) AS v FROM embeddings)").replace("cells AS", "raw AS") + ",\ncells AS MATERIALIZED (SELECT tile_id, j, i, 1000.0 - 5.0 * j + 0.1 * CAST(v AS DOUBLE) AS z FROM raw)"
+TILTED_FLOW = f"WITH RECURSIVE {TILTED}, {NEAR}, {NEAR8}, {FLOW}"
+
+
+def drop_sql(name: str, surface: str, interval: float, least: float) -> str:
+    """(tile_id, j, i, a, s): the slope of each channel cell of ``surface`` (tile_id, j, i, z) along links, until the fall reaches the interval."""
+    return f"""{name}_walk AS (SELECT f.tile_id, f.j AS sj, f.i AS si, v.z AS z0, f.j, f.i, v.z AS z, CAST(0 AS DOUBLE) AS run FROM flow f JOIN {surface} v USING (tile_id, j, i) WHERE f.area >= {least}
+  UNION ALL SELECT w.tile_id, w.sj, w.si, w.z0, l.dn_j, l.dn_i, v.z, w.run + 10.0 * l.steps FROM {name}_walk w JOIN links l ON l.tile_id = w.tile_id AND l.j = w.j AND l.i = w.i JOIN {surface} v ON v.tile_id = w.tile_id AND v.j = l.dn_j AND v.i = l.dn_i WHERE w.z0 - w.z < {interval}),
+{name} AS MATERIALIZED (SELECT w.tile_id, sj AS j, si AS i, arg_max(w.z0 - w.z, run) / max(run) AS s, any_value(f.area) AS a FROM {name}_walk w JOIN flow f ON f.tile_id = w.tile_id AND f.j = sj AND f.i = si WHERE run > 0 GROUP BY w.tile_id, sj, si)"""
+
+
+@query(f"{TILTED_FLOW}, {drop_sql('falls_of', 'cells', 10.0, 500.0)} SELECT tile_id, j, i, a AS area, round(s, 8) AS slope FROM falls_of")
 def channel_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = studies.routed(grids.tilted_cells(spark, sf_dir), DX)
-    return routing.channel_slope_by_drop(cells, DX, 10.0, 500.0)
+    return routing.channel_slope_by_drop(cells, DX, 10.0, 500.0).select("tile_id", "j", "i", "area", *rounded(8, "slope"))
 
 
 BASE = {"m": 0.45, "u": 1e-4, "k": 1e-5, "d": 1e-2, "a_crit": 2000.0, "s_c": 1.27}
-CALIBRATED_SQL = f"WITH {TILE_SIZES} SELECT 'not worse' AS \"check\", tiles AS n, CAST(0 AS BIGINT) AS n_bad FROM total"
+KNOWN = {"k": 10**-4.7, "d": 10**-1.5, "a_crit": 6000.0}
 
 
-KNOWN = {"k": 2e-5, "d": 3e-2, "a_crit": 6000.0}
+def recovered_sql(*names: str) -> str:
+    logs = {"k": "CAST(-4.7 AS DOUBLE) AS log_k", "d": "CAST(-1.5 AS DOUBLE) AS log_d"}
+    return f"WITH {TILE_SIZES} SELECT 't' || CAST(t AS VARCHAR) AS tile_id, 'ok' AS status, true AS found" + "".join(f", {logs[n]}" for n in names) + " FROM sizes"
 
 
-def calibration_checks(spark: SparkSession, sf_dir: str, what: str, bounds: dict) -> DataFrame:
-    """Counts the tiles that have not converged, are worse than at the start, or, given what the model
-    makes of known parameters, do not come back to it."""
+def recovered(spark: SparkSession, sf_dir: str, what: str, bounds: dict) -> DataFrame:
+    """Fits what the model makes of known parameters: a row a tile, with the parameters that a surface pins
+    down (the threshold area is one of many that give the same channels)."""
     cells = studies.routed(grids.tilted_cells(spark, sf_dir), DX)
-    fitted = models.calibrate(cells, what, BASE, bounds, DX)
     p = BASE | {n: KNOWN[n] for n in bounds}
-    run = spark.createDataFrame([("known", what, p["m"], p["u"], p["k"], p["d"], p["a_crit"], p["s_c"])], run_scenarios(spark, what).schema)
+    run = one_run(spark, what, p["m"], p["u"], p["k"], p["d"], p["a_crit"])
     made = models.solve_models(cells, run, DX).select("tile_id", "j", "i", "z")
-    again = models.calibrate(made.join(cells.drop("z"), ["tile_id", "j", "i"]), what, BASE, bounds, DX)
-    found = again.select("tile_id", ((F.col("mse") <= 1e-6 * F.col("mse_start")) & (F.col("status") == "ok")).alias("found"))
-    return checks(fitted.join(found, "tile_id", "left"), not_worse=(F.lit(True), (F.col("mse") <= F.col("mse_start")) & (F.col("status") == "ok") & F.col("found"))).withColumn("check", F.lit("not worse"))
+    fitted = models.calibrate(made.join(cells.drop("z"), ["tile_id", "j", "i"]), what, BASE, bounds, DX)
+    found = (F.col("mse") <= 1e-6 * F.col("mse_start")).alias("found")
+    return fitted.select("tile_id", "status", found, *(F.round(F.log10(n), 2).alias(f"log_{n}") for n in bounds if n != "a_crit"))
 
 
-@query(CALIBRATED_SQL)
+@query(recovered_sql("k", "d"))
 def calibrate_ad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration_checks(spark, sf_dir, "ad", {"k": (1e-7, 1e-3), "d": (1e-4, 1e1)})
+    return recovered(spark, sf_dir, "ad", {"k": (1e-7, 1e-3), "d": (1e-4, 1e1)})
 
 
-@query(CALIBRATED_SQL)
+@query(recovered_sql())
 def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration_checks(spark, sf_dir, "threshold", {"a_crit": (1e2, 1e5)})
+    return recovered(spark, sf_dir, "threshold", {"a_crit": (1e2, 1e5)})
 
 
-@query(CALIBRATED_SQL)
+@query(recovered_sql())
 def calibrate_nonlinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration_checks(spark, sf_dir, "nonlinear", {"a_crit": (1e2, 1e5)})
+    return recovered(spark, sf_dir, "nonlinear", {"a_crit": (1e2, 1e5)})
 
 
-@query(CALIBRATED_SQL)
+@query(recovered_sql("d", "k"))
 def calibrate_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration_checks(spark, sf_dir, "threshold", {"a_crit": (1e2, 1e5), "d": (1e-4, 1e1), "k": (1e-7, 1e-3)})
+    return recovered(spark, sf_dir, "threshold", {"a_crit": (1e2, 1e5), "d": (1e-4, 1e1), "k": (1e-7, 1e-3)})
+
+
+# ---- studies
+
+
+def tile_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tile under the parameters of one of the study's tiles, in turn."""
+    tiles = grids.matrix_cells(spark, sf_dir).select("tile_id").distinct().withColumn("n", F.substr("tile_id", F.lit(2)).cast("int") % len(grids.PARAMS))
+    table = spark.createDataFrame([(n, p[0], p[1], p[2], p[6], p[7], p[3]) for n, p in enumerate(grids.PARAMS)], "n int, location string, tile int, u double, k double, d double, theta double")
+    return tiles.join(table, "n").drop("n")
+
+
+SPACINGS = [2 * DX, 3 * DX]
 
 
 @query()
 def resolution_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.resolution_study(grids.tilted_cells(spark, sf_dir), DX, [2 * DX], 0.45, 1e-4, 1e-5, 1e-2, routing_kinds=("d8", "dinf"))
+    return studies.resolution_study(grids.tilted_cells(spark, sf_dir), stage(tile_params(spark, sf_dir), "params"), DX, SPACINGS, min_area=4 * 900.0)
+
+
+@query(f"""WITH {RUNS}, per AS (SELECT location, tile, dx, max(ks_mod) AS top FROM runs WHERE dx < 6 OR tile > 2 GROUP BY ALL), pairs AS (SELECT DISTINCT location, tile FROM per)
+SELECT location, tile, dx, top FROM (SELECT location, tile, CAST(unnest(range(1, 8)) AS DOUBLE) AS dx FROM pairs) LEFT JOIN per USING (location, tile, dx)""")
+def result_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = grids.run_results(spark, sf_dir).where("dx < 6 OR tile > 2").groupBy("location", "tile", "dx").agg(F.max("ks_mod").alias("top"))
+    return studies.filled_results(runs, [float(k) for k in range(1, 8)])
+
+
+@query("SELECT s_suppkey AS id, CAST(25 AS DOUBLE) AS dx, s_suppkey % 7 + 3 AS nx, s_suppkey % 5 + 3 AS ny, CASE s_suppkey % 3 WHEN 0 THEN '7.0,25.0,0.0,100.0,0.0,-25.0' WHEN 1 THEN '1.0,2.0' END AS gt FROM supplier")
+def resampled_georeference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"))
+    arrays = lambda *x: F.array(*map(F.lit, x))
+    gt = F.when(F.col("id") % 3 == 0, arrays(7.0, 10.0, 0.0, 100.0, 0.0, -10.0)).when(F.col("id") % 3 == 1, arrays(1.0, 2.0))
+    new = grids.resampled_georeference(gt, 25.0, F.col("id") % 5 + 3, F.col("id") % 7 + 3)
+    return s.select("id", new.alias("g")).select("id", "g.dx", "g.nx", "g.ny", F.array_join(F.transform("g.geotransform", lambda x: x.cast("string")), ",").alias("gt"))
+
+
+MODELLED = "1000.0 - 4.5 * j + 0.05 * CAST(v AS DOUBLE)"
+
+
+def modelled_cells(spark: SparkSession, sf_dir: str, fall: float = 4.5, rough: float = 0.05) -> DataFrame:
+    """A smoother surface than the tilted one, in the place of a model's."""
+    return grids.matrix_cells(spark, sf_dir).withColumn("z", 1000.0 - fall * F.col("j") + rough * F.col("z"))
+
+
+@query(f"""{TILTED_FLOW}, other AS MATERIALIZED (SELECT tile_id, j, i, {MODELLED} AS z FROM raw), {drop_sql('obs', 'cells', 10.0, 300.0)}, {drop_sql('mod', 'other', 10.0, 300.0)},
+both_s AS (SELECT o.tile_id, log10(o.a) AS x, log10(o.s) AS y1, log10(m.s) AS y2 FROM obs o JOIN mod m USING (tile_id, j, i) WHERE o.s > 0 AND m.s > 0),
+fits AS (SELECT tile_id, count(*) AS n, min(x) AS low, max(x) AS high, regr_slope(y1, x) AS b1, regr_intercept(y1, x) AS c1, regr_slope(y2, x) AS b2, regr_intercept(y2, x) AS c2 FROM both_s GROUP BY tile_id),
+steps AS (SELECT *, CAST(unnest(range(0, 200)) AS INTEGER) AS step FROM fits)
+SELECT tile_id, n, step, round(pow(10, low + step * (high - low) / 199), 3) AS a, round(pow(10, c1 + b1 * (low + step * (high - low) / 199)), 6) AS s_obs, round(pow(10, c2 + b2 * (low + step * (high - low) / 199)), 6) AS s_mod FROM steps""")
+def observed_and_modelled_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = studies.routed(grids.tilted_cells(spark, sf_dir), DX)
+    slopes = stage(studies.compare_slopes(cells, modelled_cells(spark, sf_dir), DX, 300.0, 10.0), "slopes")
+    return studies.fit_curves(slopes).select("tile_id", "n", "step", *rounded(3, "a"), *rounded(6, "s_obs", "s_mod"))
+
+
+VARIANTS = {"original": (5.0, 0.1), "AD_no_opt": (4.5, 0.05), "AD_opt": (4.8, 0.08), "partitioned": (4.9, 0.02)}
+
+
+@query(f"""{TILTED_FLOW}, """ + ", ".join(f"v{n} AS MATERIALIZED (SELECT tile_id, j, i, 1000.0 - {a} * j + {b} * CAST(v AS DOUBLE) AS z FROM raw), {drop_sql(f'd{n}', f'v{n}', 10.0, 200.0)}" for n, (a, b) in enumerate(VARIANTS.values()))
+    + ", every_v AS (" + " UNION ALL ".join(f"SELECT tile_id || '|{name}' AS grp, a, s FROM d{n}" for n, name in enumerate(VARIANTS)) + f"""),
+logs AS (SELECT grp, log10(a) AS x, log10(s) AS y, a, s FROM every_v WHERE a >= 200 AND s > 0), {BINS},
+centre AS (SELECT grp, sum(n * log_a) / sum(n) AS mx, sum(n * log_s) / sum(n) AS my FROM bins GROUP BY grp),
+sums AS (SELECT grp, any_value(mx) AS mx, any_value(my) AS my, sum(n * (log_a - mx) ** 2) AS sxx, sum(n * (log_a - mx) * (log_s - my)) AS sxy, sum(n * (log_s - my) ** 2) AS syy, count(*) AS n_bins, CAST(sum(n) AS BIGINT) AS n_points FROM bins JOIN centre USING (grp) GROUP BY grp)
+SELECT split_part(grp, '|', 1) AS tile_id, split_part(grp, '|', 2) AS variant, round(pow(10.0, my - sxy / sxx * mx), 6) AS ks, round(-sxy / sxx, 6) AS theta, round(sxy * sxy / (sxx * syy), 6) AS r2, n_bins, n_points FROM sums""")
+def slope_area_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = studies.routed(grids.tilted_cells(spark, sf_dir), DX)
+    surfaces = reduce(DataFrame.unionByName, (modelled_cells(spark, sf_dir, a, b).withColumn("variant", F.lit(name)) for name, (a, b) in VARIANTS.items()))
+    fits = studies.variant_fits(cells, surfaces, DX, 200.0, 10.0)
+    return fits.select("tile_id", "variant", *rounded(6, "ks", "theta", "r2"), "n_bins", "n_points")
+
+
+def peclet_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planform with a Peclet number for each supplier."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"))
+    return s.select(F.concat(F.lit("s"), F.col("key").cast("string")).alias("scenario"), F.lit(1.47e-4).alias("u"), F.lit(1e-4).alias("k"), F.lit(0.35).alias("m"),
+                    (10.0 + 10.0 * (F.col("key") % 9)).alias("pe"), F.lit(2.59e6).alias("inlet_area"), F.lit(50.0).alias("length"), F.lit(200.0).alias("width"), F.lit(150.0).alias("height"))
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(studies.peclet_sweep(peclet_bases(spark, sf_dir), 12.0, 40.0, 4), "sweep")
 
 
 @query()
 def peclet_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.peclet_curves(scenarios(spark, sf_dir))
+    return studies.peclet_curves(sweep(spark, sf_dir))
+
+
+SWEEP_SQL = """base AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS base, 10.0 + 10 * (s_suppkey % 9) AS pe, unnest(range(0, 4)) AS step FROM supplier),
+sized AS (SELECT *, CAST(round_even(150 / t, 0) AS INTEGER) + 1 AS ny, CAST(round_even(200 / t, 0) AS INTEGER) + 1 + CASE WHEN CAST(round_even(200 / t, 0) AS INTEGER) % 2 = 1 THEN 1 ELSE 0 END AS nx
+  FROM (SELECT *, pow(10, log10(12.0) + step * (log10(40.0) - log10(12.0)) / 3) AS t FROM base)),
+sweep AS (SELECT base || '@' || CAST(step AS VARCHAR) AS scenario, nx, ny, 200.0 / (nx - 1) AS dx, 150.0 / (ny - 1) AS dy, 1e-4 * 50 * pow(2.59e6, 0.35) / pe AS d,
+  greatest(2.59e6 - (nx - 1) * (200.0 / (nx - 1)) * (150.0 / (ny - 1)), 0) AS a_top FROM sized)"""
+
+
+@query(f"WITH {SWEEP_SQL} SELECT scenario, nx, ny, round(dx, 8) AS dx, round(dy, 8) AS dy, round(d, 10) AS d, round(a_top, 4) AS a_top FROM sweep")
+def peclet_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep(spark, sf_dir).select("scenario", "nx", "ny", *rounded(8, "dx", "dy"), *rounded(10, "d"), *rounded(4, "a_top"))
+
+
+@query(f"""WITH {SWEEP_SQL}, g AS (SELECT *, (nx - 1) // 2 AS ci, unnest(range(0, ny)) AS j FROM sweep),
+line AS (SELECT *, 500 - 2.0 * j * dy + 0.001 * (j * dy) ** 2 AS z, lead(500 - 2.0 * j * dy + 0.001 * (j * dy) ** 2) OVER (PARTITION BY scenario ORDER BY j) AS z_s, a_top + (j + 1) * 2 * ci * dx * dy AS area FROM g),
+cut AS (SELECT *, (z - z_s) / dy AS s FROM line WHERE j >= floor(0.2 * ny) AND j < ceil(0.8 * ny)),
+c AS (SELECT scenario, avg(log10(s) + 0.35 * log10(area)) AS c, avg(log10(s)) AS my, count(*) AS n FROM cut WHERE s > 0 GROUP BY scenario),
+fit AS (SELECT scenario, any_value(n) AS n_fit, pow(10, any_value(c)) / 1.47 AS ks_fit, 1 - sum((log10(s) - (c - 0.35 * log10(area))) ** 2) / sum((log10(s) - my) ** 2) AS r2_fit, quantile_cont(s * pow(area, 0.35), [0.25, 0.5, 0.75]) AS q FROM cut JOIN c USING (scenario) WHERE s > 0 GROUP BY scenario),
+curve AS (SELECT scenario, median((1.47 + d / 1e-4 * (0.002 + 0.0004)) / 1.47) AS ks_curvature FROM sweep GROUP BY scenario)
+SELECT sweep.scenario, round(dx, 8) AS dx, round(ks_curvature, 5) AS ks_curvature, CASE WHEN n_fit >= 3 THEN round(ks_fit, 4) END AS ks_fit, CASE WHEN n_fit >= 3 THEN round(r2_fit, 5) END AS r2_fit, n_fit,
+  CASE WHEN n_fit >= 3 THEN round(q[2] / 1.47, 4) END AS ks_local, CASE WHEN n_fit >= 3 THEN round(q[1] / 1.47, 4) END AS ks_q25, CASE WHEN n_fit >= 3 THEN round(q[3] / 1.47, 4) END AS ks_q75
+FROM sweep JOIN curve USING (scenario) LEFT JOIN fit USING (scenario)""")
+def peclet_curves_given_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimates of peclet_curves from a relief in closed form in the place of the solutions."""
+
+    def relief(scenarios: DataFrame, no_flux: bool) -> DataFrame:
+        y, x = F.col("j") * F.col("dy"), (F.col("i") - (F.col("nx") - 1) / 2) * F.col("dx")
+        z = 500.0 - 2.0 * y + 0.001 * y * y + (0.0 if no_flux else 0.0002) * x * x
+        return planform.planform(scenarios).select("scenario", "j", "i", z.alias("z"), "area")
+
+    got = studies.peclet_curves(sweep(spark, sf_dir), solutions=relief)
+    return got.select("scenario", *rounded(8, "dx"), *rounded(5, "ks_curvature"), *rounded(4, "ks_fit"), *rounded(5, "r2_fit"), "n_fit", *rounded(4, "ks_local", "ks_q25", "ks_q75"))
 
 
 @query()
@@ -535,12 +753,22 @@ def routing_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.compare_routings(grids.tilted_cells(spark, sf_dir), both, DX)
 
 
-@query()
+@query(f"""{TILTED_FLOW}, {_facet_sql()}, {_receiver_sql()},
+edge AS MATERIALIZED (SELECT d.tile_id, d.j, d.i, d.j + dj AS rj, d.i + di AS ri, CASE WHEN w = 0 THEN (pi() / 4 - d.r) / (pi() / 4) ELSE d.r / (pi() / 4) END AS share FROM dinf d JOIN hand USING (facet) JOIN dinf t ON t.tile_id = d.tile_id AND t.j = d.j + dj AND t.i = d.i + di),
+spread AS (SELECT tile_id, j, i, CAST(100 AS DOUBLE) AS a FROM dinf UNION ALL SELECT s.tile_id, e.rj, e.ri, sum(s.a * e.share) FROM spread s JOIN edge e ON e.tile_id = s.tile_id AND e.j = s.j AND e.i = s.i WHERE e.share > 0 GROUP BY s.tile_id, e.rj, e.ri),
+other AS (SELECT tile_id, j, i, sum(a) AS area_dinf FROM spread GROUP BY ALL)
+SELECT tile_id, count(*) AS n, round(min(log10(area)), 6) AS low_area, round(max(log10(area)), 6) AS high_area, round(min(log10(area_dinf)), 6) AS low_area_dinf, round(max(log10(area_dinf)), 6) AS high_area_dinf, round(avg(log10(area) - log10(area_dinf)), 6) AS mean_gap
+FROM area JOIN other USING (tile_id, j, i) WHERE area > 0 AND area_dinf > 0 GROUP BY tile_id""")
 def area_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = studies.routed(grids.tilted_cells(spark, sf_dir), DX, True)
-    return cells.where("area > 0 AND area_dinf > 0").groupBy("tile_id").agg(F.count("*").alias("n"), *(f(F.log10(c)).alias(f"{n}_{c}") for c in ("area", "area_dinf") for n, f in (("low", F.min), ("high", F.max))), F.avg(F.log10("area") - F.log10("area_dinf")).alias("mean_gap"))
+    got = cells.where("area > 0 AND area_dinf > 0").groupBy("tile_id").agg(F.count("*").alias("n"), *(f(F.log10(c)).alias(f"{n}_{c}") for c in ("area", "area_dinf") for n, f in (("low", F.min), ("high", F.max))), F.avg(F.log10("area") - F.log10("area_dinf")).alias("mean_gap"))
+    return got.select("tile_id", "n", *rounded(6, "low_area", "high_area", "low_area_dinf", "high_area_dinf", "mean_gap"))
 
 
-@query()
+@query(f"""{TILTED_FLOW}, sun AS (SELECT tile_id, j, i, (z_e - z_w) / 20 AS gx, (z_n - z_s) / 20 AS gy FROM near4)
+SELECT tile_id, j, i, round(flow.z, 6) AS elevation, round(flow.z, 6) AS filled, fd AS flow_direction, area, round(log10(area), 6) AS logarea,
+  CASE WHEN gx IS NOT NULL AND gy IS NOT NULL THEN round(greatest(0, (sin(radians(20)) - cos(radians(20)) * (gx * sin(radians(315)) + gy * cos(radians(315)))) / sqrt(1 + gx * gx + gy * gy)), 6) ELSE round(CAST(0 AS DOUBLE), 6) END AS hillshade
+FROM flow JOIN sun USING (tile_id, j, i)""")
 def model_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.model_outputs(grids.tilted_cells(spark, sf_dir), DX)
+    layers = studies.model_outputs(grids.tilted_cells(spark, sf_dir), DX)
+    return layers.select("tile_id", "j", "i", *rounded(6, "elevation", "filled"), "flow_direction", "area", *rounded(6, "logarea", "hillshade"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,53 +20,117 @@ def routed(cells: DataFrame, dx: float, dinf: bool = False) -> DataFrame:
     return stage(routing.dinf_area(routing.dinf_direction(flowing, dx), dx), "routed-dinf")
 
 
-def steepness(cells: DataFrame, dx: float, theta: float, min_area: float, interval: float) -> DataFrame:
-    """tile_id, ks, r2, n_good, a_max from channel slopes of routed cells."""
-    slopes = routing.channel_slope_by_drop(cells, dx, interval, min_area).select("tile_id", F.col("area").alias("a"), F.col("slope").alias("s"))
-    return slope_area.fit_fixed(slopes, ["tile_id"], theta)
+SCENARIO = "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double"
 
 
-def resolution_study(cells: DataFrame, dx: float, targets: list[float], theta: float, u: float, k: float, d: float, min_cells: int = 4, interval: float = 5.0, routing_kinds: tuple[str, ...] = ("d8",)) -> DataFrame:
-    """tile_id, dx, routing, ks_obs, ks_mod, ratio, status: steepness of observed and modelled relief
-    at coarser spacings.
+def channel_points(cells: DataFrame, dx: float, min_area: float, interval: float) -> DataFrame:
+    """(tile_id, j, i, a, s): area and slope of channel cells of routed cells with elevation z."""
+    return routing.channel_slope_by_drop(cells, dx, interval, min_area).select("tile_id", "j", "i", F.col("area").alias("a"), F.col("slope").alias("s"))
 
-    Each target is resampled, filled and routed, the steady state is solved on it and routed again; a
-    tile that fails has NULL values and a status, the others go on."""
+
+def steepness(cells: DataFrame, dx: float, min_area: float, interval: float) -> DataFrame:
+    """tile_id, ks, r2, n_good, a_max from channel slopes of routed cells that have a column theta."""
+    theta = cells.groupBy("tile_id").agg(F.first("theta").alias("theta"))
+    points = channel_points(cells, dx, min_area, interval).join(theta, "tile_id")
+    return slope_area.fit_fixed(points, ["tile_id", "theta"], F.col("theta"), min_points=1).drop("theta")
+
+
+def resolution_study(cells: DataFrame, params: DataFrame, dx: float, targets: list[float], min_area: float = 1e5, interval: float = 10.0, routing_kind: str = "d8") -> DataFrame:
+    """Steepness of observed and modelled relief at coarser spacings: location, tile, dx, u, k, d, theta, then
+    ks, r2, npts and amax of both (_obs, _mod), ratio, status.
+
+    params: (tile_id, location, tile, u, k, d, theta), a row for each tile to study. Each target is resampled,
+    filled and routed; the steady state is solved on it, and its slopes are taken along the observed flow, with
+    the observed area. A tile that fails has NULL values and a status, the others go on."""
     out = []
     for target in targets:
-        coarse = routing.fill_pits(resample.resample(cells, dx, target)).withColumn("z", F.col("filled")).drop("filled")
-        base = stage(coarse, "coarse")
-        for kind in routing_kinds:
-            flowing = routed(base, target, kind == "dinf")
-            observed = steepness(flowing, target, theta, min_cells * target**2, interval)
-            scenario = cells.sparkSession.createDataFrame([("s", "ad", theta, u, k, d, 0.0, 1.0)], "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double")
-            solved = stage(models.solve_models(flowing, scenario, target, kind), "solved")
-            modelled = steepness(routed(solved, target), target, theta, min_cells * target**2, interval)
-            status = solved.groupBy("tile_id").agg(F.max("status").alias("status"))
-            row = status.join(observed.select("tile_id", F.col("ks").alias("ks_obs"), F.col("n_good").alias("npts_obs")), "tile_id", "left").join(modelled.select("tile_id", F.col("ks").alias("ks_mod"), F.col("n_good").alias("npts_mod")), "tile_id", "left")
-            out.append(row.select("tile_id", F.lit(float(target)).alias("dx"), F.lit(kind).alias("routing"), "ks_obs", "npts_obs", "ks_mod", "npts_mod", slope_area.guarded_ratio(F.col("ks_mod"), F.col("ks_obs")).alias("ratio"), "status"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def peclet_curves(scenarios: DataFrame, cut: float = 0.2) -> DataFrame:
-    """scenario, ks_curvature, ks_fit, ks_local: three estimates of steepness along the centre line, each
-    over U / K.
-
-    Curvature: median of U/K + (D/K) lap on the mirrored grid. Fit and local: slope against area, and
-    S A^m, on the no-flux grid. The first and last ``cut`` of the line is left out."""
-    keep = scenarios.select("scenario", "u", "k", "m", "d", "nx", "ny", "dx", "dy")
+        coarse = routing.fill_pits(resample.resample(cells.join(params.select("tile_id"), "tile_id", "left_semi"), dx, target)).withColumn("z", F.col("filled")).drop("filled")
+        flowing = stage(routed(stage(coarse, "coarse"), target, routing_kind == "dinf").join(params.select("tile_id", "theta"), "tile_id"), "flowing")
+        runs = params.select(F.col("tile_id").alias("scenario"), F.lit("ad").alias("model"), F.col("theta").alias("m"), "u", "k", "d", F.lit(0.0).alias("a_crit"), F.lit(1.0).alias("s_c"), "tile_id")
+        solved = stage(models.solve_models(flowing, runs, target, routing_kind), "solved")
+        on_flow = solved.where("z IS NOT NULL").select("tile_id", "j", "i", "z").join(flowing.drop("z"), ["tile_id", "j", "i"])
+        row = params.select("tile_id", "location", "tile", F.lit(float(target)).alias("dx"), "u", "k", "d", "theta")
+        for part, surface in (("obs", flowing), ("mod", on_flow)):
+            fit = steepness(surface, target, min_area, interval)
+            row = row.join(fit.select("tile_id", F.col("ks").alias(f"ks_{part}"), F.col("r2").alias(f"r2_{part}"), F.col("n_good").alias(f"npts_{part}"), F.col("a_max").alias(f"amax_{part}")), "tile_id", "left")
+        status = solved.groupBy("tile_id").agg(F.max("status").alias("status"))
+        out.append(row.join(status, "tile_id", "left").withColumn("ratio", slope_area.guarded_ratio(F.col("ks_mod"), F.col("ks_obs"))))
+    return reduce(DataFrame.unionByName, out).drop("tile_id")
+
+
+def filled_results(results: DataFrame, spacings: list[float]) -> DataFrame:
+    """Every (location, tile) at every spacing of the sweep; what has no result is NULL."""
+    grid = results.select("location", "tile").distinct().withColumn("dx", F.explode(F.array(*map(F.lit, spacings))))
+    return grid.join(results, ["location", "tile", "dx"], "left")
+
+
+def compare_slopes(cells: DataFrame, modelled: DataFrame, dx: float, min_area: float, interval: float) -> DataFrame:
+    """(tile_id, j, i, a, s_obs, s_mod): slopes of observed and modelled elevations along the observed flow,
+    where both are finite and positive. cells are routed; modelled has tile_id, j, i, z."""
+    observed = channel_points(cells, dx, min_area, interval)
+    on_flow = cells.drop("z").join(modelled.select("tile_id", "j", "i", "z"), ["tile_id", "j", "i"])
+    other = channel_points(on_flow, dx, min_area, interval).select("tile_id", "j", "i", F.col("s").alias("s_mod"))
+    both = observed.withColumnRenamed("s", "s_obs").join(other, ["tile_id", "j", "i"])
+    return both.where("s_obs > 0 AND s_mod > 0 AND a > 0")
+
+
+def fit_curves(slopes: DataFrame, points: int = 200) -> DataFrame:
+    """tile_id, n, step, a, s_obs, s_mod: both power laws of each tile, fitted over all of its points, at
+    log-spaced areas between its extremes."""
+    x = F.log10("a")
+    fits = slopes.groupBy("tile_id").agg(
+        F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"),
+        *(f(F.log10(c), x).alias(f"{n}_{c}") for c in ("s_obs", "s_mod") for n, f in (("slope", F.regr_slope), ("icept", F.regr_intercept))),
+    )
+    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("low") + k * (F.col("high") - F.col("low")) / (points - 1))
+    wide = fits.select("*", F.posexplode(at).alias("step", "x"))
+    ten = F.lit(10.0)
+    return wide.select("tile_id", "n", "step", F.pow(ten, "x").alias("a"), *(F.pow(ten, F.col(f"icept_{c}") + F.col(f"slope_{c}") * F.col("x")).alias(c) for c in ("s_obs", "s_mod")))
+
+
+def variant_fits(cells: DataFrame, variants: DataFrame, dx: float, min_area: float, interval: float) -> DataFrame:
+    """tile_id, variant, ks, theta, r2, n_bins, n_points: the binned fit of each variant of each tile, with the
+    observed area and flow. variants: (tile_id, variant, j, i, z), the observed elevations being one."""
+    key = F.concat_ws("|", "tile_id", "variant")
+    on_flow = variants.select("tile_id", "j", "i", "variant", "z").join(cells.select("tile_id", "j", "i", "area", "fd"), ["tile_id", "j", "i"])
+    points = stage(channel_points(on_flow.withColumn("tile_id", key), dx, min_area, interval), "variant-points")
+    fits = slope_area.fit_bins(slope_area.binned(points, ["tile_id"], min_area), ["tile_id"])
+    return fits.select(F.substring_index("tile_id", "|", 1).alias("tile_id"), F.substring_index("tile_id", "|", -1).alias("variant"), "ks", "theta", "r2", "n_bins", "n_points")
+
+
+def peclet_sweep(bases: DataFrame, first: float, last: float, count: int) -> DataFrame:
+    """Scenarios (scenario, base, u, k, m, d, nx, ny, dx, dy, a_top) at log-spaced spacings with the inlet's area
+    held. bases: (scenario, u, k, m, pe, inlet_area, length, width, height): diffusivity from the Peclet
+    number, grids that cover width x height."""
+    b = bases.select("*", F.posexplode(planform.log_steps(first, last, count)).alias("_step", "_dx"))
+    b = b.withColumn("nx", planform.grid_size(F.col("width"), F.col("_dx"), odd=True)).withColumn("ny", planform.grid_size(F.col("height"), F.col("_dx")))
+    b = b.where("nx >= 5 AND ny >= 5").withColumn("dx", F.col("width") / (F.col("nx") - 1)).withColumn("dy", F.col("height") / (F.col("ny") - 1))
+    d = planform.d_from_pe(F.col("pe"), F.col("k"), F.col("length"), F.col("inlet_area"), F.col("m"))
+    top = planform.a_top_for_inlet(F.col("inlet_area"), (F.col("nx") - 1) / 2, F.col("dx"), F.col("dy"))
+    return b.select(F.concat_ws("@", "scenario", F.col("_step").cast("string")).alias("scenario"), F.col("scenario").alias("base"), "u", "k", "m", d.alias("d"), "nx", "ny", "dx", "dy", top.alias("a_top"))
+
+
+def peclet_curves(scenarios: DataFrame, cut: float = 0.2, min_points: int = 3, solutions: Callable[[DataFrame, bool], DataFrame] = models.planform_solutions) -> DataFrame:
+    """scenario, dx, ks_curvature, ks_fit, r2_fit, n_fit, ks_local, ks_q25, ks_q75: three estimates of steepness
+    along the centre line, each over U / K.
+
+    Curvature: median of U/K + (D/K) lap on the mirrored grid. Fit (exponent fixed to m) and local: slope
+    against area, and S A^m, on the no-flux grid; NULL below ``min_points``. The first and last ``cut`` of the
+    line is left out. ``solutions``: what solves scenarios (no_flux or not) to (scenario, j, i, z, area)."""
+    keep = scenarios.select(F.col("scenario").alias("tile_id"), "u", "k", "m", "d", "nx", "ny", "dx", "dy")
     trimmed = (F.col("j") >= F.floor(cut * F.col("ny"))) & (F.col("j") < F.ceil((1 - cut) * F.col("ny")))
     centre = F.col("i") == (F.col("nx") - 1) / 2
-    tiles = lambda no_flux: stage(models.planform_solutions(scenarios, no_flux), "planform").withColumnRenamed("scenario", "tile_id")
-    side = stencil.four_neighbours(tiles(False)).join(keep.withColumnRenamed("scenario", "tile_id"), "tile_id").where(centre & trimmed)
+    tiles = lambda no_flux: stage(solutions(scenarios, no_flux), "planform").withColumnRenamed("scenario", "tile_id")
+    side = stencil.four_neighbours(tiles(False)).join(keep, "tile_id").where(centre & trimmed)
     lap = (F.col("z_e") - 2 * F.col("z") + F.col("z_w")) / (F.col("dx") * F.col("dx")) + (F.col("z_s") - 2 * F.col("z") + F.col("z_n")) / (F.col("dy") * F.col("dy"))
     curved = side.groupBy("tile_id").agg(F.median((F.col("u") / F.col("k") + F.col("d") / F.col("k") * lap) / (F.col("u") / F.col("k"))).alias("ks_curvature"))
-    line = stencil.centreline_slope(tiles(True), 1.0).join(keep.withColumnRenamed("scenario", "tile_id"), "tile_id").where(trimmed)
+    line = stencil.centreline_slope(tiles(True), 1.0).join(keep, "tile_id").where(trimmed)
     points = stage(line.select("tile_id", F.col("area").alias("a"), (F.col("slope") / F.col("dy")).alias("s"), "u", "k", "m"), "points")
-    fit = slope_area.fit_free(points, ["tile_id"]).select("tile_id", "ks", "theta")
-    local = points.where("s > 0 AND a > 0").groupBy("tile_id").agg(F.median(F.col("s") * F.pow("a", "m") / (F.col("u") / F.col("k"))).alias("ks_local"))
-    out = curved.join(fit, "tile_id", "left").join(local, "tile_id", "left").join(keep.select(F.col("scenario").alias("tile_id"), "u", "k"), "tile_id")
-    return out.select(F.col("tile_id").alias("scenario"), "ks_curvature", (F.col("ks") / (F.col("u") / F.col("k"))).alias("ks_fit"), "theta", "ks_local")
+    over = F.col("u") / F.col("k")
+    fit = slope_area.fit_fixed(points, ["tile_id", "u", "k", "m"], F.col("m"), min_points).select("tile_id", (F.col("ks") / over).alias("ks_fit"), F.col("r2").alias("r2_fit"), F.col("n_good").alias("n_fit"))
+    local = slope_area.local_ks(points, ["tile_id", "u", "k", "m"], F.col("m"), min_points).select("tile_id", *((F.col(f"ks_{a}") / over).alias(b) for a, b in (("median", "ks_local"), ("q25", "ks_q25"), ("q75", "ks_q75"))))
+    out = keep.select("tile_id", "dx").join(curved, "tile_id", "left").join(fit, "tile_id", "left").join(local, "tile_id", "left")
+    return out.withColumnRenamed("tile_id", "scenario")
 
 
 def compare_routings(cells: DataFrame, scenarios: DataFrame, dx: float) -> DataFrame:

@@ -1,227 +1,228 @@
-"""Steady-state landscape models, a (tile, scenario) pair a task.
-
-Cells arrive with area and, by routing, a D8 code or a D-infinity facet. The stencil of each model is
-put together as arrays and solved directly. Scenarios are rows of a small table, joined to the tiles,
-so sweeps run in parallel. NoData cells stay NULL. A neighbour that is missing or not valid acts as a
-zero (it still takes from the diagonal), as in the model's definition.
+"""Steady-state landscape models: systems of equations as tables of cells, relaxed block by block.
+
+What a model's equations say is put together by the neighbourhood and routing operators: a row for each
+cell with its stencil towards receivers and towards its sides, what it is held to, and how. A grouped map
+then solves blocks of a tile with a margin, whose outer ring is held to the elevations of the round
+before; blocks exchange their rings by a shuffle until elevations settle. A tile of one block is done in
+one round, a large tile uses as many tasks as it has blocks. Scenarios are rows of a small table. NoData
+cells stay NULL. A neighbour that is missing or not valid acts as a zero (it still takes from the
+diagonal), as in the model's definition.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import residual, search, solve_stencil
-from ridgeline.operators.routing import D8, FACETS, STEP, dinf_channels, rasters
-from ridgeline.session import use_package
-
-RESULT = "z double, residual double, is_channel boolean, status string"
+from ridgeline.functions.solvers import search, solve_stencil
+from ridgeline.operators import planform as plan
+from ridgeline.operators import routing, stencil
+from ridgeline.session import stage, use_package
+
+OFFSETS = [(dj, di) for dj in (-1, 0, 1) for di in (-1, 0, 1)]
+BLOCK, MARGIN = 128, 16
+"""Cells of a block's side, and of the margin that is solved with it."""
+ROUNDS, SETTLED = 500, 1e-7
+"""Rounds of exchange at most, and the change of elevation below which a tile has settled."""
+PICARD_ROUNDS, PICARD_TOL = 200, 1e-6
+CELL = ["tile_id", "j", "i"]
 SIDES = [(0, -1), (0, 1), (-1, 0), (1, 0)]
-
-
-@dataclass
-class Tile:
-    """Arrays of one tile. routing: d8 (fd) or dinf (facet, r; area_dinf drives incision)."""
-
-    z: np.ndarray
-    area: np.ndarray
-    fd: np.ndarray
-    facet: np.ndarray
-    r: np.ndarray
-    drive: np.ndarray
-    dx: float
-    routing: str
-
-    @classmethod
-    def of(cls, rows: pd.DataFrame, dx: float, routing: str) -> Tile:
-        names = ["z", "area"] + (["fd"] if routing == "d8" else ["facet", "r", "area_dinf"])
-        ny, nx, g = rasters(rows, names)
-        none = np.full((ny, nx), np.nan)
-        return cls(g["z"], g["area"], g.get("fd", none), g.get("facet", none), g.get("r", none), g["area"] if routing == "d8" else g["area_dinf"], dx, routing)
-
-    def __post_init__(self) -> None:
-        self.valid = np.isfinite(self.area)
-        edge = np.zeros_like(self.valid)
-        edge[[0, -1], :] = edge[:, [0, -1]] = True
-        self.edge = edge & self.valid
-        self.out = np.unravel_index(np.nanargmax(self.area), self.area.shape)
-
-    def shifted(self, x: np.ndarray, dj: int, di: int, fill: float) -> np.ndarray:
-        """The value at (j + dj, i + di) for every cell."""
-        wide = np.pad(x.astype(float), 1, constant_values=fill)
-        ny, nx = x.shape
-        return wide[1 + dj : 1 + dj + ny, 1 + di : 1 + di + nx]
-
-    def diffusion(self, d: float | np.ndarray) -> np.ndarray:
-        """Five-point stencil; every side takes from the diagonal, only valid neighbours get an entry."""
-        c = np.zeros((3, 3, *self.z.shape))
-        unit = d / self.dx**2
-        for dj, di in SIDES:
-            c[dj + 1, di + 1] += unit * (self.shifted(self.valid, dj, di, 0) > 0)
-            c[1, 1] -= unit
-        return c
-
-    def incision(self, m: float) -> np.ndarray:
-        """A^m times the slope towards the receivers, as a stencil."""
-        c = np.zeros((3, 3, *self.z.shape))
-        with np.errstate(invalid="ignore"):
-            power = self.drive**m
-        if self.routing == "d8":
-            for code, di, dj in D8:
-                here = np.where((self.fd == code) & (self.shifted(self.valid, dj, di, 0) > 0), power / (self.dx * math.hypot(di, dj)), 0.0)
-                c[1, 1] -= here
-                c[dj + 1, di + 1] += here
-            return c
-        cos, sin = np.cos(self.r), np.sin(self.r)
-        for n, (a, b, _) in enumerate(FACETS):
-            at = self.facet == n
-            (ai, aj), (bi, bj) = STEP[a], STEP[b]
-            has_a, has_b = self.shifted(self.valid, aj, ai, 0) > 0, self.shifted(self.valid, bj, bi, 0) > 0
-            for case, to_a, to_b in ((has_a & has_b, cos - sin, sin), (has_a & ~has_b, cos, 0 * sin), (~has_a & has_b, 0 * cos, sin)):
-                pick = at & case
-                va, vb = np.where(pick, power * to_a / self.dx, 0.0), np.where(pick, power * to_b / self.dx, 0.0)
-                c[aj + 1, ai + 1] += va
-                c[bj + 1, bi + 1] += vb
-                c[1, 1] -= va + vb
-        return c
-
-    def pinned(self, c: np.ndarray, b: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of given cells become identities."""
-        c, b = c.copy(), b.copy()
-        c[:, :, at] = 0.0
-        c[1, 1, at] = 1.0
-        b[at] = value[at]
-        return c, b
-
-    def perimeter_outlet(self) -> tuple[int, int]:
-        ny, nx = self.z.shape
-        j, i = self.out
-        if j in (0, ny - 1) or i in (0, nx - 1):
-            return j, i
-        for a, b in ((0, i), (ny - 1, i), (j, 0), (j, nx - 1)):
-            if self.valid[a, b]:
-                return a, b
-        raise ValueError("the outlet can't be moved to a valid perimeter cell")
-
-    def edge_values(self) -> np.ndarray:
-        """Elevations of boundary cells; a missing one is taken from the ends of its row, then its column."""
-        out = np.where(self.edge, self.z, np.nan)
-        for j, i in zip(*np.nonzero(self.edge & ~np.isfinite(self.z)), strict=True):
-            found = [v for v in (self.z[j, 0], self.z[j, -1], self.z[0, i], self.z[-1, i]) if np.isfinite(v)]
-            out[j, i] = found[0] if found else np.nan
-        return out
-
-    def channel_paths(self, m: float, u_over_k: float) -> np.ndarray:
-        """Elevations upstream of the boundary (NaN where not reached)."""
-        start = self.edge_values()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            slope = u_over_k / self.drive**m
-        if self.routing == "dinf":
-            return dinf_channels(self.z, np.where(np.isfinite(self.facet), self.facet, -1), self.r, slope, start, self.dx)
-        out, givers = start.copy(), {}
-        ny, nx = self.z.shape
-        for j, i in zip(*np.nonzero(self.valid), strict=True):
-            step = STEP.get(int(self.fd[j, i])) if np.isfinite(self.fd[j, i]) else None
-            if step and 0 <= j + step[1] < ny and 0 <= i + step[0] < nx and self.valid[j + step[1], i + step[0]]:
-                givers.setdefault((j + step[1], i + step[0]), []).append((j, i, self.dx * math.hypot(*step)))
-        todo = list(zip(*np.nonzero(np.isfinite(out)), strict=True))
-        while todo:
-            at = todo.pop()
-            for j, i, length in givers.get(at, []):
-                if not np.isfinite(out[j, i]) and np.isfinite(slope[j, i]):
-                    out[j, i] = out[at] + slope[j, i] * length
-                    todo.append((j, i))
-        return out
-
-    def mean_side_slope(self, z: np.ndarray) -> np.ndarray:
-        """Length of the gradient from available one-sided differences."""
-        total = 0.0
-        for pair in (SIDES[:2], SIDES[2:]):
-            rise, count = np.zeros_like(z), np.zeros_like(z)
-            for sign, (dj, di) in zip((-1, 1), pair, strict=True):
-                there = self.shifted(self.valid, dj, di, 0) > 0
-                rise += np.where(there, sign * (self.shifted(z, dj, di, np.nan) - z) / self.dx, 0.0)
-                count += there
-            total = total + (rise / np.maximum(count, 1)) ** 2
-        return np.sqrt(total)
-
-
-def advection_diffusion(t: Tile, m: float, u: float, k: float, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(z, residual, channel mask: none) of U + D lap z - K A^m S = 0 with observed boundary elevations."""
-    c = t.diffusion(d) + k * t.incision(m)
-    fixed = t.edge.copy()
-    fixed[t.perimeter_outlet()] = True
-    c, b = t.pinned(c, np.full(t.z.shape, -u), fixed | ~t.valid, np.where(t.valid, t.z, 0.0))
-    z = solve_stencil(c, b)
-    return np.where(t.valid, z, np.nan), residual(c, b, z), np.zeros_like(t.valid)
-
-
-def threshold(t: Tile, m: float, u: float, k: float, d: float, a_crit: float, s_c: float | None = None, max_iter: int = 50, tol: float = 1e-6, paths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(z, residual, channel mask): channels from path integration, diffusion on hillslopes.
-
-    With ``s_c`` diffusivity grows with slope and the system is solved again until elevations settle."""
-    if max_iter < 1:
-        raise ValueError("max_iter must be at least 1")
-    channel = t.valid & (t.drive >= a_crit)
-    channel[t.out] = True
-    known = t.channel_paths(m, u / k) if paths is None else paths
-    value = np.where(channel, known, t.edge_values())
-    fixed = channel | t.edge | ~t.valid
-    value = np.where(t.valid, value, 0.0)
-    b = np.full(t.z.shape, -u)
-
-    def solve(diffusivity: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c, rhs = t.pinned(t.diffusion(diffusivity), b, fixed, value)
-        z = solve_stencil(c, rhs)
-        return z, residual(c, rhs, z)
-
-    z, left = solve(d)
-    slopes = ~fixed
-    for _ in range(max_iter if s_c is not None and slopes.any() else 0):
-        ratio = np.clip(t.mean_side_slope(np.where(t.valid, z, np.nan)) / s_c, -0.99, 0.99)
-        new, left = solve(np.where(slopes, d / (1 - ratio**2), d))
-        moved = np.abs(new - z)[slopes].max()
+SCENARIO = ["model", "m", "u", "k", "d", "a_crit", "s_c"]
+MAX_SCENARIOS = 10_000
+"""Scenarios are runs, not data: a longer table is refused before it is broadcast."""
+
+
+def nine(of: dict[tuple[int, int], Column]) -> Column:
+    """A stencil as an array in the order of OFFSETS; what is not given is zero."""
+    return F.array(*(of.get(o, F.lit(0.0)) for o in OFFSETS))
+
+
+def coefficients(cells: DataFrame, dx: float, kind: str = "d8") -> DataFrame:
+    """Append ``flow`` (slope towards receivers), ``spread`` (five-point Laplacian) and ``drive`` (the area
+    that drives incision) of every cell; only valid neighbours (area known) have entries."""
+    near = stencil.eight_neighbours(cells, "area", "a")
+    there = {(dj, di): F.col(f"a_{routing.SIDES[code]}").isNotNull() for code, di, dj in routing.D8}
+    unit = 1.0 / (dx * dx)
+    spread = {o: F.when(there[o], unit).otherwise(0.0) for o in SIDES} | {(0, 0): F.lit(-4.0 * unit)}
+    flow: dict[tuple[int, int], list[Column]] = {}
+    if kind == "d8":
+        for code, di, dj in routing.D8:
+            flow[dj, di] = [F.when((F.col("fd") == code) & there[dj, di], 1.0 / (dx * math.hypot(di, dj)))]
+    else:
+        cos, sin = F.cos("r") / dx, F.sin("r") / dx
+        for n, (a, b, _) in enumerate(routing.FACETS):
+            to = [(routing.STEP[c][1], routing.STEP[c][0]) for c in (a, b)]
+            at, (has_a, has_b) = F.col("facet") == n, (there[o] for o in to)
+            flow.setdefault(to[0], []).append(F.when(at & has_a & has_b, cos - sin).when(at & has_a, cos))
+            flow.setdefault(to[1], []).append(F.when(at & has_b, sin))
+    ahead = {o: sum((F.coalesce(x, F.lit(0.0)) for x in parts[1:]), F.coalesce(parts[0], F.lit(0.0))) for o, parts in flow.items()}
+    ahead[0, 0] = -sum(ahead.values())
+    drive = F.col("area") if kind == "d8" else F.col("area_dinf")
+    return near.withColumn("spread", nine(spread)).withColumn("flow", nine(ahead)).withColumn("drive", drive).drop(*(f"a_{s}" for s in routing.SIDES.values()))
+
+
+def prepared(cells: DataFrame, dx: float, m: float, kind: str = "d8", paths: bool = True) -> DataFrame:
+    """What all scenarios of one exponent share: tile_id, j, i, z, valid, drive, flow, spread, is_boundary,
+    z_bc, is_outlet, edge_outlet, and elevations along channels as path + U / K x path_unit."""
+    held = routing.boundary_values(coefficients(cells, dx, kind)).withColumn("valid", F.col("area").isNotNull())
+    for name, where in (("is_outlet", routing.outlet(cells)), ("edge_outlet", routing.perimeter_outlet(cells))):
+        held = held.join(where.select("tile_id", F.col("out_j").alias("j"), F.col("out_i").alias("i"), F.lit(True).alias(name)), CELL, "left")
+    held = held.select(*CELL, "z", "valid", "drive", "flow", "spread", "is_boundary", "z_bc", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("is_outlet", "edge_outlet")))
+    if not paths:
+        return held.withColumn("path", F.lit(None).cast("double")).withColumn("path_unit", F.lit(None).cast("double"))
+    walked = routing.channel_paths(cells, dx, m) if kind == "d8" else routing.dinf_channel_paths(cells, dx, m)
+    return held.join(walked, CELL, "left")
+
+
+def system(held: DataFrame, scenarios: DataFrame, only: Column) -> DataFrame:
+    """Prepared cells x scenarios -> the equations of each run: scenario, tile_id, j, i, flow, spread, u, d,
+    s_c (NULL: linear), fixed, value, is_channel, z (to start from), valid."""
+    runs = held.crossJoin(F.broadcast(scenarios)).where(only)  # a short list of runs, see MAX_SCENARIOS
+    slow = F.col("model") == "ad"
+    channel = F.when(slow, False).otherwise(F.col("valid") & (F.coalesce(F.col("drive") >= F.col("a_crit"), F.lit(False)) | F.col("is_outlet")))
+    fixed = ~F.col("valid") | F.col("is_boundary") | F.when(slow, F.col("edge_outlet")).otherwise(channel)
+    value = F.when(slow, F.col("z")).when(channel, F.col("path") + F.col("u") / F.col("k") * F.col("path_unit")).otherwise(F.col("z_bc"))
+    power = F.when(slow & F.col("valid"), F.coalesce(F.col("k") * F.pow("drive", "m"), F.lit(0.0))).otherwise(0.0)
+    return runs.select(
+        "scenario", *CELL, F.transform("flow", lambda c: c * power).alias("flow"), "spread", "u", "d", F.when(F.col("model") == "nonlinear", F.col("s_c")).alias("s_c"),
+        fixed.alias("fixed"), F.when(F.col("valid"), value).otherwise(0.0).alias("value"), channel.alias("is_channel"), "z", "valid",
+    )
+
+
+def arrays(rows: pd.DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
+    """Columns of a rectangle of cells as arrays [j, i] (stencils: [3, 3, j, i]); cells without a row are fixed at 0."""
+    j, i = (rows[c].to_numpy() - rows[c].min() for c in ("j", "i"))
+    ny, nx = j.max() + 1, i.max() + 1
+    out = {"at": (j, i)}
+    for c in columns:
+        if c in ("flow", "spread"):
+            out[c] = np.zeros((3, 3, ny, nx))
+            out[c][:, :, j, i] = np.stack(rows[c].to_numpy()).T.reshape(3, 3, -1)
+        else:
+            values = rows[c].to_numpy()
+            out[c] = np.full((ny, nx), c == "fixed") if values.dtype == bool else np.zeros((ny, nx))
+            out[c][j, i] = values
+    return out
+
+
+def side_slope(z: np.ndarray, there: np.ndarray, dx: float) -> np.ndarray:
+    """Length of the gradient from available one-sided differences (as stencil.one_sided_slope)."""
+    wide, ok = np.pad(z, 1), np.pad(there, 1)
+    ny, nx = z.shape
+    total = 0.0
+    for pair in (SIDES[:2], SIDES[2:]):
+        rise, count = np.zeros_like(z), np.zeros_like(z)
+        for sign, (dj, di) in zip((-1, 1), pair, strict=True):
+            at = slice(1 + dj, 1 + dj + ny), slice(1 + di, 1 + di + nx)
+            rise += np.where(ok[at], sign * (wide[at] - z) / dx, 0.0)
+            count += ok[at]
+        total = total + (rise / np.maximum(count, 1)) ** 2
+    return np.sqrt(total)
+
+
+def solve_linear(g: dict[str, np.ndarray], d: np.ndarray) -> np.ndarray:
+    """Elevations under diffusivity d; fixed cells have identities as equations."""
+    c = g["flow"] + d * g["spread"]
+    c[:, :, g["fixed"]] = 0.0
+    c[1, 1, g["fixed"]] = 1.0
+    return solve_stencil(c, np.where(g["fixed"], g["value"], -g["u"]))
+
+
+def solve_block(g: dict[str, np.ndarray], s_c: float | None, dx: float, start: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Elevations, and whether they have settled: with ``s_c`` diffusivity grows with slope, and the system is
+    solved again until elevations move by less than PICARD_TOL. ``start``: elevations to begin with."""
+    free = ~g["fixed"]
+    curved = s_c is not None and np.isfinite(s_c) and free.any()
+    z = start if curved and start is not None else solve_linear(g, g["d"])
+    for _ in range(PICARD_ROUNDS if curved else 0):
+        ratio = np.clip(side_slope(z, g["valid"], dx) / s_c, -0.99, 0.99)
+        new = solve_linear(g, np.where(free, g["d"] / (1 - ratio**2), g["d"]))
+        moved = np.abs(new - z)[free].max()
         z = new
-        if moved < tol:
-            break
-    return np.where(t.valid, z, np.nan), left, channel
-
+        if not moved >= PICARD_TOL:
+            return z, bool(np.isfinite(moved))
+    return z, not curved
 
-def run_model(t: Tile, s: pd.Series | dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model that a scenario names: ad, threshold or nonlinear."""
-    if s["model"] == "ad":
-        return advection_diffusion(t, s["m"], s["u"], s["k"], s["d"])
-    return threshold(t, s["m"], s["u"], s["k"], s["d"], s["a_crit"], s["s_c"] if s["model"] == "nonlinear" else None)
 
+def relax(equations: DataFrame, dx: float, block: int = BLOCK, margin: int = MARGIN, rounds: int = ROUNDS) -> DataFrame:
+    """Equations (see :func:`system`; dx is the spacing for slopes) -> scenario, tile_id, j, i, z, is_channel, status.
 
-def solve_models(cells: DataFrame, scenarios: DataFrame, dx: float, routing: str = "d8") -> DataFrame:
-    """Cells x scenarios -> scenario, tile_id, j, i, z, residual, is_channel, status.
-
-    scenarios: (scenario, model, m, u, k, d, a_crit, s_c), one row a run; a small table (its rows are
-    runs, not data). A run that fails gives NULL elevations and the reason as its status, the others go
-    on."""
-    use_package(cells.sparkSession)
-    names = ["model", "m", "u", "k", "d", "a_crit", "s_c"]
+    Each round solves all blocks of the tiles under way; a tile has settled when no elevation moves by
+    SETTLED or more. What has not after ``rounds`` is "not converged"; a block that can't be solved gives
+    its tile the reason as status. The driver sees whether any tile is left."""
+    use_package(equations.sparkSession)
+    run, reach = ["scenario", "tile_id"], margin + 1
+    equations = stage(equations, "equations")
+    names = ["flow", "spread", "u", "d", "fixed", "value", "valid"]
+    near = lambda x: F.explode(F.sequence(F.greatest(F.floor((F.col(x) - reach) / block), F.lit(0)), F.floor((F.col(x) + reach) / block)))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows[["scenario", "tile_id", "j", "i"]].copy()
+        first = rows.iloc[0]
+        low_j, low_i = int(first["bj"]) * block, int(first["bi"]) * block
+        own = rows["j"].between(low_j, low_j + block - 1) & rows["i"].between(low_i, low_i + block - 1)
+        out = rows.loc[own, ["scenario", *CELL]].copy()
+        if out.empty:
+            return out.assign(z=0.0, moved=0.0, status="ok")
+        ring = (rows["j"] == low_j - reach) | (rows["j"] == low_j + block - 1 + reach) | (rows["i"] == low_i - reach) | (rows["i"] == low_i + block - 1 + reach)
+        before = rows["z"].fillna(0.0)
+        rows = rows.assign(value=rows["value"].where(rows["fixed"] | ~ring, before), fixed=rows["fixed"] | ring)
         try:
-            t = Tile.of(rows, dx, routing)
-            z, left, channel = run_model(t, rows.iloc[0][names])
-            at = rows["j"], rows["i"]
-            return out.assign(z=z[at], residual=left[at], is_channel=channel[at], status="ok")
+            g = arrays(rows, names)
+            z, settled = solve_block(g, first["s_c"], dx)
+            z = z[g["at"]][own.to_numpy()]
+            return out.assign(z=z, moved=np.abs(z - before[own].to_numpy()), status="ok" if settled else "not converged")
         except (ValueError, np.linalg.LinAlgError) as e:
-            return out.assign(z=np.nan, residual=np.nan, is_channel=False, status=str(e)[:200])
-
-    wanted = ["tile_id", "j", "i", "z", "area"] + (["fd"] if routing == "d8" else ["facet", "r", "area_dinf"])
-    runs = cells.select(*wanted).crossJoin(F.broadcast(scenarios.select("scenario", *names)))
-    out = runs.groupBy("scenario", "tile_id").applyInPandas(one, "scenario string, tile_id string, j int, i int, " + RESULT)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("z", "residual")})
+            return out.assign(z=np.nan, moved=0.0, status=str(e)[:200])
+
+    done: DataFrame | None = None
+    z = equations.select("scenario", *CELL, "z")
+    for n in range(rounds):
+        now = equations.drop("z").join(z, ["scenario", *CELL]) if n else equations
+        dealt = now.withColumn("bj", near("j")).withColumn("bi", near("i"))
+        solved = dealt.groupBy("scenario", "tile_id", "bj", "bi").applyInPandas(one, "scenario string, tile_id string, j int, i int, z double, moved double, status string")
+        solved = stage(solved, "solved")
+        box = solved.groupBy(*run).agg(F.max("j").alias("nj"), F.max("i").alias("ni"), F.max("moved").alias("moved"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("bad"))
+        several = (F.col("nj") >= block) | (F.col("ni") >= block)
+        under_way = several & (F.col("moved") >= SETTLED) & ~F.isnan("moved") & F.col("bad").isNull()
+        box = stage(box.select(*run, under_way.alias("more"), F.coalesce(F.when(under_way, "not converged"), "bad", F.lit("ok")).alias("verdict")), "verdicts")
+        ended = solved.join(box.where("NOT more").select(*run, "verdict"), run) if n + 1 < rounds else solved.join(box.select(*run, "verdict"), run)
+        ended = ended.select("scenario", *CELL, "z", F.col("verdict").alias("status"))
+        done = ended if done is None else done.unionByName(ended)
+        going = box.where("more").select(*run)
+        if going.isEmpty():
+            break
+        z = solved.join(going, run).select("scenario", *CELL, "z")
+    assert done is not None
+    known = F.when(F.col("valid") & (F.col("status") == "ok") & ~F.isnan("z"), F.col("z"))
+    return equations.select("scenario", *CELL, "is_channel", "valid").join(done, ["scenario", *CELL]).select("scenario", *CELL, known.alias("z"), "is_channel", "status")
+
+
+def solve_models(cells: DataFrame, scenarios: DataFrame, dx: float, routing_kind: str = "d8", block: int = BLOCK) -> DataFrame:
+    """Cells x scenarios -> scenario, tile_id, j, i, z, is_channel, status.
+
+    scenarios: (scenario, model, m, u, k, d, a_crit, s_c), one row a run, for all tiles, or with a column
+    tile_id for that tile alone; model: ad, threshold or nonlinear. A run that fails or does not settle
+    gives NULL elevations and the reason as its status, the others go on."""
+    rows = scenarios.select("scenario", *SCENARIO, *(["tile_id"] if "tile_id" in scenarios.columns else [])).limit(MAX_SCENARIOS + 1).collect()
+    if len(rows) > MAX_SCENARIOS:
+        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
+    kinds = "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double" + ", tile_id string" * ("tile_id" in scenarios.columns)
+    parts = []
+    for m in sorted({r["m"] for r in rows}):
+        mine = [r for r in rows if r["m"] == m]
+        table = cells.sparkSession.createDataFrame([tuple(r) for r in mine], kinds)
+        some, only = cells, F.lit(True)
+        if "tile_id" in table.columns:  # as long as the scenarios, so bounded like them
+            some = cells.join(F.broadcast(table.select("tile_id").distinct()), "tile_id", "left_semi")
+            table, only = table.withColumnRenamed("tile_id", "_for"), F.col("_for") == F.col("tile_id")
+        held = stage(prepared(some, dx, m, routing_kind, paths=any(r["model"] != "ad" for r in mine)), "prepared")
+        parts.append(system(held, table, only))
+    return relax(reduce(DataFrame.unionByName, parts), dx, block)
 
 
 def misfit(modelled: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
@@ -231,90 +232,88 @@ def misfit(modelled: DataFrame, observed: DataFrame, keys: list[str]) -> DataFra
     return both.groupBy(*keys).agg(F.avg(gap * gap).alias("mse"), F.count(gap).alias("n"))
 
 
-def calibrate(cells: DataFrame, what: str, base: dict, bounds: dict[str, tuple[float, float]], dx: float, routing: str = "d8", rounds: int | None = None) -> DataFrame:
+def calibrate(cells: DataFrame, what: str, base: dict, bounds: dict[str, tuple[float, float]], dx: float, kind: str = "d8", rounds: int | None = None) -> DataFrame:
     """Per tile: the parameters within ``bounds`` whose model comes closest to the observed elevations.
 
     what: the model; base: its other parameters and the starting values. The search runs over log10 of
-    the parameters until it converges, a tile a task; the status of a tile that has not after ``rounds``
-    (200 a parameter unless given) is "not converged". Returns tile_id, each parameter, mse, mse_start,
-    status. Elevations along channels are affine in U / K, so they are integrated once a tile and scaled."""
+    the parameters until it converges; the status of a tile that has not after ``rounds`` (200 a parameter
+    unless given) is "not converged". Returns tile_id, each parameter, mse, mse_start, status. The system
+    is put together once a tile (elevations along channels are affine in U / K); a search solves it some
+    hundred times one after another, so here a tile is a task."""
     use_package(cells.sparkSession)
     names = list(bounds)
+    columns = ["flow", "spread", "drive", "valid", "is_boundary", "z_bc", "z", "is_outlet", "edge_outlet", "path", "path_unit"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         tile_id = rows["tile_id"].iloc[0]
         try:
-            t = Tile.of(rows, dx, routing)
-            unit = None
-            if what != "ad" and routing == "d8":
-                flat = t.channel_paths(base["m"], 0.0)
-                unit = flat, t.channel_paths(base["m"], 1.0) - flat
+            g = arrays(rows, columns)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                power = np.where(g["valid"] & np.isfinite(g["drive"]), g["drive"] ** base["m"], 0.0)
+            last = {}
 
             def loss(x: np.ndarray) -> float:
-                p = base | dict(zip(names, (10.0**x).tolist(), strict=True)) | {"model": what}
+                p = base | dict(zip(names, (10.0**x).tolist(), strict=True))
                 if what == "ad":
-                    z = advection_diffusion(t, p["m"], p["u"], p["k"], p["d"])[0]
+                    held, value, flow = g["is_boundary"] | g["edge_outlet"], g["z"], p["k"] * power * g["flow"]
                 else:
-                    paths = unit[0] + p["u"] / p["k"] * unit[1] if unit else None
-                    z = threshold(t, p["m"], p["u"], p["k"], p["d"], p["a_crit"], p["s_c"] if what == "nonlinear" else None, paths=paths, tol=1e-4)[0]
-                return float(np.nanmean((z - t.z) ** 2))
+                    channel = g["valid"] & ((g["drive"] >= p["a_crit"]) | g["is_outlet"])
+                    held, value, flow = channel | g["is_boundary"], np.where(channel, g["path"] + p["u"] / p["k"] * g["path_unit"], g["z_bc"]), 0.0 * g["flow"]
+                full = np.ones_like(power)
+                now = g | {"flow": flow, "fixed": held | ~g["valid"], "value": np.where(g["valid"], value, 0.0), "u": p["u"] * full, "d": p["d"] * full}
+                z, settled = solve_block(now, p["s_c"] if what == "nonlinear" else None, dx, last.get("z"))
+                if not settled:
+                    return math.inf
+                last["z"] = z if np.isfinite(z).all() else None
+                return float(np.nanmean(((z - g["z"]) ** 2)[g["valid"]]))
 
             low, high = (np.log10([bounds[n][e] for n in names]) for e in (0, 1))
             start = np.clip(np.log10([base[n] for n in names]), low, high)
+            first = loss(start)
             best, value, converged = search(loss, start, low, high, rounds or 200 * len(names))
-            row = dict(zip(names, (10.0**best).tolist(), strict=True)) | {"mse": value, "mse_start": loss(start), "status": "ok" if converged else "not converged"}
+            row = dict(zip(names, (10.0**best).tolist(), strict=True)) | {"mse": value, "mse_start": first, "status": "ok" if converged else "not converged"}
         except (ValueError, np.linalg.LinAlgError) as e:
             row = dict.fromkeys([*names, "mse", "mse_start"], np.nan) | {"status": str(e)[:200]}
         return pd.DataFrame([{"tile_id": tile_id} | row])
 
-    wanted = ["tile_id", "j", "i", "z", "area"] + (["fd"] if routing == "d8" else ["facet", "r", "area_dinf"])
     schema = "tile_id string, " + ", ".join(f"{n} double" for n in names) + ", mse double, mse_start double, status string"
-    return cells.select(*wanted).groupBy("tile_id").applyInPandas(one, schema)
+    held = prepared(cells, dx, base["m"], kind, paths=what != "ad")
+    return held.groupBy("tile_id").applyInPandas(one, schema)
 
 
-def solve_planform(u: float, k: float, m: float, d: float, nx: int, ny: int, dx: float, dy: float, a_top: float, no_flux: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(z, area, stencil, right side) on a V-shaped planform with z = 0 at the outlet.
+def planform_system(scenarios: DataFrame, no_flux: bool) -> DataFrame:
+    """The equations of V-shaped planforms with z = 0 at the outlet; a scenario is a tile of its own.
 
     no_flux False: neighbours beyond an edge are mirrored. True: edge cells repeat the cell next to
     them, except at the top of the centre column, where (and along the bottom) the missing neighbour
     is a zero."""
-    ci = (nx - 1) // 2
-    j, i = np.mgrid[0:ny, 0:nx]
-    area = np.where(i < ci, (i + 1.0) * dx * dy, np.where(i > ci, (nx - i) * dx * dy, a_top + (j + 1.0) * 2 * ci * dx * dy))
-    c, b = np.zeros((3, 3, ny, nx)), np.full((ny, nx), -u)
-    c[1, 1] = -2 * d * (1 / dx**2 + 1 / dy**2)
-    for dj, di in SIDES:
-        inside = (j + dj >= 0) & (j + dj < ny) & (i + di >= 0) & (i + di < nx)
-        unit = d / (dx**2 if di else dy**2)
-        c[dj + 1, di + 1] += unit * inside
-        if not no_flux:
-            c[1 - dj, 1 - di] += unit * ~inside
-    power = k * area**m
-    for where, dj, di, length in ((i < ci, 0, 1, dx), (i > ci, 0, -1, dx), ((i == ci) & (j < ny - 1), 1, 0, dy)):
-        c[1, 1] -= np.where(where, power / length, 0)
-        c[dj + 1, di + 1] += np.where(where, power / length, 0)
-    if no_flux:
-        for where, dj, di in ((((i == 0) & (j > 0)), 0, 1), (((i == nx - 1) & (j > 0)), 0, -1), (((j == 0) & (i != ci)), 1, 0)):
-            c[:, :, where] = 0
-            c[1, 1, where], c[dj + 1, di + 1, where], b[where] = 1.0, -1.0, 0.0
-    c[:, :, ny - 1, ci] = 0
-    c[1, 1, ny - 1, ci], b[ny - 1, ci] = 1.0, 0.0
-    return solve_stencil(c, b), area, c, b
-
-
-def planform_solutions(scenarios: DataFrame, no_flux: bool) -> DataFrame:
-    """Scenarios (scenario, u, k, m, d, nx, ny, dx, dy, a_top) -> cells with z, area and residual, a
-    scenario a task."""
-    use_package(scenarios.sparkSession)
-    names = ["u", "k", "m", "d", "nx", "ny", "dx", "dy", "a_top"]
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        s = rows.iloc[0]
-        values = {n: int(s[n]) if n in ("nx", "ny") else float(s[n]) for n in names}
-        if values["nx"] % 2 == 0 or min(values["nx"], values["ny"]) < 5:
-            raise ValueError("nx must be odd and nx, ny at least 5")
-        z, area, c, b = solve_planform(**values, no_flux=no_flux)
-        j, i = np.mgrid[0 : z.shape[0], 0 : z.shape[1]]
-        return pd.DataFrame({"scenario": s["scenario"], "j": j.ravel(), "i": i.ravel(), "z": z.ravel(), "area": area.ravel(), "residual": (residual(c, b, z) / np.abs(c).sum((0, 1))).ravel()})
-
-    return scenarios.select("scenario", *names).groupBy("scenario").applyInPandas(one, "scenario string, j int, i int, z double, area double, residual double")
+    cells = plan.planform(scenarios)
+    j, i, nx, ny = (F.col(c) for c in ("j", "i", "nx", "ny"))
+    ci = ((nx - 1) / 2).cast("int")
+    beyond = {(0, -1): i == 0, (0, 1): i == nx - 1, (-1, 0): j == 0, (1, 0): j == ny - 1}
+    unit = {o: 1.0 / (F.col("dx") * F.col("dx")) if o[1] else 1.0 / (F.col("dy") * F.col("dy")) for o in SIDES}
+    repeats = {(0, 1): (i == 0) & (j > 0), (0, -1): (i == nx - 1) & (j > 0), (1, 0): (j == 0) & (i != ci)}
+    copies = F.coalesce(*(F.when(w, True) for w in repeats.values()), F.lit(False)) if no_flux else F.lit(False)
+    spread = {o: F.when(copies | beyond[o], 0.0).otherwise(unit[o]) + (F.lit(0.0) if no_flux else F.when(beyond[-o[0], -o[1]], unit[o]).otherwise(0.0)) for o in SIDES}
+    spread[0, 0] = F.when(copies, 0.0).otherwise(-sum(unit[o] for o in SIDES))
+    power = F.col("k") * F.pow("area", "m")
+    inward = {(0, 1): F.when(i < ci, power / F.col("dx")), (0, -1): F.when(i > ci, power / F.col("dx")), (1, 0): F.when((i == ci) & (j < ny - 1), power / F.col("dy"))}
+    flow = {o: F.coalesce(x, F.lit(0.0)) for o, x in inward.items()}
+    flow[0, 0] = -sum(flow.values())
+    if no_flux:  # the row of a repeated cell: z - z of the cell next to it = 0; the first that fits
+        same = [*repeats.items()][::-1]
+        pick = {o: F.lit(0.0) for o in repeats}
+        for o, w in same:
+            pick = {p: F.when(w, -1.0 if p == o else 0.0).otherwise(x) for p, x in pick.items()}
+        flow = {o: F.when(copies, pick[o]).otherwise(flow[o]) for o in repeats} | {(0, 0): F.when(copies, 1.0).otherwise(flow[0, 0])}
+    return cells.select(
+        "scenario", F.col("scenario").alias("tile_id"), "j", "i", nine(flow).alias("flow"), nine(spread).alias("spread"), F.when(copies, 0.0).otherwise(F.col("u")).alias("u"), "d",
+        F.lit(None).cast("double").alias("s_c"), F.col("is_outlet").alias("fixed"), F.lit(0.0).alias("value"), F.lit(False).alias("is_channel"), F.lit(0.0).alias("z"), F.lit(True).alias("valid"), "area",
+    )
+
+
+def planform_solutions(scenarios: DataFrame, no_flux: bool, block: int = BLOCK) -> DataFrame:
+    """Scenarios (scenario, u, k, m, d, nx, ny, dx, dy, a_top) -> scenario, j, i, z, area, status."""
+    equations = planform_system(scenarios, no_flux)
+    z = relax(equations.drop("area"), 1.0, block)
+    return z.join(equations.select("scenario", "j", "i", "area"), ["scenario", "j", "i"]).select("scenario", "j", "i", "z", "area", "status")

@@ -146,12 +146,10 @@ def masks(cells: DataFrame, a_crit: float) -> DataFrame:
     return marked.withColumn("is_channel", F.coalesce(channel, F.lit(False))).withColumn("is_hillslope", F.col("area").isNotNull() & ~F.col("is_channel") & ~F.col("is_boundary")).drop("is_outlet")
 
 
-def channel_elevation(cells: DataFrame, dx: float, u: float, k: float, m: float) -> DataFrame:
-    """Append ``z_channel``: elevations integrated upstream from the boundary over D8 flow.
-
-    z = z of the receiver + (U / K) dL / A^m. The sum along the path does not depend on U / K, so it is
-    taken once by pointer doubling. NULL where no path leads to the boundary or a slope is not finite.
-    """
+def channel_paths(cells: DataFrame, dx: float, m: float) -> DataFrame:
+    """(tile_id, j, i, path, path_unit): elevation of the boundary cell that a cell's D8 path leads to, and
+    the sum of dL / A^m on the way, by pointer doubling. NULL where no path leads to the boundary or a slope
+    is not finite."""
     known = boundary_values(cells).where(F.col("area").isNotNull())
     edges = downstream(known.select(*CELL, "area", "fd"), "area")
     own = F.when(F.col("area") > 0, F.col("steps") * dx / F.pow("area", F.lit(float(m))))
@@ -160,11 +158,38 @@ def channel_elevation(cells: DataFrame, dx: float, u: float, k: float, m: float)
     node = F.struct("j", "i")
     nodes = joined.select("tile_id", node.alias("node"), F.when(stops, node).otherwise(F.struct(F.col("dn_j").alias("j"), F.col("dn_i").alias("i"))).alias("ptr"), F.when(stops, 0.0).otherwise(own).alias("acc"))
     sums = path_sums(nodes)
-    base = known.where(F.col("z_bc").isNotNull()).select("tile_id", F.struct("j", "i").alias("ptr"), "z_bc")
-    found = sums.join(base, ["tile_id", "ptr"], "left").select("tile_id", "node.j", "node.i", (F.col("z_bc") + u / k * F.col("acc")).alias("z_channel"))
+    base = known.where(F.col("z_bc").isNotNull()).select("tile_id", F.struct("j", "i").alias("ptr"), F.col("z_bc").alias("path"))
+    return sums.join(base, ["tile_id", "ptr"], "left").select("tile_id", "node.j", "node.i", "path", F.when(F.col("path").isNotNull(), F.col("acc")).alias("path_unit"))
+
+
+def channel_elevation(cells: DataFrame, dx: float, u: float, k: float, m: float) -> DataFrame:
+    """Append ``z_channel``: elevations integrated upstream from the boundary over D8 flow.
+
+    z = z of the receiver + (U / K) dL / A^m. The sum along the path does not depend on U / K. NULL where no
+    path leads to the boundary or a slope is not finite."""
+    found = channel_paths(cells, dx, m).select(*CELL, (F.col("path") + u / k * F.col("path_unit")).alias("z_channel"))
     return cells.join(found, CELL, "left").select(*cells.columns, "z_channel")
 
 
+def dinf_channel_paths(cells: DataFrame, dx: float, m: float) -> DataFrame:
+    """(tile_id, j, i, path, path_unit) over D-infinity flow: elevations upstream of the boundary are affine
+    in U / K, path + U / K x path_unit. The order of the queue matters, so a tile is a task."""
+    use_package(cells.sparkSession)
+
+    def walk(tile: pd.DataFrame) -> pd.DataFrame:
+        _, _, g = rasters(tile, ["z", "area_dinf", "facet", "r", "z_bc"])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = 1.0 / g["area_dinf"] ** m
+        facet = np.where(np.isfinite(g["facet"]), g["facet"], -1)
+        flat, unit = (dinf_channels(g["z"], facet, g["r"], u * slope, g["z_bc"], dx) for u in (0.0, 1.0))
+        at = tile["j"], tile["i"]
+        return tile[CELL].assign(path=flat[at], path_unit=(unit - flat)[at])
+
+    known = boundary_values(cells).select(*CELL, "z", "area_dinf", "facet", "r", "z_bc")
+    out = known.groupBy("tile_id").applyInPandas(walk, "tile_id string, j int, i int, path double, path_unit double")
+    return out.select(*CELL, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("path", "path_unit")))
+
+
 def dinf_direction(cells: DataFrame, dx: float) -> DataFrame:
     """Append facet (0-7), r (0..pi/4), angle_ref and angle of the steepest D-infinity fall.
 
@@ -312,28 +337,36 @@ def flooded(z: np.ndarray) -> np.ndarray:
     return out
 
 
-def channel_slope_by_drop(cells: DataFrame, dx: float, interval: float, min_area: float) -> DataFrame:
+def channel_slope_by_drop(cells: DataFrame, dx: float, interval: float, min_area: float, max_levels: int = 40) -> DataFrame:
     """(tile_id, j, i, area, slope) of cells with area >= min_area: follow D8 flow until the fall reaches
     ``interval`` (or the path ends) and divide fall by length.
 
-    An approximation of a smoothed channel slope; it claims no equality with any other."""
-    use_package(cells.sparkSession)
-
-    def walk(tile: pd.DataFrame) -> pd.DataFrame:
-        ny, nx, g = rasters(tile, ["z", "area", "fd"])
-        rows = []
-        for j, i in zip(*np.nonzero(g["area"] >= min_area), strict=True):
-            a, b, length, seen = int(j), int(i), 0.0, 0
-            while np.isfinite(g["fd"][a, b]) and g["z"][j, i] - g["z"][a, b] < interval and seen <= ny * nx:
-                di, dj = STEP.get(int(g["fd"][a, b]), (0, 0))
-                if not (0 <= a + dj < ny and 0 <= b + di < nx and np.isfinite(g["z"][a + dj, b + di]) and (di or dj)):
-                    break
-                a, b, length, seen = a + dj, b + di, length + dx * math.hypot(di, dj), seen + 1
-            if length:
-                rows.append((tile["tile_id"].iloc[0], int(j), int(i), g["area"][j, i], (g["z"][j, i] - g["z"][a, b]) / length))
-        return pd.DataFrame(rows, columns=["tile_id", "j", "i", "area", "slope"])
-
-    return cells.groupBy("tile_id").applyInPandas(walk, "tile_id string, j int, i int, area double, slope double")
+    An approximation of a smoothed channel slope; it claims no equality with any other. By doubling: each
+    level knows where 2^n steps lead, how long they are and the lowest cell on them; going down the
+    levels, a cell jumps as long as nothing on the way is low enough, then takes one step more."""
+    node = lambda j, i: F.when(F.col(j).isNotNull(), F.struct(F.col(j).alias("j"), F.col(i).alias("i")))
+    height = cells.where(F.col("z").isNotNull()).select("tile_id", F.struct("j", "i").alias("node"), "z")
+    edges = downstream(cells).where("dn_j IS NOT NULL").select("tile_id", F.struct("j", "i").alias("node"), node("dn_j", "dn_i").alias("ptr"), (F.col("steps") * dx).alias("length"))
+    low = height.select("tile_id", F.col("node").alias("ptr"), F.col("z").alias("low"))
+    levels = [stage(edges.join(low, ["tile_id", "ptr"]).select("tile_id", "node", "ptr", "length", "low", F.lit(True).alias("grew")), "level")]
+    while not levels[-1].where("grew").isEmpty():
+        if len(levels) > max_levels:
+            raise ValueError("flow directions form a cycle")
+        last = levels[-1]
+        ahead = last.select("tile_id", F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("length").alias("more"), F.col("low").alias("lower"))
+        new = last.join(ahead, ["tile_id", "ptr"], "left")
+        levels.append(stage(new.select("tile_id", "node", F.coalesce("next", "ptr").alias("ptr"), (F.col("length") + F.coalesce("more", F.lit(0.0))).alias("length"), F.least("low", "lower").alias("low"), F.col("next").isNotNull().alias("grew")), "level"))
+    start = cells.where((F.col("area") >= min_area) & F.col("z").isNotNull())
+    walk = start.select(*CELL, "area", "z", F.struct("j", "i").alias("node"), F.lit(0.0).alias("run"))
+    for level in reversed(levels):
+        jump = level.select("tile_id", "node", "ptr", "length", "low")
+        met = walk.join(jump, ["tile_id", "node"], "left")
+        going = F.col("low") > F.col("z") - interval
+        walk = met.select(*CELL, "area", "z", F.when(going, F.col("ptr")).otherwise(F.col("node")).alias("node"), (F.col("run") + F.when(going, F.col("length")).otherwise(0.0)).alias("run"))
+    step = levels[0].select("tile_id", "node", "ptr", "length")
+    ended = walk.join(step, ["tile_id", "node"], "left").select(*CELL, "area", "z", F.coalesce("ptr", "node").alias("node"), (F.col("run") + F.coalesce("length", F.lit(0.0))).alias("run")).where("run > 0")
+    bottom = height.withColumnRenamed("z", "z_end")
+    return ended.join(bottom, ["tile_id", "node"]).select(*CELL, "area", ((F.col("z") - F.col("z_end")) / F.col("run")).alias("slope"))
 
 
 def flow(cells: DataFrame, dx: float) -> DataFrame:
@@ -341,5 +374,3 @@ def flow(cells: DataFrame, dx: float) -> DataFrame:
     directed = stage(d8_direction(cells, dx), "directed")
     area = accumulate(downstream(directed), dx * dx)
     return directed.join(area, CELL, "left")
-
-

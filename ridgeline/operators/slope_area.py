@@ -106,8 +106,9 @@ def fit_free(points: DataFrame, keys: list[str], min_points: int = 5) -> DataFra
     return fit.select(*keys, F.when(enough, F.pow(F.lit(10.0), "intercept")).alias("ks"), F.when(enough, -F.col("slope")).alias("theta"), *(F.when(enough, F.col(c)).alias(c) for c in ("r2", "intercept", "slope")), "n_good")
 
 
-def fit_fixed(points: DataFrame, keys: list[str], theta: float, min_points: int = 5) -> DataFrame:
-    """keys, ks, r2, n_good, a_max with the exponent given: the intercept is the mean of log S + theta log A."""
+def fit_fixed(points: DataFrame, keys: list[str], theta: float | Column, min_points: int = 5) -> DataFrame:
+    """keys, ks, r2, n_good, a_max with the exponent given (a number, or a column among the keys): the
+    intercept is the mean of log S + theta log A."""
     pts = log_points(points, keys)
     c = F.avg(F.col("log_s") + theta * F.col("log_a"))
     mean = pts.groupBy(*keys).agg(c.alias("c"), F.avg("log_s").alias("my"), F.count("*").alias("n_good"), F.max("log_a").alias("top"))
@@ -117,9 +118,10 @@ def fit_fixed(points: DataFrame, keys: list[str], theta: float, min_points: int
     return fit.select(*keys, F.when(enough, F.pow(F.lit(10.0), "c")).alias("ks"), F.when(enough & (F.col("tot") > 0), 1.0 - F.col("res") / F.col("tot")).alias("r2"), "n_good", F.pow(F.lit(10.0), "top").alias("a_max"))
 
 
-def local_ks(points: DataFrame, keys: list[str], m: float, min_points: int = 5) -> DataFrame:
-    """keys, ks_median, ks_q25, ks_q75, n of S A^m; NULL statistics below ``min_points``."""
-    pts = usable(points).select(*keys, (F.col("s") * F.pow("a", F.lit(m))).alias("ks")).where(F.col("ks") > 0)
+def local_ks(points: DataFrame, keys: list[str], m: float | Column, min_points: int = 5) -> DataFrame:
+    """keys, ks_median, ks_q25, ks_q75, n of S A^m (m a number, or a column among the keys); NULL statistics
+    below ``min_points``."""
+    pts = usable(points).select(*keys, (F.col("s") * F.pow("a", m if isinstance(m, Column) else F.lit(m))).alias("ks")).where(F.col("ks") > 0)
     q = pts.groupBy(*keys).agg(F.percentile("ks", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
     enough = F.col("n") >= min_points
     return q.select(*keys, *(F.when(enough, F.col("q")[k]).alias(f"ks_{name}") for k, name in ((1, "median"), (0, "q25"), (2, "q75"))), "n")

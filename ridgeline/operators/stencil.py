@@ -1,7 +1,8 @@
-"""Neighbourhood operators on dense cell tables.
+"""Neighbourhood operators on cell tables.
 
-Cells are dealt by tile once; the windows along rows and along columns then need sorts only, since a
-hash of the tile already brings each row and each column together.
+Cells are dealt by blocks of a tile, each with the one cell around it that its neighbourhoods reach; the
+windows along a block's rows and columns then need sorts only, and a large tile keeps many tasks busy. A
+neighbour counts only if it is the very next cell: a cell without a row is as good as NoData.
 """
 
 from __future__ import annotations
@@ -10,38 +11,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+BLOCK = 256
+"""Cells of a block's side."""
+DEALT = ["tile_id", "_bj", "_bi"]
+
 
 def along_row() -> WindowSpec:
-    return Window.partitionBy("tile_id", "j").orderBy("i")
+    return Window.partitionBy(*DEALT, "j").orderBy("i")
 
 
 def along_column() -> WindowSpec:
-    return Window.partitionBy("tile_id", "i").orderBy("j")
+    return Window.partitionBy(*DEALT, "i").orderBy("j")
+
+
+def by_block(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Deal cells to the blocks whose cells have them as neighbours."""
+    reach = lambda x: F.explode(F.sequence(F.greatest(F.floor((F.col(x) - 1) / block), F.lit(0)), F.floor((F.col(x) + 1) / block)))
+    return cells.withColumn("_bj", reach("j")).withColumn("_bi", reach("i")).repartition(*DEALT)
+
 
+def own(dealt: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each cell once, from the block it lies in."""
+    return dealt.where((F.floor(F.col("j") / block) == F.col("_bj")) & (F.floor(F.col("i") / block) == F.col("_bi"))).drop("_bj", "_bi")
 
-def by_tile(cells: DataFrame) -> DataFrame:
-    return cells.repartition("tile_id")
 
+def beside(value: str, along: WindowSpec, axis: str, step: int) -> Column:
+    """The value of the next cell before (-1) or behind (1) on an axis; NULL if that cell has no row."""
+    look = F.lag if step < 0 else F.lead
+    return F.when(look(axis).over(along) == F.col(axis) + step, look(value).over(along))
 
-def four_neighbours(cells: DataFrame, value: str = "z", prefix: str = "z") -> DataFrame:
+
+def four_neighbours(cells: DataFrame, value: str = "z", prefix: str = "z", block: int = BLOCK) -> DataFrame:
     """Append the values to the west, east, north and south (NULL beyond the tile)."""
-    df = by_tile(cells)
-    for name, side in (("w", F.lag(value).over(along_row())), ("e", F.lead(value).over(along_row()))):
-        df = df.withColumn(f"{prefix}_{name}", side)
-    for name, side in (("n", F.lag(value).over(along_column())), ("s", F.lead(value).over(along_column()))):
-        df = df.withColumn(f"{prefix}_{name}", side)
-    return df
+    df = by_block(cells, block)
+    for name, along, axis, step in (("w", along_row(), "i", -1), ("e", along_row(), "i", 1), ("n", along_column(), "j", -1), ("s", along_column(), "j", 1)):
+        df = df.withColumn(f"{prefix}_{name}", beside(value, along, axis, step))
+    return own(df, block)
+
 
+def eight_neighbours(cells: DataFrame, value: str = "z", prefix: str = "z", block: int = BLOCK) -> DataFrame:
+    """Append all eight neighbours' values: first along rows, then rows' triples along columns.
 
-def eight_neighbours(cells: DataFrame, value: str = "z", prefix: str = "z") -> DataFrame:
-    """Append all eight neighbours' values: first along rows, then rows' triples along columns."""
-    df = by_tile(cells).withColumn(f"{prefix}_w", F.lag(value).over(along_row())).withColumn(f"{prefix}_e", F.lead(value).over(along_row()))
+    A cell without a row hides the two beside it from the rows next to it; ``grids.dense`` adds such rows."""
+    df = by_block(cells, block)
+    for name, step in (("w", -1), ("e", 1)):
+        df = df.withColumn(f"{prefix}_{name}", beside(value, along_row(), "i", step))
     triple = F.struct(F.col(value).alias("c"), F.col(f"{prefix}_w").alias("w"), F.col(f"{prefix}_e").alias("e"))
-    df = df.withColumn("_up", F.lag(triple).over(along_column())).withColumn("_down", F.lead(triple).over(along_column()))
+    df = df.withColumn("_triple", triple).withColumn("_up", beside("_triple", along_column(), "j", -1)).withColumn("_down", beside("_triple", along_column(), "j", 1))
     for row, letter in (("_up", "n"), ("_down", "s")):
         for part, end in (("c", ""), ("w", "w"), ("e", "e")):
             df = df.withColumn(f"{prefix}_{letter}{end}", F.col(f"{row}.{part}"))
-    return df.drop("_up", "_down")
+    return own(df.drop("_triple", "_up", "_down"), block)
 
 
 def _gradient(before: Column, here: Column, after: Column, at: Column, last: Column) -> Column:
@@ -51,12 +71,12 @@ def _gradient(before: Column, here: Column, after: Column, at: Column, last: Col
 
 def slope_magnitude(cells: DataFrame, mask: Column | None = None, dx: float = 1.0) -> DataFrame:
     """Append ``slope``: the gradient's length over index spacing (or ``dx``); NULL outside the mask."""
-    df = four_neighbours(cells)
-    df = df.withColumn("_ni", F.max("i").over(Window.partitionBy("tile_id", "j"))).withColumn("_nj", F.max("j").over(Window.partitionBy("tile_id", "i")))
+    box = cells.groupBy("tile_id").agg(F.max("i").alias("_ni"), F.max("j").alias("_nj"))
+    df = four_neighbours(cells).join(box, "tile_id")
     gx = _gradient(F.col("z_w"), F.col("z"), F.col("z_e"), F.col("i"), F.col("_ni"))
     gy = _gradient(F.col("z_n"), F.col("z"), F.col("z_s"), F.col("j"), F.col("_nj"))
     slope = F.sqrt(gx * gx + gy * gy) / dx
-    return df.withColumn("slope", slope if mask is None else F.when(mask, slope)).drop("z_w", "z_e", "z_n", "z_s", "_ni", "_nj")
+    return df.withColumn("slope", slope if mask is None else F.when(mask, slope)).select(*cells.columns, "slope")
 
 
 def laplacian(cells: DataFrame, dx: float, dy: float | None = None) -> DataFrame:
@@ -142,15 +162,15 @@ def trim(cells: DataFrame, fraction: float, rows: int) -> DataFrame:
 
 def centreline_slope(cells: DataFrame, dy: float) -> DataFrame:
     """Along the middle column of each tile: (z - z of the next row) / dy; the last is NULL."""
-    ci = F.floor(F.max("i").over(Window.partitionBy("tile_id", "j")) / 2)
-    line = by_tile(cells).withColumn("_ci", ci).where(F.col("i") == F.col("_ci"))
-    return line.withColumn("slope", (F.col("z") - F.lead("z").over(along_column())) / dy).drop("_ci")
+    box = cells.groupBy("tile_id").agg(F.floor(F.max("i") / 2).alias("_ci"))
+    line = cells.join(box, "tile_id").where(F.col("i") == F.col("_ci")).drop("_ci")  # a column a tile
+    down = beside("z", Window.partitionBy("tile_id").orderBy("j"), "j", 1)
+    return line.withColumn("slope", (F.col("z") - down) / dy)
 
 
 def local_steepness(cells: DataFrame, u: float, k: float, d: float, dx: float, cut: float) -> DataFrame:
     """Per tile: median over trimmed centre-line rows of (U / K + (D / K) lap) / (U / K)."""
-    rows = F.max("j").over(Window.partitionBy("tile_id", "i")) + 1
-    ci = F.floor(F.max("i").over(Window.partitionBy("tile_id", "j")) / 2)
-    df = laplacian(cells, dx).withColumn("_n", rows).withColumn("_ci", ci)
+    box = cells.groupBy("tile_id").agg((F.max("j") + 1).alias("_n"), F.floor(F.max("i") / 2).alias("_ci"))
+    df = laplacian(cells, dx).join(box, "tile_id")
     df = df.where((F.col("i") == F.col("_ci")) & (F.col("j") >= F.floor(cut * F.col("_n"))) & (F.col("j") < F.ceil((1 - cut) * F.col("_n"))))
     return df.groupBy("tile_id").agg(F.median((u / k + d / k * F.col("lap")) / (u / k)).alias("ks_norm"), F.count("lap").alias("n"))

@@ -92,6 +92,13 @@ def spacing(geotransform: Column, dx: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def resampled_georeference(geotransform: Column, dx_target: float, ny: Column, nx: Column) -> Column:
+    """A georeference after resampling: struct(dx, nx, ny, geotransform). The transform keeps its origin and
+    rotation and has the new steps, the one to the south below zero; NULL or shorter than six, it stays."""
+    steps = F.transform(geotransform, lambda x, k: F.when(k == 1, float(dx_target)).when(k == 5, -float(dx_target)).otherwise(x))
+    return F.struct(F.lit(float(dx_target)).alias("dx"), nx.alias("nx"), ny.alias("ny"), F.when(F.size(geotransform) >= 6, steps).otherwise(geotransform).alias("geotransform"))
+
+
 PARAMS = [
     # Region, tile, uplift, concavity, hilltop curvature, steepness, K, D.
     ("AP", 1, 5.5e-5, 0.562, 1.99e-2, 138.555, 4.0e-7, 2.8e-3),

@@ -149,6 +149,44 @@ def test_calibration_recovers_three_parameters_and_marks_a_short_search(spark):
     assert models.calibrate(cells, "threshold", start, bounds, 10.0, rounds=20).first()["status"] == "not converged"
 
 
+def test_blocks_settle_on_what_one_block_gives(spark):
+    """A tile of many blocks, with holes, under each model, is what the direct solution of the whole is."""
+    rough = grid(spark, lambda j, i: 100.0 - 3 * j + 0.8 * ((7 * i + 3 * j) % 5), 26, 22, holes={(7, 9), (8, 9), (20, 3)})
+    cells = routing.flow(rough, 10.0).cache()
+    rows = [(n, n, 0.4, 1e-3, 1e-4, 1e-1, 700.0, 0.8) for n in ("ad", "threshold", "nonlinear")]
+    runs = spark.createDataFrame(rows, studies.SCENARIO)
+    one, many = ({(r["scenario"], r["j"], r["i"]): (r["z"], r["status"]) for r in models.solve_models(cells, runs, 10.0, block=b).collect()} for b in (128, 12))
+    assert one.keys() == many.keys() and len(one) == 3 * 26 * 22
+    for k, (z, status) in one.items():
+        assert status == many[k][1] == "ok" and (z is None) == (many[k][0] is None) and (z is None or z == pytest.approx(many[k][0], abs=1e-4))
+
+
+def test_neighbours_across_blocks_and_beside_missing_cells(spark):
+    z = grid(spark, lambda j, i: 10 * j * j + i * i, 9, 11)
+    whole, cut = ({(r["j"], r["i"]): tuple(r) for r in stencil.eight_neighbours(z, block=b).collect()} for b in (256, 3))
+    assert whole == cut and len(cut) == 99
+    sparse = z.where("i <> 3")
+    lap = at(stencil.laplacian(sparse, 1.0), "lap")
+    assert lap[4, 2] is None and lap[4, 4] is None and lap[4, 6] == pytest.approx(22.0)
+
+
+def test_channel_slopes_by_doubling_are_those_of_a_walk(spark):
+    z = grid(spark, lambda j, i: 100.0 - j + 0.3 * ((5 * i + 3 * j) % 7), 15, 12)
+    cells = routing.flow(z, 10.0).cache()
+    rows = {(r["j"], r["i"]): r for r in cells.collect()}
+    step = {code: (dj, di) for code, di, dj in routing.D8}
+    for interval in (0.5, 3.0, 1e9):
+        want = {}
+        for (j, i), r in rows.items():
+            at_, run = (j, i), 0.0
+            while rows[at_]["fd"] is not None and r["z"] - rows[at_]["z"] < interval:
+                dj, di = step[rows[at_]["fd"]]
+                at_, run = (at_[0] + dj, at_[1] + di), run + 10.0 * math.hypot(dj, di)
+            if run and r["area"] >= 200:
+                want[j, i] = pytest.approx((r["z"] - rows[at_]["z"]) / run)
+        assert at(routing.channel_slope_by_drop(cells, 10.0, interval, 200.0), "slope") == want
+
+
 def test_failed_runs_have_a_status(spark):
     cells = grid(spark, lambda j, i: 1.0, 4, 4).withColumn("area", F.lit(1.0)).withColumn("fd", F.lit(4))
     run = spark.createDataFrame([("x", "ad", 0.5, 0.0, 0.0, 0.0, 0.0, 1.0)], "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double")
