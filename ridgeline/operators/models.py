@@ -66,14 +66,14 @@ def coefficients(cells: DataFrame, dx: float, kind: str = "d8") -> DataFrame:
     return near.withColumn("spread", nine(spread)).withColumn("flow", nine(ahead)).withColumn("drive", drive).drop(*(f"a_{s}" for s in routing.SIDES.values()))
 
 
-def prepared(cells: DataFrame, dx: float, m: float, kind: str = "d8", paths: bool = True) -> DataFrame:
+def prepared(cells: DataFrame, dx: float, m: float | None, kind: str = "d8") -> DataFrame:
     """What all scenarios of one exponent share: tile_id, j, i, z, valid, drive, flow, spread, is_boundary,
-    z_bc, is_outlet, edge_outlet, and elevations along channels as path + U / K x path_unit."""
+    z_bc, is_outlet, edge_outlet, and elevations along channels as path + U / K x path_unit (NULL without m)."""
     held = routing.boundary_values(coefficients(cells, dx, kind)).withColumn("valid", F.col("area").isNotNull())
     for name, where in (("is_outlet", routing.outlet(cells)), ("edge_outlet", routing.perimeter_outlet(cells))):
         held = held.join(where.select("tile_id", F.col("out_j").alias("j"), F.col("out_i").alias("i"), F.lit(True).alias(name)), CELL, "left")
     held = held.select(*CELL, "z", "valid", "drive", "flow", "spread", "is_boundary", "z_bc", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("is_outlet", "edge_outlet")))
-    if not paths:
+    if m is None:
         return held.withColumn("path", F.lit(None).cast("double")).withColumn("path_unit", F.lit(None).cast("double"))
     walked = routing.channel_paths(cells, dx, m) if kind == "d8" else routing.dinf_channel_paths(cells, dx, m)
     return held.join(walked, CELL, "left")
@@ -213,14 +213,15 @@ def solve_models(cells: DataFrame, scenarios: DataFrame, dx: float, routing_kind
         raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
     kinds = "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double" + ", tile_id string" * ("tile_id" in scenarios.columns)
     parts = []
-    for m in sorted({r["m"] for r in rows}):
-        mine = [r for r in rows if r["m"] == m]
+    of = lambda r: None if r["model"] == "ad" else r["m"]  # noqa: E731  (the exponent matters to paths alone)
+    for m in sorted({of(r) for r in rows}, key=str):
+        mine = [r for r in rows if of(r) == m]
         table = cells.sparkSession.createDataFrame([tuple(r) for r in mine], kinds)
         some, only = cells, F.lit(True)
         if "tile_id" in table.columns:  # as long as the scenarios, so bounded like them
             some = cells.join(F.broadcast(table.select("tile_id").distinct()), "tile_id", "left_semi")
             table, only = table.withColumnRenamed("tile_id", "_for"), F.col("_for") == F.col("tile_id")
-        held = stage(prepared(some, dx, m, routing_kind, paths=any(r["model"] != "ad" for r in mine)), "prepared")
+        held = stage(prepared(some, dx, m, routing_kind), "prepared")
         parts.append(system(held, table, only))
     return relax(reduce(DataFrame.unionByName, parts), dx, block)
 
@@ -277,7 +278,7 @@ def calibrate(cells: DataFrame, what: str, base: dict, bounds: dict[str, tuple[f
         return pd.DataFrame([{"tile_id": tile_id} | row])
 
     schema = "tile_id string, " + ", ".join(f"{n} double" for n in names) + ", mse double, mse_start double, status string"
-    held = prepared(cells, dx, base["m"], kind, paths=what != "ad")
+    held = prepared(cells, dx, None if what == "ad" else base["m"], kind)
     return held.groupBy("tile_id").applyInPandas(one, schema)
 
 
