@@ -43,16 +43,20 @@ def pieces(batch: pa.RecordBatch, text_col: str, most_bytes: int = 2 << 20) -> I
 
 
 def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
-    """Let no Arrow batch hold more than 8 MB: long texts come in fewer rows, and a task's memory stays bounded."""
+    """Let no Arrow batch hold more than 8 MB: long texts come in fewer rows, and a task's memory stays bounded.
+
+    The setting is read when a plan runs, so it stays changed; a smaller bound of the caller's stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.sub(r"\D", "", spark.conf.get(name)))
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", spark.conf.get(name).lower()).groups()
+    now = int(number) << 10 * " kmgtp".index(unit or " ")
     if not 0 < now <= most_bytes:
         spark.conf.set(name, str(most_bytes))
 
 
-def with_arrow_columns(df: DataFrame, text_col: str, new: str, setup: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+def with_arrow_columns(df: DataFrame, text_col: str, new: str, setup: Callable[[], Callable[[list], list[pa.Array]]], raw: bool = False) -> DataFrame:
     """Append the columns of the DDL string ``new``; ``setup()`` runs once a task and returns a function
-    from a list of the column's values (null: None) to one Arrow array for each new column."""
+    from a list of the column's values (null: None) to one Arrow array for each new column. ``raw``: the
+    function takes the Arrow array itself."""
     use_package(df.sparkSession)
     small_batches(df.sparkSession)
     added = T.StructType.fromDDL(new)
@@ -62,7 +66,8 @@ def with_arrow_columns(df: DataFrame, text_col: str, new: str, setup: Callable[[
         work = setup()
         for whole in batches:
             for batch in pieces(whole, text_col):
-                values = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                values = batch.column(batch.schema.get_field_index(text_col))
+                values = values if raw else values.to_pylist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(values)], names=schema.names)
                 del values
         pa.default_memory_pool().release_unused()

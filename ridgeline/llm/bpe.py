@@ -3,17 +3,19 @@
 A word's adjacent pairs are the leaves of a segment tree; a leaf holds the pair's merge rank and, as
 the lower digits, its position, so the root is the leftmost pair of the lowest rank. A merge changes
 three leaves, each in logarithmic time, until no pair can merge. The trees of many words of like
-length stand in one numpy array and take their steps together; a text's repeated words are encoded
-once and remembered (bounded).
+length stand in one numpy array and take their steps together; a few words, however long, have a tree
+each. A text's repeated words are encoded once and remembered (bounded).
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ MEMO_CHARS = 48
 """Longer words are not remembered."""
 CELLS = 1 << 19
 """Leaves that step together; bounds a task's memory."""
+FEW = 24
+"""Words of like length that are stepped one by one: a step of numpy costs as much for one word as for these."""
 
 # Fixed value: how byte-level models split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,13 +61,16 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.pair_ranks = np.append(order.astype(np.int64), 0)
+        self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.merged = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
+        self.merged_ids = self.merged.tolist()
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
         of = {c: b for b, c in enumerate(letters)}
         size = max([*ids.values(), *self.added.values()]) + 1
         self.token_bytes = [b""] * size
         for token, i in [*ids.items(), *self.added.items()]:
             self.token_bytes[i] = b"".join(bytes([of[c]]) if c in of else c.encode() for c in token)
+        self.token_array = pa.array(self.token_bytes, pa.binary())
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, NONE where the pair can't merge (or b is -1: no neighbour)."""
@@ -81,6 +88,10 @@ class Vocabulary:
             else:
                 groups.setdefault(1 << (len(word) - 1).bit_length(), []).append(n)
         for width, members in groups.items():
+            if len(members) <= FEW:
+                for n in members:
+                    out[n] = self._encode_one(width, words[n])
+                continue
             step = max(1, CELLS // width)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
@@ -88,6 +99,52 @@ class Vocabulary:
                     out[n] = ids
         return out
 
+    def _encode_one(self, width: int, word: bytes) -> bytes:
+        """Ids of one word, whose adjacent pairs fit ``width`` leaves; about 8 bytes a node of memory."""
+        sym = self.byte_ids[np.frombuffer(word, np.uint8)]
+        rank = self.rank(sym[:-1], sym[1:])
+        nodes = np.full(2 * width, NONE, np.int64)
+        nodes[width : width + len(rank)] = np.where(rank < NONE, rank * width + np.arange(len(rank)), NONE)
+        level = width
+        while level > 1:
+            level //= 2
+            nodes[level : 2 * level] = np.minimum(nodes[2 * level : 4 * level : 2], nodes[2 * level + 1 : 4 * level : 2])
+        n, none = len(word), int(NONE)
+        tree, ids = array("q", nodes.tobytes()), array("q", sym.tobytes())
+        right, left = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        rank_of, merged = self.rank_of.get, self.merged_ids
+        while (root := tree[1]) < none:
+            at = root % width
+            gone, before = right[at], left[at]
+            after = right[at] = right[gone]
+            new = ids[at] = merged[root // width]
+            tree[width + gone] = tree[width + at] = none
+            if after < n:
+                left[after] = at
+                if (r := rank_of(new << 32 | ids[after])) is not None:
+                    tree[width + at] = r * width + at
+            first = at
+            if before >= 0:
+                r = rank_of(ids[before] << 32 | new)
+                tree[width + before] = none if r is None else r * width + before
+                first = before
+            low, mid, high = (width + first) >> 1, (width + at) >> 1, (width + gone) >> 1
+            while mid:  # the leaves' paths to the root, most of them one
+                a, b = tree[2 * mid], tree[2 * mid + 1]
+                tree[mid] = a if a < b else b
+                if low != mid:
+                    a, b = tree[2 * low], tree[2 * low + 1]
+                    tree[low] = a if a < b else b
+                if high != mid:
+                    a, b = tree[2 * high], tree[2 * high + 1]
+                    tree[high] = a if a < b else b
+                low, mid, high = low >> 1, mid >> 1, high >> 1
+        out, k = array("i"), 0
+        while k < n:
+            out.append(ids[k])
+            k = right[k]
+        return out.tobytes()
+
     def _encode(self, width: int, words: list[bytes]) -> list[bytes]:
         n, row = len(words), width + 2
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -179,6 +236,19 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_all(self, rows: pa.ListArray) -> pa.Array:
+        """The texts of all rows at once: their tokens' bytes one after another, cut at the rows' ends."""
+        ends = np.cumsum([0, *pc.list_value_length(rows).fill_null(0).to_pylist()])
+        laid = self.vocabulary.token_array.take(rows.flatten())
+        _, offsets, data = laid.buffers()
+        cuts = np.frombuffer(offsets, np.int32)[: len(laid) + 1][ends] if len(laid) else np.zeros(len(rows) + 1, np.int32)
+        out = pa.StringArray.from_buffers(len(rows), pa.py_buffer(cuts.astype(np.int32)), data or pa.py_buffer(b""))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids that are no whole characters
+            return pa.array([self.decode(ids or []) for ids in rows.to_pylist()], pa.string())
+        return out
+
 
 def _vocabulary(spark, path: str):
     """The file's text in a broadcast variable; one vocabulary of at most some megabytes."""
@@ -196,7 +266,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ``digest`` names a column for xxhash64 of the text, for checking a round trip later.
 
     No special tokens are added; added tokens that stand in a text get their ids, as the library does
-    by default. Null or empty text: an empty array. Repeated rows stay; other columns are ignored.
+    by default. Null or empty text: an empty array. A text of any length is encoded whole. Repeated rows
+    stay, no rows give no rows; other columns are ignored.
     """
     shared = _vocabulary(docs.sparkSession, path)
 
@@ -217,11 +288,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append the text that the ids stand for (special tokens kept; null ids: empty)."""
+    """Append the text that the ids stand for (special tokens kept; null ids: empty). Bytes that are no
+    character become U+FFFD. A column named ``out`` is replaced; repeated rows stay, no rows give no rows."""
     shared = _vocabulary(df.sparkSession, path)
 
-    def setup() -> Callable[[list[list[int] | None]], list[pa.Array]]:
+    def setup() -> Callable[[pa.ListArray], list[pa.Array]]:
         encoder = kept(("bpe", path), lambda: Encoder(Vocabulary(shared.value)))
-        return lambda rows: [pa.array([encoder.decode(ids or []) for ids in rows], pa.string())]
+        return lambda rows: [encoder.decode_all(rows)]
 
-    return with_arrow_columns(df, ids_col, f"{out} string", setup)
+    return with_arrow_columns(df.drop(out), ids_col, f"{out} string", setup, raw=True)
