@@ -39,7 +39,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", turns.alias("turns"), masked.alias("masked"), F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), chat.turn_text(t), F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length("masked").cast("long").alias("loss_chars"),
         F.sha2("masked", 256).alias("loss_sha256"),
         "formatted_chars",
