@@ -64,3 +64,25 @@ def test_clean_documents_stay(spark, sf_dir):
     labels = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
     kept = {r["doc_id"] for r in p.keep_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).collect()}
     assert len(labels - kept) <= 0.02 * len(labels)
+
+
+ODD = [(1, None), (2, ""), (3, "a"), (4, "Some words stand here, more than twelve of them, so that any window of words fits into them."), (4, "Some words stand here, more than twelve of them, so that any window of words fits into them."), (None, "x y z"), (6, " \n\t "), (7, "w" * 50_000)]
+
+
+def test_stages_take_nulls_empties_repeats_and_nothing(spark, make, sf_dir):
+    """What each stage returns for odd rows: the classifier rejects what has no words, the others keep it;
+    rows that share an id and a text go or stay together; a null id is never dropped as a copy or leak."""
+    odd, none = make(*ODD), make()
+    for k, (_, work) in enumerate(p.STAGES):
+        assert work(spark, none, sf_dir).count() == 0
+        ids = sorted((r["doc_id"] for r in work(spark, odd, sf_dir).collect()), key=str)
+        if k == 0:
+            assert 1 not in ids and 2 not in ids and 6 not in ids and ids.count(4) in (0, 2)
+        else:
+            assert ids == sorted((i for i, _ in ODD), key=str)
+
+
+def test_a_very_short_benchmark_item_is_no_evidence(spark, make, tmp_path):
+    spark.createDataFrame([(1, "words"), (2, "six words are enough for this")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = make((1, "clean words stay"), (2, "here six words are enough for this one"))
+    assert [r["doc_id"] for r in p.drop_leaks(spark, docs, str(tmp_path)).collect()] == [1]
