@@ -157,7 +157,7 @@ def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RUNS}, m AS (SELECT location, dx, median(ks_mod) AS v FROM runs GROUP BY ALL), f AS (SELECT location, arg_min(dx, dx) AS x0, arg_min(v, dx) AS y0 FROM m WHERE v > 0 GROUP BY location HAVING count(*) >= 2)
 SELECT location, dx, round(v, 4) AS v, round(y0 * x0 / dx, 4) AS guide FROM m LEFT JOIN f USING (location)""")
 def slope_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = grids.run_results(spark, sf_dir).groupBy("location", "dx").agg(F.median("ks_mod").alias("v"))
+    m = slope_area.quantiles(grids.run_results(spark, sf_dir), ["location", "dx"], "ks_mod", (0.5,)).select("location", "dx", F.col("q")[0].alias("v"))
     return slope_area.guide_line(m, ["location"], "dx", "v").select("location", "dx", *rounded(4, "v", "guide"))
 
 

@@ -11,12 +11,56 @@ from pyspark.sql import functions as F
 
 MIN_POINTS = 30
 MIN_BINS = 3
+ACCURACY = 10_000
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, probs: tuple[float, ...]) -> DataFrame:
+    """keys, q (array of exact quantiles, linear between ranks), n over the values that are not NULL.
+
+    A sketch a key gives cuts close to the wanted ranks, values are counted between cuts, and only the few
+    cells that hold a wanted rank are sorted, after equal values are counted together. No task holds a
+    group: memory does not grow with it, whatever its size. Cuts decide which cells are sorted, never
+    the result. Keys without a value have no row; NULL keys are a key."""
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    near = sorted({min(1.0, max(0.0, p + d / ACCURACY)) for p in probs for d in (-10, -2, 2, 10)})
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", near, ACCURACY).alias("_cuts"))
+    cell = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+    placed = join_keys(rows, sketch, keys).select(*keys, cell.alias("_cell"), "_v")
+
+    per_key = Window.partitionBy(*keys)  # a row for each cell: at most len(near) + 1
+    cells = placed.groupBy(*keys, "_cell").agg(F.count("*").alias("_held"))
+    cells = cells.withColumn("_n", F.sum("_held").over(per_key)).withColumn("_upto", F.sum("_held").over(per_key.orderBy("_cell")))
+    place = [p * (F.col("_n") - 1) for p in probs]
+    ranks = F.array_distinct(F.array(*(f(x) for x in place for f in (F.floor, F.ceil))))
+    inside = F.filter(ranks, lambda r: (r >= F.col("_upto") - F.col("_held")) & (r < F.col("_upto")))
+    chosen = cells.select(*keys, "_cell", "_n", (F.col("_upto") - F.col("_held")).alias("_before"), inside.alias("_ranks")).where(F.size("_ranks") > 0)
+
+    values = join_keys(placed, chosen, [*keys, "_cell"]).groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_m"), *(F.any_value(c).alias(c) for c in ("_n", "_before", "_ranks")))
+    last = F.sum("_m").over(Window.partitionBy(*keys, "_cell").orderBy("_v")) + F.col("_before")
+    met = values.withColumn("_last", last).select(*keys, "_n", "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_last") - F.col("_m")) & (r < F.col("_last")))).alias("_rank"))
+    at = met.groupBy(*keys).agg(F.any_value("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two ranks a quantile
+    out = []
+    for p in probs:
+        x = p * (F.col("n") - 1)
+        low, high = F.try_element_at("_at", F.floor(x)), F.try_element_at("_at", F.ceil(x))
+        out.append(low + (x - F.floor(x)) * (high - low))
+    return at.select(*keys, F.array(*out).alias("q"), "n")
+
+
+def join_keys(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Append to rows the columns of ``table`` (a row for each key); NULL keys meet."""
+    named = table.select(*(F.col(c).alias(f"_of_{c}" if c in keys else c) for c in table.columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(named, same, how).drop(*(f"_of_{k}" for k in keys))
+
+
 def usable(points: DataFrame, min_area: float = 0.0) -> DataFrame:
     """Points with finite, positive slope and an area above zero and at least ``min_area``."""
     a, s = F.col("a"), F.col("s")
@@ -41,8 +85,12 @@ def binned(points: DataFrame, keys: list[str], min_area: float = 0.0, nbins: int
     ends = pts.groupBy(*keys).agg(F.min("log_a").alias("lo"), F.max("log_a").alias("hi"), F.count("*").alias("total")).where((F.col("total") >= MIN_POINTS) & (F.col("hi") > F.col("lo")))
     width = (F.col("hi") - F.col("lo")) / nbins
     placed = pts.join(ends, keys).withColumn("bin", F.least(F.floor((F.col("log_a") - F.col("lo")) / width), F.lit(nbins - 1)).cast("int"))
-    middle = F.median if agg == "median" else F.avg
-    bins = placed.groupBy(*keys, "bin").agg(middle("log_a").alias("log_a"), middle("log_s").alias("log_s"), F.count("*").alias("n"))
+    if agg == "mean":
+        bins = placed.groupBy(*keys, "bin").agg(F.avg("log_a").alias("log_a"), F.avg("log_s").alias("log_s"), F.count("*").alias("n"))
+    else:
+        both = placed.select(*keys, "bin", F.explode(F.create_map(F.lit("log_a"), "log_a", F.lit("log_s"), "log_s")).alias("_of", "_x"))
+        middle = lambda c: F.max(F.when(F.col("_of") == c, F.col("q")[0])).alias(c)
+        bins = quantiles(both, [*keys, "bin", "_of"], "_x", (0.5,)).groupBy(*keys, "bin").agg(middle("log_a"), middle("log_s"), F.max("n").alias("n"))
     bounds = [min_per_bin, max(3, min_per_bin // 2), 3] if relax else [min_per_bin]
     per_key = Window.partitionBy(*keys)  # at most nbins rows a key
     counts = {b: F.sum((F.col("n") >= b).cast("int")).over(per_key) for b in dict.fromkeys(bounds)}
@@ -91,7 +139,7 @@ def iqr_errors(points: DataFrame, bins: DataFrame, keys: list[str], min_area: fl
     table = edges.groupBy(*keys).agg(F.collect_list(F.struct("bin", "e0", "e1")).alias("edges"))  # at most nbins each
     at = F.filter("edges", lambda e: (F.col("log_a") >= e["e0"]) & (F.col("log_a") < e["e1"]))
     inside = log_points(points, keys, min_area).join(table, keys).withColumn("bin", F.get(at, F.lit(0))["bin"]).where(F.col("bin").isNotNull())
-    q = inside.groupBy(*keys, "bin").agg(F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    q = quantiles(inside, [*keys, "bin"], "s", QUARTILES)
     some = F.col("n") >= 3
     got = edges.select(*keys, "bin").join(q, [*keys, "bin"], "left")
     return got.select(*keys, "bin", F.when(some, F.col("q")[1] - F.col("q")[0]).otherwise(0.0).alias("lower"), F.when(some, F.col("q")[2] - F.col("q")[1]).otherwise(0.0).alias("upper"))
@@ -122,7 +170,7 @@ def local_ks(points: DataFrame, keys: list[str], m: float | Column, min_points:
     """keys, ks_median, ks_q25, ks_q75, n of S A^m (m a number, or a column among the keys); NULL statistics
     below ``min_points``."""
     pts = usable(points).select(*keys, (F.col("s") * F.pow("a", m if isinstance(m, Column) else F.lit(m))).alias("ks")).where(F.col("ks") > 0)
-    q = pts.groupBy(*keys).agg(F.percentile("ks", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    q = quantiles(pts, keys, "ks", QUARTILES)
     enough = F.col("n") >= min_points
     return q.select(*keys, *(F.when(enough, F.col("q")[k]).alias(f"ks_{name}") for k, name in ((1, "median"), (0, "q25"), (2, "q75"))), "n")
 
@@ -136,8 +184,8 @@ def median_iqr(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, median, q25, q75, n over finite positive values; keys without any keep NULLs."""
     v = F.col(value)
     good = F.when(finite(v) & (v > 0), v)
-    q = rows.groupBy(*keys).agg(F.percentile(good, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(good).alias("n"))
-    return q.select(*keys, F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "n")
+    q = join_keys(rows.select(*keys).distinct(), quantiles(rows.withColumn("_good", good), keys, "_good", QUARTILES), keys, "left")
+    return q.select(*keys, F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def histogram(values: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:

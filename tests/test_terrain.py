@@ -105,6 +105,20 @@ def test_nan_and_zero_slopes_are_left_out(spark):
     assert slope_area.usable(pts).count() == 1
 
 
+def test_quantiles_are_exact_with_ties_nulls_and_skew(spark):
+    rng = np.random.default_rng(5)
+    groups = {"even": list(rng.normal(size=4000)), "ties": [1.0] * 3000 + [2.0] * 500 + [7.5], "two": [3.0, 4.0], "one": [9.0], None: list(rng.pareto(1.0, 900))}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("even", None), ("nothing", None)]
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: (r["q"], r["n"]) for r in slope_area.quantiles(df, ["k"], "x", probs).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        assert got[k][1] == len(xs) and np.allclose(got[k][0], np.quantile(xs, probs), rtol=1e-12, atol=0)
+    whole = {r["k"]: r for r in slope_area.median_iqr(df, ["k"], "x").collect()}
+    assert set(whole) == {*groups, "nothing"} and whole["nothing"]["median"] is None and whole["nothing"]["n"] == 0
+
+
 def test_block_solver_solves():
     rng = np.random.default_rng(1)
     c = rng.random((3, 3, 7, 5))
