@@ -6,8 +6,9 @@ untouched. Hashes of the kept words of every window of every document are joined
 benchmark; around each hit the whole window is compared, and windows with at most two substitutions
 count. Benchmark items shorter than a window are sought whole, word for word.
 
-The benchmark's hashes are broadcast only if they are few enough (checked); otherwise the join
-shuffles. Documents are never shuffled whole: what leaves a scan is a row for each verified window.
+The benchmark's hashes are broadcast only if they are few enough (checked); what leaves the scan of
+documents is then a row for each verified window. Otherwise the join shuffles every window of the
+documents, once a mask.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ WINDOW = BLOCK * BLOCKS
 SUBSTITUTIONS = 2
 # The two blocks that each mask keeps.
 MASKS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-MAX_BROADCAST_SEEDS = 1_000_000
-"""About 40 MB of hashes; a larger benchmark is joined by shuffle."""
+MAX_BROADCAST_SEEDS = 250_000
+"""A seed carries its window's twelve hashes, some 140 bytes, so about 35 MB; a larger benchmark is joined by shuffle."""
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -85,7 +86,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     when it stands there whole. n_windows: pairs of a document position and an item position that
     match. first_word, last_word: the span of the document, in words from 0, that they cover. Null or
     empty texts share nothing; rows with a null id or null item are passed over; rows that share an
-    id add up. Other columns are ignored.
+    id add up, so ties don't arise. Texts of any length are searched whole; no documents or no items
+    give no rows. Other columns are ignored.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), hashes(F.col(text_col)).alias("w"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), hashes(F.col(item_text_col)).alias("v"))
