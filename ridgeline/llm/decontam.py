@@ -22,7 +22,7 @@ SUBSTITUTIONS = 2
 # The two blocks that each mask keeps.
 MASKS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 MAX_BROADCAST_SEEDS = 250_000
-"""A seed carries its window's twelve hashes, some 140 bytes, so about 35 MB; a larger benchmark is joined by shuffle."""
+"""A seed carries its window's twelve hashes, measured at some 280 bytes a seed in a broadcast, so about 70 MB; a larger benchmark is joined by shuffle."""
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
