@@ -1,4 +1,4 @@
-"""The ten operators, each applied to its whole table with production parameters, and their SQL."""
+"""The operators, each applied to its whole table with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, decontam, licenses, lines, media, neardup, quality, tokens, urls
+from ridgeline.llm import bpe, chat, decontam, licenses, lines, media, neardup, negatives, quality, rules, tokens, urls
 
 OVER_LIMIT = 4096
 RULES = [urls.parse_rule(v, e) for v, e in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))]
@@ -93,8 +93,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    whole = rows.select(F.col("vec_id").alias("id"), moved.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return negatives.hard_negatives(whole, F.col("id") % 100 == 0)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return rules.score_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_chat_formatting, op4_url_filters, op5_bpe, op6_decontamination, op7_media_columns, op8_quality_classifier, op9_line_dedup, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_chat_formatting, op4_url_filters, op5_bpe, op6_decontamination, op7_media_columns, op8_quality_classifier, op9_line_dedup, op10_minhash_near_dedup, op12_hard_negatives, op13_quality_rules)
 }
 
 CHAT_SQL = r"""
@@ -118,10 +131,20 @@ best AS (SELECT host, path, arg_max(h || p, length(h) * 10000 + length(p)) AS ru
   FROM hosts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
 SELECT page_id, split.host, split.path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN best USING (host, path)"""
 
+NEGATIVES_SQL = """
+WITH rows AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS MATERIALIZED (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score FROM rows a JOIN rows b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 10"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scans": licenses.scan_sql(),
     "op3_chat_formatting": CHAT_SQL,
     "op4_url_filters": URL_SQL,
     "op6_decontamination": decontam.LEAKS_SQL,
     "op9_line_dedup": lines.DEDUP_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
 }
