@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, decontam, licenses, lines, media, neardup, negatives, quality, rules, tokens, urls
+from ridgeline.llm import align, bpe, chat, decontam, licenses, lines, media, neardup, negatives, quality, rules, tokens, urls
 
 OVER_LIMIT = 4096
 RULES = [urls.parse_rule(v, e) for v, e in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))]
@@ -93,6 +93,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
     label = F.col("label").cast("bigint")
@@ -107,7 +113,7 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_chat_formatting, op4_url_filters, op5_bpe, op6_decontamination, op7_media_columns, op8_quality_classifier, op9_line_dedup, op10_minhash_near_dedup, op12_hard_negatives, op13_quality_rules)
+    f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_chat_formatting, op4_url_filters, op5_bpe, op6_decontamination, op7_media_columns, op8_quality_classifier, op9_line_dedup, op10_minhash_near_dedup, op11_cross_tokenizer_alignment, op12_hard_negatives, op13_quality_rules)
 }
 
 CHAT_SQL = r"""
