@@ -238,7 +238,7 @@ def test_op13_is_brute_force(spark, sf_dir, documents):
 
 def test_op13_agrees_with_labels(spark):
     """Held out: the trusted documents are half of the labelled ones."""
-    path = "/root/testdata/sf0.01"
+    path = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
     half = labels.where("quality = 1 AND toxic = 0 AND doc_id % 2 = 0")
     rows = rules.score_rules(docs, half).join(labels.where("doc_id % 2 = 1 OR quality = 0"), "doc_id").where("NOT base_failed").select("kept", "quality").collect()
