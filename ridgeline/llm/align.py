@@ -215,6 +215,7 @@ def hashed_pairs(coded: DataFrame, lengths: tuple[np.ndarray, np.ndarray], most:
     size_b = len(lengths[1])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("links", lambda: None)  # the tokenizers may go
         held = [np.zeros(0, np.int64)]
         for whole in batches:
             for batch in pieces(whole, "a"):
@@ -314,41 +315,37 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     kind = rows.schema["_id"].dataType.simpleString()
     sums = "n_best bigint, count_sum bigint"
     out = coded.withColumn("n_best", F.lit(0).cast("bigint")).withColumn("count_sum", F.lit(0).cast("bigint"))
-    for held in hashes:
+    for held in hashes[:-1]:
         out = out.mapInArrow(looked_up(held, sizes, tops), f"_id {kind}, a array<int>, b array<int>, {sums}")
-    described = out.mapInArrow(describe(sizes), f"_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, {sums}, groups string")
+    # the last hash and the description share a worker
+    described = out.mapInArrow(looked_up(hashes[-1] if hashes else None, sizes, tops, True), f"_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, {sums}, groups string")
     return described.withColumnRenamed("_id", id_col)
 
 
-def looked_up(held, sizes, tops) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds to n_best and count_sum what the links' pairs have in one hash."""
+def looked_up(held, sizes, tops, last: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to n_best and count_sum what the links' pairs have in one hash; in the last pass, counts and groups take
+    the place of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (table, counts), best = held.value, tops.value
+        best, (of_a, of_b) = tops.value, map(len, sizes.value)
+        words = kept(("words", of_a, of_b), lambda: written(of_a, of_b) if last else None)  # the tokenizers may go
         for whole in batches:
             for batch in pieces(whole, "a"):
                 aligned = Aligned(batch.column("a"), batch.column("b"), sizes.value)
-                keys = aligned.keys(len(best))
-                at = table.slots(keys)
-                count = np.where(at >= 0, counts[at], 0)
-                top = (at >= 0) & (count == best[keys % len(best)])
-                sums = [pa.array(batch.column(c).to_numpy() + aligned.per_row(x)) for c, x in (("n_best", top.astype(np.int64)), ("count_sum", count))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sums], names=batch.schema.names)
-
-    return run
-
-
-def describe(sizes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts and groups of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_a, of_b = map(len, sizes.value)
-        words = kept(("words", of_a, of_b), lambda: written(of_a, of_b))
-        for whole in batches:
-            for batch in pieces(whole, "a"):
-                aligned = Aligned(batch.column("a"), batch.column("b"), sizes.value)
-                links = np.diff(aligned.ends)
-                counts = [pa.array(x.astype(np.int64)) for x in (np.diff(aligned.a_ends), np.diff(aligned.b_ends), links, links)]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), *counts, batch.column("n_best"), batch.column("count_sum"), pa.array(aligned.groups(words, 2 * of_a), pa.string())], names=["_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+                n_best, count_sum = (batch.column(c).to_numpy() for c in ("n_best", "count_sum"))
+                if held is not None:
+                    table, counts = held.value
+                    keys = aligned.keys(of_b)
+                    at = table.slots(keys)
+                    count = np.where(at >= 0, counts[at], 0)
+                    n_best = n_best + aligned.per_row(((at >= 0) & (count == best[keys % of_b])).astype(np.int64))
+                    count_sum = count_sum + aligned.per_row(count)
+                sums = pa.array(n_best), pa.array(count_sum)
+                if last:
+                    links = np.diff(aligned.ends)
+                    four = [pa.array(x.astype(np.int64)) for x in (np.diff(aligned.a_ends), np.diff(aligned.b_ends), links, links)]
+                    yield pa.RecordBatch.from_arrays([batch.column("_id"), *four, *sums, pa.array(aligned.groups(words, 2 * of_a), pa.string())], names=["_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sums], names=batch.schema.names)
 
     return run
