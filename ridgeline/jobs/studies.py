@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators import models, planform, resample, routing, slope_area, stencil
+from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
 from ridgeline.session import stage
 
 
-def routed(cells: DataFrame, dx: float, dinf: bool = False) -> DataFrame:
-    """Cells with fd and area, and for D-infinity facet, r and area_dinf."""
-    flowing = stage(routing.flow(cells.select("tile_id", "j", "i", "z"), dx), "routed")
+def routed(cells: DataFrame, dx: float, dinf: bool = False, filled: bool = False) -> DataFrame:
+    """Cells with fd and area, and for D-infinity facet, r and area_dinf. ``filled``: flats of the surface drain."""
+    flow = drainage.filled_flow if filled else routing.flow
+    flowing = stage(flow(cells.select("tile_id", "j", "i", "z"), dx), "routed")
     if not dinf:
         return flowing
     return stage(routing.dinf_area(routing.dinf_direction(flowing, dx), dx), "routed-dinf")
@@ -44,8 +45,8 @@ def resolution_study(cells: DataFrame, params: DataFrame, dx: float, targets: li
     the observed area. A tile that fails has NULL values and a status, the others go on."""
     out = []
     for target in targets:
-        coarse = routing.fill_pits(resample.resample(cells.join(params.select("tile_id"), "tile_id", "left_semi"), dx, target)).withColumn("z", F.col("filled")).drop("filled")
-        flowing = stage(routed(stage(coarse, "coarse"), target, routing_kind == "dinf").join(params.select("tile_id", "theta"), "tile_id"), "flowing")
+        coarse = drainage.fill_pits(resample.resample(cells.join(params.select("tile_id"), "tile_id", "left_semi"), dx, target)).withColumn("z", F.col("filled")).drop("filled")
+        flowing = stage(routed(stage(coarse, "coarse"), target, routing_kind == "dinf", filled=True).join(params.select("tile_id", "theta"), "tile_id"), "flowing")
         runs = params.select(F.col("tile_id").alias("scenario"), F.lit("ad").alias("model"), F.col("theta").alias("m"), "u", "k", "d", F.lit(0.0).alias("a_crit"), F.lit(1.0).alias("s_c"), "tile_id")
         solved = stage(models.solve_models(flowing, runs, target, routing_kind), "solved")
         on_flow = solved.where("z IS NOT NULL").select("tile_id", "j", "i", "z").join(flowing.drop("z"), ["tile_id", "j", "i"])
@@ -143,8 +144,8 @@ def compare_routings(cells: DataFrame, scenarios: DataFrame, dx: float) -> DataF
 def model_outputs(solved: DataFrame, dx: float) -> DataFrame:
     """The layers of a modelled tile as one wide table: elevation, filled, flow_direction, area, logarea,
     hillshade. Write it with ``write_cells``."""
-    filled = stage(routing.fill_pits(solved.select("tile_id", "j", "i", "z")), "filled")
-    flowing = routing.flow(filled.select("tile_id", "j", "i", F.col("filled").alias("z")), dx).select("tile_id", "j", "i", F.col("fd").alias("flow_direction"), "area")
+    filled = stage(drainage.fill_pits(solved.select("tile_id", "j", "i", "z")), "filled")
+    flowing = drainage.filled_flow(filled.select("tile_id", "j", "i", F.col("filled").alias("z")), dx).select("tile_id", "j", "i", F.col("fd").alias("flow_direction"), "area")
     shaded = stencil.hillshade(filled, dx)
     return shaded.join(flowing, ["tile_id", "j", "i"]).select("tile_id", "j", "i", F.col("z").alias("elevation"), "filled", "flow_direction", "area", F.log10("area").alias("logarea"), F.col("shade").alias("hillshade"))
 

@@ -2,13 +2,12 @@
 
 Directions are window stencils. What follows paths (drainage area, elevations along channels) runs by
 pointer doubling, a join a round, so a path of L cells takes about log2 L rounds whatever the tile's
-size. Only what depends on a processing order (D-infinity area and channels, pit filling) runs tile by
-tile in Python workers.
+size. Only what depends on a processing order (D-infinity area and channels) runs tile by tile in Python
+workers. Filling and flats are in ``drainage``.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import deque
 
@@ -300,43 +299,6 @@ def dinf_channels(z: np.ndarray, facet: np.ndarray, r: np.ndarray, slope: np.nda
     return out
 
 
-def fill_pits(cells: DataFrame) -> DataFrame:
-    """Append ``filled``: elevations raised until every cell drains to the edge or to NoData.
-
-    Priority flood over a heap, one tile a task."""
-    use_package(cells.sparkSession)
-
-    def flood(tile: pd.DataFrame) -> pd.DataFrame:
-        ny, nx, g = rasters(tile, ["z"])
-        return tile.assign(filled=flooded(g["z"])[tile["j"], tile["i"]])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields), "filled double"])
-    return cells.groupBy("tile_id").applyInPandas(flood, schema)
-
-
-def flooded(z: np.ndarray) -> np.ndarray:
-    ny, nx = z.shape
-    out = z.copy()
-    open_to = np.pad(~np.isfinite(z), 1, constant_values=True)
-    heap, seen = [], ~np.isfinite(z)
-    for j in range(ny):
-        for i in range(nx):
-            if not seen[j, i] and open_to[j : j + 3, i : i + 3].any():
-                heap.append((z[j, i], j, i))
-    for _, j, i in heap:
-        seen[j, i] = True
-    heapq.heapify(heap)
-    while heap:
-        level, j, i = heapq.heappop(heap)
-        for _, di, dj in D8:
-            a, b = j + dj, i + di
-            if 0 <= a < ny and 0 <= b < nx and not seen[a, b]:
-                seen[a, b] = True
-                out[a, b] = max(level, out[a, b])
-                heapq.heappush(heap, (out[a, b], a, b))
-    return out
-
-
 def channel_slope_by_drop(cells: DataFrame, dx: float, interval: float, min_area: float, max_levels: int = 40) -> DataFrame:
     """(tile_id, j, i, area, slope) of cells with area >= min_area: follow D8 flow until the fall reaches
     ``interval`` (or the path ends) and divide fall by length.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.solvers import minimise, residual, search, solve_stencil
 from ridgeline.jobs import studies
-from ridgeline.operators import models, planform, resample, routing, slope_area, stencil
+from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
 from ridgeline.sources import grids
 
 
@@ -76,7 +77,7 @@ def test_channel_elevation_adds_up_along_a_line(spark):
 
 
 def test_pits_fill_to_their_rim(spark):
-    filled = at(routing.fill_pits(grid(spark, lambda j, i: 0.0 if (j, i) == (4, 4) else 5.0 + j)), "filled")
+    filled = at(drainage.fill_pits(grid(spark, lambda j, i: 0.0 if (j, i) == (4, 4) else 5.0 + j)), "filled")
     assert filled[4, 4] == 8.0
 
 
@@ -237,3 +238,66 @@ def test_parameters(spark):
 def test_empty_grid(spark):
     empty = grid(spark, lambda j, i: 0.0, 0, 0)
     assert stencil.slope_magnitude(empty).count() == 0 and routing.d8_direction(empty, 1.0).count() == 0 and resample.zoom(empty, 0.5, 0.5).count() == 0
+
+
+def lowest_ways_out(z):
+    """By a heap over the whole tile: how high water has to stand at each cell to leave."""
+    out = {}
+    near = lambda c: [(c[0] + dj, c[1] + di) for dj in (-1, 0, 1) for di in (-1, 0, 1) if dj or di]
+    heap = [(v, c) for c, v in z.items() if any(n not in z for n in near(c))]
+    heapq.heapify(heap)
+    while heap:
+        level, cell = heapq.heappop(heap)
+        if cell not in out:
+            out[cell] = level
+            for n in near(cell):
+                if n in z and n not in out:
+                    heapq.heappush(heap, (max(level, z[n]), n))
+    return out
+
+
+def rough_grid(spark, ny, nx, steps, seed, holes=0):
+    """Levels are few, so there are flats and ties; a border of NULL or missing cells inside at random."""
+    rng = np.random.default_rng(seed)
+    z = rng.integers(0, steps, (ny, nx)).astype(float)
+    gone = {tuple(map(int, rng.integers(1, (ny - 1, nx - 1)))) for _ in range(holes)}
+    rows = [("t", j, i, None if (j, i) in gone else float(z[j, i])) for j in range(ny) for i in range(nx) if (j, i) not in gone or (j + i) % 2]
+    return spark.createDataFrame(rows, "tile_id string, j int, i int, z double"), {(j, i): float(z[j, i]) for j in range(ny) for i in range(nx) if (j, i) not in gone}
+
+
+@pytest.mark.parametrize(("steps", "block", "holes"), [(4, 7, 0), (1000, 7, 5), (30, 64, 3), (3, 5, 12), (1, 6, 0)])
+def test_filling_by_blocks_is_the_heap_and_every_cell_drains(spark, steps, block, holes):
+    cells, z = rough_grid(spark, 23, 31, steps, steps + block, holes)
+    want = lowest_ways_out(z)
+    filled = drainage.fill_pits(cells, block).cache()
+    assert {k: v for k, v in at(filled, "filled").items() if v is not None} == want
+    flowing = drainage.filled_flow(filled.select("tile_id", "j", "i", F.col("filled").alias("z")), 1.0, block).where("z IS NOT NULL").collect()
+    inner = lambda r: all((r["j"] + dj, r["i"] + di) in z for dj in (-1, 0, 1) for di in (-1, 0, 1))
+    assert all(r["fd"] is not None for r in flowing if inner(r))
+    assert sum(r["area"] for r in flowing if r["fd"] is None) == len(z)
+    step = {code: (dj, di) for code, di, dj in routing.D8}
+    for r in flowing:
+        if r["fd"] is not None:
+            dj, di = step[r["fd"]]
+            assert want[r["j"] + dj, r["i"] + di] <= want[r["j"], r["i"]]
+
+
+def test_flats_drain_to_their_outlet_away_from_higher_ground(spark):
+    """A level basin with one way out in the south: flow runs down the middle, not along the walls."""
+    z = grid(spark, lambda j, i: 4.0 if (j, i) == (8, 4) else 9.0 if j in (0, 8) or i in (0, 8) else 5.0, 9, 9)
+    fd = at(drainage.drain_flats(routing.d8_direction(z, 1.0)), "fd")
+    assert fd[7, 4] == 4 and all(fd[j, 1] == 2 for j in range(2, 6))  # south-east from the western wall
+    assert all(fd[j, i] is not None for j in range(1, 8) for i in range(1, 8))
+
+
+def test_raw_pits_keep_no_direction(spark):
+    z = grid(spark, lambda j, i: 1.0 if (j, i) in ((4, 4), (4, 5)) else 5.0 + j)
+    fd = at(drainage.drain_flats(routing.d8_direction(z, 1.0)), "fd")
+    assert fd[4, 4] is None and fd[4, 5] is None
+
+
+def test_surfaces_without_rows_or_known_cells(spark):
+    none = spark.createDataFrame([], "tile_id string, j int, i int, z double")
+    assert drainage.fill_pits(none).count() == 0 and drainage.filled_flow(none, 1.0).count() == 0
+    blank = grid(spark, lambda j, i: 0.0, 3, 3, holes={(j, i) for j in range(3) for i in range(3)})
+    assert set(at(drainage.fill_pits(blank), "filled").values()) == {None}
