@@ -19,16 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import search, solve_stencil
+from ridgeline.functions.solvers import residual, search, solve_stencil
 from ridgeline.operators import planform as plan
 from ridgeline.operators import routing, stencil
-from ridgeline.session import stage, use_package
+from ridgeline.session import stage, unstage, use_package
 
 OFFSETS = [(dj, di) for dj in (-1, 0, 1) for di in (-1, 0, 1)]
 BLOCK, MARGIN = 128, 16
 """Cells of a block's side, and of the margin that is solved with it."""
 ROUNDS, SETTLED = 500, 1e-7
-"""Rounds of exchange at most, and the change of elevation below which a tile has settled."""
+"""Rounds of exchange at most, and the change of elevation below which a run with a critical slope has settled."""
+RESIDUAL = 1e-8
+"""What a linear equation may leave over, as a share of the uplift."""
 PICARD_ROUNDS, PICARD_TOL = 200, 1e-6
 CELL = ["tile_id", "j", "i"]
 SIDES = [(0, -1), (0, 1), (-1, 0), (1, 0)]
@@ -149,19 +151,110 @@ def solve_block(g: dict[str, np.ndarray], s_c: float | None, dx: float, start: n
     return z, not curved
 
 
+def hats(low: int, n: int, step: int, shift: int = 0) -> np.ndarray:
+    """Weights of cells low + shift ... (n of them) on coarse nodes, which lie at every ``step``-th cell; the first
+    column is node low // step - 1."""
+    at = np.arange(low, low + n) + shift
+    node, past = at // step - (low // step - 1), at % step / step
+    out = np.zeros((n, (low + n) // step - low // step + 4))
+    out[np.arange(n), node] = 1 - past
+    out[np.arange(n), node + 1] += past
+    return out
+
+
+def slanted(a: np.ndarray, by: int) -> np.ndarray:
+    """Columns moved so that column k holds what column k + by held."""
+    out = np.zeros_like(a)
+    m = a.shape[1]
+    out[:, max(0, -by) : m - max(0, by)] = a[:, max(0, by) : m + min(0, by)]
+    return out
+
+
+def coarse_rows(rows: pd.DataFrame, step: int, dx: float, low: tuple[int, int], own: np.ndarray, smooth: bool) -> pd.DataFrame:
+    """What a block (with the ring around it) adds to the coarse equations of its run: cj, ci, r (left over) and a (nine
+    coefficients towards the nodes around); and, as node -1, -1, the most that any equation leaves over."""
+    g = arrays(rows, ["flow", "spread", "u", "d", "fixed", "valid", "z"])
+    at, shape = g["at"], g["z"].shape
+    free = np.zeros(shape, bool)
+    free[at] = ~g["fixed"][at]
+    mine = np.zeros(shape, bool)
+    mine[at] = own
+    mine &= free
+    d, s_c = g["d"], rows["s_c"].iloc[0]
+    if s_c is not None and np.isfinite(s_c):
+        d = d / (1 - np.clip(side_slope(g["z"], g["valid"], dx) / s_c, -0.99, 0.99) ** 2)
+    c = g["flow"] + d * g["spread"]
+    left = np.where(mine, residual(c, -g["u"], g["z"]), 0.0)
+    worst = pd.DataFrame({"cj": [-1], "ci": [-1], "r": [np.abs(left).max()], "a": [[]]})
+    if not smooth or not mine.any():
+        return worst
+    pj, pi = (hats(a, n, step) for a, n in zip(low, shape, strict=True))
+    total = np.zeros((9, pj.shape[1], pi.shape[1]))
+    wide = np.pad(free, 1)
+    for dj, di in OFFSETS:
+        part = c[dj + 1, di + 1] * mine * wide[1 + dj : 1 + dj + shape[0], 1 + di : 1 + di + shape[1]]
+        qj, qi = hats(low[0], shape[0], step, dj), hats(low[1], shape[1], step, di)
+        for k, (aj, ai) in enumerate(OFFSETS):
+            total[k] += (pj * slanted(qj, aj)).T @ part @ (pi * slanted(qi, ai))
+    r = pj.T @ left @ pi
+    cj, ci = np.nonzero(np.abs(total[4]) > 0)
+    nodes = pd.DataFrame({"cj": cj + low[0] // step - 1, "ci": ci + low[1] // step - 1, "r": r[cj, ci], "a": list(total[:, cj, ci].T)})
+    return pd.concat([worst, nodes])
+
+
+def solve_coarse(nodes: pd.DataFrame) -> pd.DataFrame:
+    """cj, ci, e: corrections at the coarse nodes of a run."""
+    j, i = (nodes[c].to_numpy() - nodes[c].min() for c in ("cj", "ci"))
+    shape = j.max() + 1, i.max() + 1
+    c, b = np.zeros((9, *shape)), np.zeros(shape)
+    c[4] = 1.0
+    c[:, j, i], b[j, i] = np.stack(nodes["a"].to_numpy()).T, nodes["r"]
+    e = solve_stencil(c.reshape(3, 3, *shape), b)
+    return nodes[["scenario", "tile_id", "cj", "ci"]].assign(e=np.nan_to_num(e[j, i]))
+
+
+def corrections(nodes: pd.DataFrame, rows: pd.DataFrame, step: int) -> np.ndarray:
+    """The coarse correction of each cell, by bilinear interpolation; fixed cells have none."""
+    if nodes.empty:
+        return np.zeros(len(rows))
+    low = nodes["cj"].min(), nodes["ci"].min()
+    e = np.zeros((nodes["cj"].max() - low[0] + 2, nodes["ci"].max() - low[1] + 2))
+    e[nodes["cj"] - low[0], nodes["ci"] - low[1]] = nodes["e"]
+    out = np.zeros(len(rows))
+    for nj in (0, 1):
+        for ni in (0, 1):
+            k, weight = [], 1.0
+            for x, n, first, size in (("j", nj, low[0], e.shape[0]), ("i", ni, low[1], e.shape[1])):
+                past = rows[x].to_numpy() % step / step
+                node = rows[x].to_numpy() // step + n - first
+                weight = weight * np.where((node >= 0) & (node < size), past if n else 1 - past, 0.0)
+                k.append(np.clip(node, 0, size - 1))
+            out += weight * e[k[0], k[1]]
+    return np.where(rows["fixed"].to_numpy(), 0.0, out)
+
+
 def relax(equations: DataFrame, dx: float, block: int = BLOCK, margin: int = MARGIN, rounds: int = ROUNDS) -> DataFrame:
     """Equations (see :func:`system`; dx is the spacing for slopes) -> scenario, tile_id, j, i, z, is_channel, status.
 
-    Each round solves all blocks of the tiles under way; a tile has settled when no elevation moves by
-    SETTLED or more. What has not after ``rounds`` is "not converged"; a block that can't be solved gives
-    its tile the reason as status. The driver sees whether any tile is left."""
-    use_package(equations.sparkSession)
-    run, reach = ["scenario", "tile_id"], margin + 1
+    A tile of one block is solved at once. Others go in rounds: what the equations leave over is gathered on a coarse grid
+    (every eighth of a block's side), solved there, a tile a task, and added; then all blocks are solved with their margins. With
+    the coarse grid the number of rounds does not grow with the tile. It is left out where flow outweighs diffusion over a coarse
+    cell: there values travel along the flow, and the correction would not be stable. A linear run has settled when no equation
+    leaves over more than RESIDUAL of the uplift, any other when no elevation moves by SETTLED. What has not after ``rounds`` is "not
+    converged"; a block that can't be solved gives its tile the reason as status. The driver sees whether any run is left."""
+    spark = equations.sparkSession
+    use_package(spark)
+    run, reach, step = ["scenario", "tile_id"], margin + 1, max(2, block // 8)
     equations = stage(equations, "equations")
     names = ["flow", "spread", "u", "d", "fixed", "value", "valid"]
-    near = lambda x: F.explode(F.sequence(F.greatest(F.floor((F.col(x) - reach) / block), F.lit(0)), F.floor((F.col(x) + reach) / block)))
+    keys = [*run, "bj", "bi"]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def near(x: str, out: int, size: int = block, cell: int = 1) -> Column:
+        return F.explode(F.sequence(F.greatest(F.floor((F.col(x) * cell - out) / size), F.lit(0)).cast("int"), F.greatest(F.floor((F.col(x) * cell + out) / size), F.lit(0)).cast("int")))
+
+    def one(rows: pd.DataFrame, nodes: pd.DataFrame | None = None) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({c: [] for c in ("scenario", *CELL, "z", "moved", "status")})
         first = rows.iloc[0]
         low_j, low_i = int(first["bj"]) * block, int(first["bi"]) * block
         own = rows["j"].between(low_j, low_j + block - 1) & rows["i"].between(low_i, low_i + block - 1)
@@ -170,7 +263,8 @@ def relax(equations: DataFrame, dx: float, block: int = BLOCK, margin: int = MAR
             return out.assign(z=0.0, moved=0.0, status="ok")
         ring = (rows["j"] == low_j - reach) | (rows["j"] == low_j + block - 1 + reach) | (rows["i"] == low_i - reach) | (rows["i"] == low_i + block - 1 + reach)
         before = rows["z"].fillna(0.0)
-        rows = rows.assign(value=rows["value"].where(rows["fixed"] | ~ring, before), fixed=rows["fixed"] | ring)
+        now = before if nodes is None else before + corrections(nodes, rows, step)
+        rows = rows.assign(value=rows["value"].where(rows["fixed"] | ~ring, now), fixed=rows["fixed"] | ring)
         try:
             g = arrays(rows, names)
             z, settled = solve_block(g, first["s_c"], dx)
@@ -179,27 +273,55 @@ def relax(equations: DataFrame, dx: float, block: int = BLOCK, margin: int = MAR
         except (ValueError, np.linalg.LinAlgError) as e:
             return out.assign(z=np.nan, moved=0.0, status=str(e)[:200])
 
-    done: DataFrame | None = None
-    z = equations.select("scenario", *CELL, "z")
-    for n in range(rounds):
-        now = equations.drop("z").join(z, ["scenario", *CELL]) if n else equations
-        dealt = now.withColumn("bj", near("j")).withColumn("bi", near("i"))
-        solved = dealt.groupBy("scenario", "tile_id", "bj", "bi").applyInPandas(one, "scenario string, tile_id string, j int, i int, z double, moved double, status string")
-        solved = stage(solved, "solved")
-        box = solved.groupBy(*run).agg(F.max("j").alias("nj"), F.max("i").alias("ni"), F.max("moved").alias("moved"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("bad"))
-        several = (F.col("nj") >= block) | (F.col("ni") >= block)
-        under_way = several & (F.col("moved") >= SETTLED) & ~F.isnan("moved") & F.col("bad").isNull()
-        box = stage(box.select(*run, under_way.alias("more"), F.coalesce(F.when(under_way, "not converged"), "bad", F.lit("ok")).alias("verdict")), "verdicts")
-        ended = solved.join(box.where("NOT more").select(*run, "verdict"), run) if n + 1 < rounds else solved.join(box.select(*run, "verdict"), run)
-        ended = ended.select("scenario", *CELL, "z", F.col("verdict").alias("status"))
-        done = ended if done is None else done.unionByName(ended)
-        going = box.where("more").select(*run)
-        if going.isEmpty():
-            break
-        z = solved.join(going, run).select("scenario", *CELL, "z")
-    assert done is not None
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        own = ((rows["j"] // block == first["bj"]) & (rows["i"] // block == first["bi"])).to_numpy()
+        out = coarse_rows(rows.assign(z=rows["z"].fillna(0.0)), step, dx, (rows["j"].min(), rows["i"].min()), own, bool(first["smooth"]))
+        return out.assign(scenario=first["scenario"], tile_id=first["tile_id"])[["scenario", "tile_id", "cj", "ci", "r", "a"]]
+
+    centre = lambda c: F.abs(F.get(c, F.lit(4)))
+    box = equations.groupBy(*run).agg(
+        ((F.max("j") >= block) | (F.max("i") >= block)).alias("several"), F.max(F.abs("u")).alias("u_max"), F.first("s_c").alias("bent"),
+        (step * F.max(F.when(~F.col("fixed"), centre("flow"))) <= F.min(F.when(~F.col("fixed"), F.col("d") * centre("spread")))).alias("smooth"),
+    )
+    box = stage(box.withColumn("smooth", F.coalesce("smooth", F.lit(False))), "runs")
+    solved_kind = "scenario string, tile_id string, j int, i int, z double, moved double, status string"
+    alone = equations.join(box.where("NOT several").select(*run), run, "left_semi").withColumn("bj", F.lit(0)).withColumn("bi", F.lit(0))
+    done = [stage(alone.groupBy(*keys).applyInPandas(lambda rows: one(rows), solved_kind).select("scenario", *CELL, "z", "status"), "done")]
+
+    going = box.where("several")
+    if not going.isEmpty():
+        state = stage(equations.join(going.select(*run), run, "left_semi").select("scenario", *CELL, "z", F.lit(math.inf).alias("moved"), F.lit("ok").alias("status")), "state")
+        for n in range(rounds + 1):
+            now = equations.drop("z").join(state.select("scenario", *CELL, "z"), ["scenario", *CELL]).join(going.select(*run, "smooth"), run)
+            ringed = now.withColumn("bj", near("j", 1)).withColumn("bi", near("i", 1))
+            found = stage(ringed.groupBy(*keys).applyInPandas(measure, "scenario string, tile_id string, cj int, ci int, r double, a array<double>"), "measured")
+            worst = found.where("cj = -1 AND ci = -1").groupBy(*run).agg(F.max("r").alias("worst"), F.max(F.isnan("r")).alias("lost"))
+            moved = state.groupBy(*run).agg(F.max("moved").alias("moved"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("bad"))
+            straight = F.col("bent").isNull() & (F.col("u_max") > 0)
+            still = F.when(straight, F.col("worst") <= RESIDUAL * F.col("u_max")).otherwise(F.col("moved") < SETTLED)
+            over = F.coalesce(still, F.lit(False)) | F.coalesce("lost", F.lit(False)) | F.col("bad").isNotNull()
+            judged = going.join(worst, run, "left").join(moved, run)
+            judged = stage(judged.select(*going.columns, over.alias("over"), F.when(over, F.coalesce("bad", F.lit("ok"))).otherwise("not converged").alias("verdict")), "verdicts")
+            left = judged.agg(F.count_if("over").alias("over"), F.count_if(~F.col("over")).alias("going")).first()
+            if left["over"] or n == rounds:
+                ended = judged if n == rounds else judged.where("over")
+                done.append(stage(state.drop("status", "moved").join(ended.select(*run, F.col("verdict").alias("status")), run).select("scenario", *CELL, "z", "status"), "done"))
+            if not left["going"] or n == rounds:
+                break
+            going = judged.where("NOT over").drop("over", "verdict")
+            summed = found.where("cj >= 0 OR ci >= 0").groupBy(*run, "cj", "ci").agg(F.sum("r").alias("r"), F.array(*(F.sum(F.get("a", F.lit(k))) for k in range(9))).alias("a"))
+            e = summed.groupBy(*run).applyInPandas(solve_coarse, "scenario string, tile_id string, cj int, ci int, e double")
+            dealt = now.join(going.select(*run), run, "left_semi").withColumn("bj", near("j", reach)).withColumn("bi", near("i", reach))
+            shared = e.join(going.select(*run), run, "left_semi").withColumn("bj", near("cj", reach + step, cell=step)).withColumn("bi", near("ci", reach + step, cell=step))
+            new = stage(dealt.groupBy(*keys).cogroup(shared.groupBy(*keys)).applyInPandas(one, solved_kind), "state")
+            for table in (state, found):
+                unstage(table)
+            state = new
+        unstage(state)
+    ends = reduce(DataFrame.unionByName, done)
     known = F.when(F.col("valid") & (F.col("status") == "ok") & ~F.isnan("z"), F.col("z"))
-    return equations.select("scenario", *CELL, "is_channel", "valid").join(done, ["scenario", *CELL]).select("scenario", *CELL, known.alias("z"), "is_channel", "status")
+    return equations.select("scenario", *CELL, "is_channel", "valid").join(ends, ["scenario", *CELL]).select("scenario", *CELL, known.alias("z"), "is_channel", "status")
 
 
 def solve_models(cells: DataFrame, scenarios: DataFrame, dx: float, routing_kind: str = "d8", block: int = BLOCK) -> DataFrame:

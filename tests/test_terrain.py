@@ -301,3 +301,35 @@ def test_surfaces_without_rows_or_known_cells(spark):
     assert drainage.fill_pits(none).count() == 0 and drainage.filled_flow(none, 1.0).count() == 0
     blank = grid(spark, lambda j, i: 0.0, 3, 3, holes={(j, i) for j in range(3) for i in range(3)})
     assert set(at(drainage.fill_pits(blank), "filled").values()) == {None}
+
+
+def test_rounds_of_blocks_do_not_grow_with_the_tile(spark, monkeypatch):
+    """Diffusion from zero over 2 x 2 and 4 x 4 blocks against one direct solution."""
+    rounds = []
+    stage = models.stage
+    monkeypatch.setattr(models, "stage", lambda df, name, *more: (rounds.append(name), stage(df, name, *more))[1])
+    taken = []
+    for n in (24, 48):
+        edge = lambda j, i: j in (0, n - 1) or i in (0, n - 1)  # noqa: B023, E731
+        spread = [0.0, 0.01, 0.0, 0.01, -0.04, 0.01, 0.0, 0.01, 0.0]
+        rows = [("s", "t", j, i, [0.0] * 9, spread, 1e-4, 1e-2, None, edge(j, i), 0.0, False, 0.0, True) for j in range(n) for i in range(n)]
+        kinds = "scenario string, tile_id string, j int, i int, flow array<double>, spread array<double>, u double, d double, s_c double, fixed boolean, value double, is_channel boolean, z double, valid boolean"
+        rounds.clear()
+        solved = models.relax(spark.createDataFrame(rows, kinds), 10.0, block=12, margin=2).collect()
+        taken.append(rounds.count("measured"))
+        fixed = np.array([[edge(j, i) for i in range(n)] for j in range(n)])
+        c = np.zeros((9, n, n)) + 1e-2 * np.array(spread)[:, None, None]
+        c[:, fixed], c[4, fixed] = 0.0, 1.0
+        exact = solve_stencil(c.reshape(3, 3, n, n), np.where(fixed, 0.0, -1e-4))
+        assert {r["status"] for r in solved} == {"ok"}
+        assert max(abs(r["z"] - exact[r["j"], r["i"]]) for r in solved) < 1e-6
+    assert taken[1] <= 1.5 * taken[0] and taken[1] <= 15
+
+
+def test_coarse_nodes_share_their_cells(spark):
+    """A bilinear surface is interpolated exactly, over a block that starts anywhere."""
+    low, n, step = 13, 9, 4
+    p = models.hats(low, n, step)
+    nodes = (np.arange(p.shape[1]) + low // step - 1) * step
+    assert np.allclose(p @ nodes, np.arange(low, low + n)) and np.allclose(p.sum(1), 1)
+    assert np.allclose(models.hats(low, n, step, -1) @ nodes, np.arange(low - 1, low + n - 1))
