@@ -104,8 +104,11 @@ def pieces(text: Column) -> Column:
 
 
 def lines_of(cut: Column, known: dict[str, str]) -> Column:
-    """The pieces of a text, each between line ends, without words that only begin comments."""
-    text = F.concat(F.lit("\n"), F.array_join(cut, "\n"), F.lit("\n"))
+    """The pieces of a text that hold a letter or digit, each between line ends, without words that only begin comments.
+
+    Pieces without either say nothing, and a search for what follows a line end would run over all of them from each."""
+    spoken = F.filter(cut, lambda s: F.regexp_like(s, F.lit(r"[\p{L}\p{N}]")))
+    text = F.concat(F.lit("\n"), F.array_join(spoken, "\n"), F.lit("\n"))
     if words := COMMENT_WORDS - {w for s in known.values() for w in s.split()}:
         text = F.regexp_replace(text, rf"(?<=\n)(?:{'|'.join(sorted(words))})(?: |(?=\n))", "")
     return text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -513,3 +514,13 @@ def test_narrow_windows_see_the_last_words():
     assert narrow(words[:20] + ["up", "down"] * 9 + ["up"]) == pytest.approx(17 * 19 / 20 / m)
     assert narrow(["up", "down"] * 9 + ["up", "x"] + words[:19]) == pytest.approx(17 / m)
     assert narrow(["up", "down"] * 10) == pytest.approx(18 / (20 + quality.PLAIN_WORDS))
+
+
+def test_license_scan_of_many_lines_without_letters(make):
+    """Time grows with the text: rules and dashes between licence lines are neither read again from each line end nor counted."""
+    rules = "\u2500\u2500\n" * 100_000
+    began = time.time()
+    r = licenses.scan_licenses(make((1, rules + "MIT License\n" + rules + "other words\n" + rules))).first()
+    assert time.time() - began < 30
+    short = licenses.scan_licenses(make((1, "\u2500\u2500\nMIT License\n\u2500\u2500\nother words\n\u2500\u2500"))).first()
+    assert (r["licenses"], r["sentence_ids"], r["n_unmatched"]) == (short["licenses"], short["sentence_ids"], short["n_unmatched"]) and r["licenses"] == "MIT"
