@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 4
 MANTISSA = 10
 BLOCK = 2048
 MEMO_WORDS = 100_000
+PART_OF_HUB = 1_000
+"""A hub's pairs are dealt over parts of about so many; all are compared."""
 
 
 class Sketcher:
@@ -174,11 +176,12 @@ def similar_classes(texts: DataFrame, classes: DataFrame, words: int, percent: i
     # what is wanted grows with the corpus: one strategy at every size, never a broadcast
     sets = stage(full_sets(texts.join(wanted.hint("shuffle_merge"), "id", "left_semi"), "id", "text", words), "sets")
     first = hubbed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stage(confirm(plausible(first, known, percent), sets, percent), "links")
+    likely = stage(plausible(first, known, percent), "plausible")
+    links = stage(confirm(likely, sets, percent), "links")
     parts = stage(connected_components(links), "components")
     more = links_across(hubbed, parts, known, sets, percent)
     final = stage(connected_components(links.unionByName(more)), "components")
-    for table in (hubbed, sets, parts):
+    for table in (hubbed, sets, likely, parts):
         unstage(table)
     return final
 
@@ -193,10 +196,17 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Append the full sets s_a and s_b (of the right size, since rows may share an id)."""
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")), x)
-    return pairs.where((F.size("s_a") == F.col("n_a")) & (F.size("s_b") == F.col("n_b")))
+    """Append the full sets s_a and s_b (of the right size, since rows may share an id).
+
+    Half of a corpus may ask for the set of one hub b. So its pairs are dealt over parts of about
+    PART_OF_HUB by a hash of a, and its set is sent once to each part."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART_OF_HUB).alias("parts")).where("parts > 1")
+    dealt = pairs.join(parts, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0))).drop("parts")
+    hubs = sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")).join(parts, "b", "left")
+    hubs = hubs.select("b", "s_b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    members = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
+    met = dealt.join(members, "a").join(hubs, ["b", "part"]).drop("part")
+    return met.where((F.size("s_a") == F.col("n_a")) & (F.size("s_b") == F.col("n_b")))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,21 +235,24 @@ def links_across(members: DataFrame, parts: DataFrame, known: DataFrame, sets: D
     several = placed.groupBy("band", "key").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high")).where("low < high").select("band", "key")
     asked = placed.join(several, ["band", "key"]).where("a <> b").select("a", "b", "c_a").distinct()
     asked = asked.join(of("b"), "b", "left").withColumn("c_b", component("b")).drop("part_b").join(n_of("a"), "a").join(n_of("b"), "b")
+    # ids alone tell where two components meet at a hub: sets are attached only to the members of such hubs
+    asked = stage(asked.withColumn("apart", F.col("c_a") != F.col("c_b")), "asked")
+    lively = stage(asked.where("apart").select("b").distinct(), "lively")  # its size is known: no shuffle by hub where it is small
     common = F.size(F.array_intersect("s_a", "s_b"))
-    met = with_sets(asked, sets).select("b", F.col("a").alias("x"), F.col("c_a").alias("c"), (F.col("c_a") != F.col("c_b")).alias("apart"), F.col("n_a").alias("n"), F.col("n_b"), common.alias("inside"), F.array_except("s_a", "s_b").alias("s"))
+    met = with_sets(asked.join(lively, "b", "left_semi"), sets).select("b", F.col("a").alias("x"), F.col("c_a").alias("c"), "apart", F.col("n_a").alias("n"), F.col("n_b"), common.alias("inside"), F.array_except("s_a", "s_b").alias("s"))
     met = stage(met, "met")
-    lively = stage(met.where("apart").select("b").distinct(), "lively")  # its size is known: no shuffle by hub where it is small
-    all_met, met = met, met.join(lively, "b", "left_semi")
-    hub_links = all_met.where(100 * F.col("inside") >= percent * (F.col("n") + F.col("n_b") - F.col("inside"))).select(F.col("x").alias("a"), "b")
+    # a hub and a member of its own component need no further link
+    hub_links = met.where("apart").where(100 * F.col("inside") >= percent * (F.col("n") + F.col("n_b") - F.col("inside"))).select(F.col("x").alias("a"), "b")
 
     least = F.ceil(percent * F.col("n") / 100)  # of what a link of x has in common
     row = [*"bxcn", "apart", "inside"]
     outside = met.select(*row, "s", F.greatest(least - F.col("inside"), F.lit(1)).alias("least"))
     held = met.where(F.col("inside") >= least).drop("s").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("s")), "x").where(F.size("s") == F.col("n"))
     held = held.select("b", "x", "c", "n", "apart", F.lit(0).alias("inside"), "s", least.alias("least"))
-    pairs = stage(prefix_pairs(outside, percent).unionByName(prefix_pairs(held, percent)).distinct(), "pairs")
-    found = stage(confirm(plausible(pairs, known, percent), sets, percent).unionByName(hub_links), "links")
-    for table in (all_met, lively, pairs):
+    pairs = prefix_pairs(outside, percent).unionByName(prefix_pairs(held, percent)).distinct()
+    pairs = stage(plausible(pairs, known, percent), "pairs")
+    found = stage(confirm(pairs, sets, percent).unionByName(hub_links), "links")
+    for table in (asked, lively, met, pairs):
         unstage(table)
     return found
 

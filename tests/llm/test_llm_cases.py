@@ -483,7 +483,9 @@ def test_near_duplicates_are_brute_force(spark, make, words):
     assert got == brute_groups(dict(rows), words)
 
 
-def test_outliers_beside_a_large_group_link_where_they_should(spark, make):
+@pytest.mark.parametrize("part", [7, 1_000])
+def test_outliers_beside_a_large_group_link_where_they_should(spark, make, monkeypatch, part):
+    monkeypatch.setattr(neardup, "PART_OF_HUB", part)
     random.seed(8)
     base = [f"b{k}" for k in range(100)]
     rows = []
