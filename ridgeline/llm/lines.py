@@ -158,7 +158,8 @@ def dedup_lines(
     Columns not in ``others`` are ignored.
 
     ``runs``: open runs of earlier calls, whose documents come before all of these; the documents'
-    lines are added to them. Documents are dealt into ``batches`` by id (one where ids are no numbers).
+    lines are added to them. A document whose id comes before one that the runs hold as first is refused
+    (ValueError, nothing added), since that one's lines were kept already. Documents are dealt into ``batches`` by id (one where ids are no numbers).
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -171,6 +172,12 @@ def dedup_lines(
     keyed = split.select(F.col(id_col).alias("doc"), "_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_key)
     lines = stage(keyed.select("doc", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), batch_of("doc", bounds).alias("batch")), "lines", ["batch"])
 
+    if runs is not None and (held := runs.table()) is not None:
+        last, least = held.agg(F.max("first")).first()[0], lines.agg(F.min("doc")).first()[0]
+        if last is not None and least is not None and least < last:
+            unstage(lines)
+            raise ValueError(f"document {least} comes before document {last}, whose lines the runs hold")
+
     known = runs or LineRuns(spark, kind=docs.schema[id_col].dataType.simpleString())
     try:
         for b in range(len(bounds) + 1):

@@ -425,6 +425,17 @@ def test_runs_outlive_their_session(spark, make, tmp_path):
     assert not (tmp_path / "runs").exists()
 
 
+def test_documents_before_the_runs_are_refused(spark, make):
+    runs = lines.LineRuns(spark, buckets=2)
+    lines.dedup_lines(make((5, "a line of some length")), batches=1, runs=runs).collect()
+    with pytest.raises(ValueError, match="document 2 comes before document 5"):
+        lines.dedup_lines(make((2, "a line of some length"), (9, "another line of some length")), batches=1, runs=runs)
+    assert runs.batches == 1 and runs.table().count() == 1
+    got = lines.dedup_lines(make((7, "a line of some length"), (2, None), (3, "short")), batches=1, runs=runs).collect()
+    assert sorted((r["doc_id"], r["n_dropped"], r["text"]) for r in got) == [(2, 0, ""), (3, 0, "short"), (7, 1, "")]
+    runs.drop()
+
+
 def test_ids_may_be_strings(spark):
     df = spark.createDataFrame([("b", "one two three four five six\nshort"), ("a", "one two three four five six\nshort"), ("c", None)], "doc_id string, text string")
     near = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
