@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.jobs import studies
 from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
-from ridgeline.session import stage
+from ridgeline.session import stage, staging_path
 from ridgeline.sources import grids
 
 DX = grids.SPACING
@@ -146,6 +146,22 @@ def group_median_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slope_area.median_iqr(runs, ["location", "dx"], "ratio").select("location", "dx", *rounded(4, "median", "q25", "q75"), "n")
 
 
+@query(f"WITH {RUNS} SELECT location, tile, dx, count(*) AS n, max(ks_mod) AS ks_mod, max(ks_obs) AS ks_obs FROM runs GROUP BY ALL")
+def exported_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steepest result of each location, tile and spacing, exported as sorted CSV and read back."""
+    top = grids.run_results(spark, sf_dir).groupBy("location", "tile", "dx").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("ks_mod", "ks_obs")))
+    path = staging_path(spark, "export")
+    studies.export_runs(top, path)
+    return spark.read.schema(top.schema).csv(path, header=True)
+
+
+@query(f"WITH {RUNS} SELECT dx, count(DISTINCT location || tile) AS n_tiles FROM runs GROUP BY dx")
+def distinct_spacings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spacings that occur, in order, with how many tiles have each."""
+    tiles = grids.run_results(spark, sf_dir).select("dx", "location", "tile").distinct()
+    return tiles.groupBy("dx").agg(F.count("*").alias("n_tiles")).orderBy("dx")
+
+
 @query(f"""WITH {RUNS}, per AS (SELECT location, tile, dx, round(avg(ks_mod), 4) AS v FROM runs GROUP BY ALL)
 SELECT location, tile, array_to_string(list(CAST(CAST(dx AS INTEGER) AS VARCHAR) ORDER BY dx), ',') AS dx_series, count(*) AS n_dx, round(max(v), 4) AS top FROM per GROUP BY location, tile""")
 def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +205,23 @@ def picard_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sloped(spark, sf_dir).select("tile_id", "j", "i", *to(6, slope=s, d_eff=stencil.effective_diffusivity(d, s, 0.05)), *to(8, flux=stencil.nonlinear_flux(d, s, 1.27)))
 
 
+@query(f"WITH {CELLS}, {NEAR}, {PICARD} SELECT tile_id, j, i, round(0.01 * slope, 8) AS linear, round(0.01 * slope / (1 - (slope / 1.27) ** 2) - 0.01 * slope, 8) AS excess FROM sloped")
+def hillslope_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear flux, and what a critical slope adds to it."""
+    s, d = F.col("slope"), F.lit(0.01)
+    linear = stencil.linear_flux(d, s)
+    return _sloped(spark, sf_dir).select("tile_id", "j", "i", *to(8, linear=linear, excess=stencil.nonlinear_flux(d, s, 1.27) - linear))
+
+
+@query(f"WITH {CELLS} SELECT tile_id, j, i, round(1000.0 - 5.0 * j + 0.1 * z, 6) AS z FROM cells")
+def stored_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two variants of all tiles written by blocks; one is read back, the other's files are pruned."""
+    path = staging_path(spark, "cells")
+    both = [cells(spark, sf_dir).withColumn("variant", F.lit(name)) for name, cells in (("raw", grids.matrix_cells), ("tilted", grids.tilted_cells))]
+    grids.write_cells(reduce(DataFrame.unionByName, both), path)
+    return grids.read_cells(spark, path, variant="tilted").select("tile_id", "j", "i", *rounded(6, "z"))
+
+
 @query(f"WITH {CELLS}, {NEAR}, {PICARD} SELECT tile_id, CAST(least(floor(slope / 0.01), 24) AS INTEGER) AS bin, count(*) AS n FROM sloped WHERE slope BETWEEN 0 AND 0.25 GROUP BY ALL")
 def slope_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slope_area.histogram(_sloped(spark, sf_dir), ["tile_id"], "slope", 0.0, 0.25, 25)

@@ -112,6 +112,11 @@ def effective_diffusivity(d: Column, slope: Column, critical: float) -> Column:
     return d / (1.0 - r * r)
 
 
+def linear_flux(d: Column, slope: Column) -> Column:
+    """d s."""
+    return d * slope
+
+
 def nonlinear_flux(d: Column, slope: Column, critical: float) -> Column:
     """d s / (1 - (s / critical)^2); NULL at the critical slope."""
     return F.try_divide(d * slope, 1.0 - F.pow(slope / critical, F.lit(2.0)))

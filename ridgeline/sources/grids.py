@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 TILE_ROWS = 50
 SPACING = 10.0
+FILE_BLOCK = 1024
+"""Cells along a side of the blocks in which tiles are written."""
 
 
 def no_nan(df: DataFrame) -> DataFrame:
@@ -21,20 +23,28 @@ def no_nan(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in floating else F.col(c) for c in df.columns))
 
 
-def read_cells(spark: SparkSession, path: str, tiles: list[str] | None = None, variant: str | None = None) -> DataFrame:
-    """Cells from Parquet partitioned by ``tile_id`` (and ``variant``); only the named ones are read."""
+def read_cells(spark: SparkSession, path: str, tiles: list[str] | None = None, variant: str | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Cells from Parquet partitioned by ``tile_id`` (and ``variant``); only the named ones are read.
+
+    ``window``: (j0, j1, i0, i1), half open, in the tile's own rows and columns. The scan skips row groups
+    by their least and greatest j and i, which :func:`write_cells` keeps close. Use :func:`crop` to count anew."""
     df = spark.read.parquet(path)
     if tiles is not None:
         df = df.where(F.col("tile_id").isin(tiles))
     if variant is not None:
         df = df.where(F.col("variant") == variant)
+    if window is not None:
+        j0, j1, i0, i1 = window
+        df = df.where((F.col("j") >= j0) & (F.col("j") < j1) & (F.col("i") >= i0) & (F.col("i") < i1))
     return no_nan(df)
 
 
-def write_cells(cells: DataFrame, path: str) -> None:
-    """Cells to Parquet, partitioned by tile and, if there is one, variant."""
+def write_cells(cells: DataFrame, path: str, block: int = FILE_BLOCK) -> None:
+    """Cells to Parquet, partitioned by tile and, if there is one, variant. Tasks get blocks of a tile, so one
+    large tile is written by many, and a file holds neighbouring cells in order."""
     keys = [c for c in ("variant", "tile_id") if c in cells.columns]
-    cells.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    place = [*keys, *(F.floor(F.col(c) / block) for c in "ji")]
+    cells.repartition(*place).sortWithinPartitions(*place, "j", "i").write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def matrix_cells(spark: SparkSession, sf_dir: str, tile_rows: int = TILE_ROWS) -> DataFrame:

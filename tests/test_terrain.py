@@ -226,6 +226,11 @@ def test_cells_round_trip_and_export(spark, sf_dir, tmp_path):
     grids.write_cells(cells, str(tmp_path / "cells"))
     back = grids.read_cells(spark, str(tmp_path / "cells"), ["t1"])
     assert back.count() == cells.where("tile_id = 't1'").count()
+    grids.write_cells(cells, str(tmp_path / "blocks"), block=16)
+    part = grids.read_cells(spark, str(tmp_path / "blocks"), ["t1"], window=(16, 32, 0, 16))
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(j,16)" in scan and "PartitionFilters: [" in scan
+    assert sorted((r["j"], r["i"], r["z"]) for r in part.collect()) == sorted((r["j"], r["i"], r["z"]) for r in back.collect() if 16 <= r["j"] < 32 and r["i"] < 16)
     studies.export_runs(grids.run_results(spark, sf_dir).limit(10), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 10
 
