@@ -698,12 +698,36 @@ def tile_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.join(table, "n").drop("n")
 
 
-SPACINGS = [2 * DX, 3 * DX]
+SPACINGS = [DX * 1.5 * (16 / 3) ** (k / 24) for k in range(25)]
+"""25 spacings between 1.5 and 8 cells, log-spaced."""
+LEAST_AREA = 4 * 900.0
 
 
 @query()
 def resolution_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.resolution_study(grids.tilted_cells(spark, sf_dir), stage(tile_params(spark, sf_dir), "params"), DX, SPACINGS, min_area=4 * 900.0)
+    """Every tile at every spacing, observed and modelled under both routings."""
+    return studies.resolution_study(grids.tilted_cells(spark, sf_dir), stage(tile_params(spark, sf_dir), "params"), DX, SPACINGS, min_area=LEAST_AREA, routings=("d8", "dinf"))
+
+
+COARSE = f"""WITH RECURSIVE {TILTED.replace(chr(10) + 'cells AS', chr(10) + 'fine AS')},
+runs AS (SELECT tile_id AS base, tile_id || '@' || k AS tile_id, k AS dx_id, dx, ny, nx, CAST(round_even(ny * (10.0 / dx), 0) AS INTEGER) AS my, CAST(round_even(nx * (10.0 / dx), 0) AS INTEGER) AS mx,
+  list_extract({[p[3] for p in grids.PARAMS]}, CAST(substr(tile_id, 2) AS INTEGER) % {len(grids.PARAMS)} + 1) AS theta
+  FROM (SELECT tile_id, max(j) + 1 AS ny, max(i) + 1 AS nx FROM fine GROUP BY tile_id), (SELECT CAST(unnest(range(0, {len(SPACINGS)})) AS INTEGER) AS k, CAST(unnest({SPACINGS}) AS DOUBLE) AS dx)),
+place AS (SELECT base, tile_id, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, ny, nx, j * (ny - 1) / (my - 1) AS y, i * (nx - 1) / (mx - 1) AS x FROM (SELECT *, unnest(range(0, mx)) AS i FROM (SELECT *, unnest(range(0, my)) AS j FROM runs))),
+corner AS (SELECT *, CAST(least(floor(y), ny - 2) AS INTEGER) AS y0, CAST(least(floor(x), nx - 2) AS INTEGER) AS x0 FROM place),
+wide AS (SELECT base, tile_id, j, i, y0 + a AS cj, x0 + b AS ci, (CASE WHEN a = 1 THEN y - y0 ELSE 1 - (y - y0) END) * (CASE WHEN b = 1 THEN x - x0 ELSE 1 - (x - x0) END) AS w FROM corner, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b)),
+cells AS MATERIALIZED (SELECT wide.tile_id, wide.j, wide.i, sum(w * z) AS z FROM wide JOIN fine f ON f.tile_id = base AND f.j = cj AND f.i = ci GROUP BY ALL)"""
+COARSE_FLOW = FLOW.replace("CAST(100 * count(*) AS DOUBLE) AS area FROM walk GROUP", "count(*) * any_value(dx * dx) AS area FROM walk JOIN runs USING (tile_id) GROUP")
+
+
+@query(f"""{COARSE}, {NEAR}, {NEAR8}, {COARSE_FLOW}, {drop_sql('falls_of', 'cells', 10.0, LEAST_AREA)}
+SELECT base AS tile_id, dx_id, round(dx, 6) AS dx, round(pow(10.0, avg(log10(s * 10.0 / dx) + theta * log10(a))), 6) AS ks, count(*) AS n_good, round(max(a), 3) AS a_max FROM falls_of JOIN runs USING (tile_id) WHERE s > 0 GROUP BY base, dx_id, dx""")
+def resolution_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observed part of the study: resampled, filled, routed and fitted at every spacing in one plan."""
+    runs = stage(studies.spacings(tile_params(spark, sf_dir), SPACINGS), "runs")
+    flowing = studies.flow_of_runs(studies.coarse_surfaces(grids.tilted_cells(spark, sf_dir), runs, DX), runs, False)
+    fits = studies.steepness_of_runs(flowing.withColumn("part", F.lit("obs")), runs, LEAST_AREA, 10.0)
+    return fits.join(runs, "run").select("tile_id", "dx_id", *rounded(6, "dx", "ks"), "n_good", *rounded(3, "a_max"))
 
 
 @query(f"""WITH {RUNS}, per AS (SELECT location, tile, dx, max(ks_mod) AS top FROM runs WHERE dx < 6 OR tile > 2 GROUP BY ALL), pairs AS (SELECT DISTINCT location, tile FROM per)

@@ -21,6 +21,8 @@ def routed(cells: DataFrame, dx: float, dinf: bool = False, filled: bool = False
     return stage(routing.dinf_area(routing.dinf_direction(flowing, dx), dx), "routed-dinf")
 
 
+PART = r"\|[^|]*$"
+"""What stands behind a run's name in the key of one of its surfaces."""
 SCENARIO = "scenario string, model string, m double, u double, k double, d double, a_crit double, s_c double"
 
 
@@ -29,34 +31,70 @@ def channel_points(cells: DataFrame, dx: float, min_area: float, interval: float
     return routing.channel_slope_by_drop(cells, dx, interval, min_area).select("tile_id", "j", "i", F.col("area").alias("a"), F.col("slope").alias("s"))
 
 
-def steepness(cells: DataFrame, dx: float, min_area: float, interval: float) -> DataFrame:
-    """tile_id, ks, r2, n_good, a_max from channel slopes of routed cells that have a column theta."""
-    theta = cells.groupBy("tile_id").agg(F.first("theta").alias("theta"))
-    points = channel_points(cells, dx, min_area, interval).join(theta, "tile_id")
-    return slope_area.fit_fixed(points, ["tile_id", "theta"], F.col("theta"), min_points=1).drop("theta")
-
-
-def resolution_study(cells: DataFrame, params: DataFrame, dx: float, targets: list[float], min_area: float = 1e5, interval: float = 10.0, routing_kind: str = "d8") -> DataFrame:
-    """Steepness of observed and modelled relief at coarser spacings: location, tile, dx, u, k, d, theta, then
-    ks, r2, npts and amax of both (_obs, _mod), ratio, status.
-
-    params: (tile_id, location, tile, u, k, d, theta), a row for each tile to study. Each target is resampled,
-    filled and routed; the steady state is solved on it, and its slopes are taken along the observed flow, with
-    the observed area. A tile that fails has NULL values and a status, the others go on."""
-    out = []
-    for target in targets:
-        coarse = drainage.fill_pits(resample.resample(cells.join(params.select("tile_id"), "tile_id", "left_semi"), dx, target)).withColumn("z", F.col("filled")).drop("filled")
-        flowing = stage(routed(stage(coarse, "coarse"), target, routing_kind == "dinf", filled=True).join(params.select("tile_id", "theta"), "tile_id"), "flowing")
-        runs = params.select(F.col("tile_id").alias("scenario"), F.lit("ad").alias("model"), F.col("theta").alias("m"), "u", "k", "d", F.lit(0.0).alias("a_crit"), F.lit(1.0).alias("s_c"), "tile_id")
-        solved = stage(models.solve_models(flowing, runs, target, routing_kind), "solved")
-        on_flow = solved.where("z IS NOT NULL").select("tile_id", "j", "i", "z").join(flowing.drop("z"), ["tile_id", "j", "i"])
-        row = params.select("tile_id", "location", "tile", F.lit(float(target)).alias("dx"), "u", "k", "d", "theta")
-        for part, surface in (("obs", flowing), ("mod", on_flow)):
-            fit = steepness(surface, target, min_area, interval)
-            row = row.join(fit.select("tile_id", F.col("ks").alias(f"ks_{part}"), F.col("r2").alias(f"r2_{part}"), F.col("n_good").alias(f"npts_{part}"), F.col("a_max").alias(f"amax_{part}")), "tile_id", "left")
-        status = solved.groupBy("tile_id").agg(F.max("status").alias("status"))
-        out.append(row.join(status, "tile_id", "left").withColumn("ratio", slope_area.guarded_ratio(F.col("ks_mod"), F.col("ks_obs"))))
-    return reduce(DataFrame.unionByName, out).drop("tile_id")
+def spacings(params: DataFrame, targets: list[float]) -> DataFrame:
+    """A run for each row of ``params`` and each spacing: run (tile_id@dx_id), dx_id, dx and the columns of params."""
+    runs = params.select("*", F.posexplode(F.array(*(F.lit(float(t)) for t in targets))).alias("dx_id", "dx"))
+    return runs.withColumn("run", F.concat_ws("@", "tile_id", F.col("dx_id").cast("string")))
+
+
+def coarse_surfaces(cells: DataFrame, runs: DataFrame, dx: float) -> DataFrame:
+    """(tile_id, j, i, z), tile_id being a run: filled surfaces of all tiles at all of their spacings."""
+    studied = cells.join(runs.select("tile_id").distinct(), "tile_id", "left_semi")
+    wide = resample.resample_sweep(studied, dx, runs.select("tile_id", "dx_id", "dx"))
+    coarse = stage(wide.select(F.concat_ws("@", "tile_id", F.col("dx_id").cast("string")).alias("tile_id"), "j", "i", "z"), "coarse")
+    return stage(drainage.fill_pits(coarse).select("tile_id", "j", "i", F.col("filled").alias("z")), "filled")
+
+
+def flow_of_runs(surfaces: DataFrame, runs: DataFrame, dinf: bool) -> DataFrame:
+    """Routed surfaces with areas in their own spacing's units.
+
+    Directions don't depend on the spacing, and areas are cells times its square, so all spacings are routed at once."""
+    sides = runs.select(F.col("run").alias("tile_id"), (F.col("dx") * F.col("dx")).alias("cell"))
+    flowing = routed(surfaces, 1.0, dinf, filled=True).join(sides, "tile_id")
+    for c in ("area", "area_dinf") if dinf else ("area",):
+        flowing = flowing.withColumn(c, F.col(c) * F.col("cell"))
+    return stage(flowing.drop("cell"), "flowing")
+
+
+def steepness_of_runs(surfaces: DataFrame, runs: DataFrame, min_area: float, interval: float) -> DataFrame:
+    """run, part, ks, r2, n_good, a_max of routed surfaces (tile_id: a run, part, j, i, z, fd, area): all parts of all
+    runs walk their channels together, in unit steps, which the spacing then measures."""
+    whole = surfaces.withColumn("tile_id", F.concat_ws("|", "tile_id", "part"))
+    of = runs.select(F.col("run").alias("_run"), F.col("dx").alias("_dx"), "theta")
+    points = channel_points(whole, 1.0, min_area, interval).withColumn("_run", F.regexp_replace("tile_id", PART, ""))
+    points = points.join(of, "_run").withColumn("s", F.col("s") / F.col("_dx"))
+    fits = slope_area.fit_fixed(stage(points.select("tile_id", "j", "i", "a", "s", "theta"), "points"), ["tile_id", "theta"], F.col("theta"), min_points=1)
+    return fits.select(F.regexp_replace("tile_id", PART, "").alias("run"), F.substring_index("tile_id", "|", -1).alias("part"), "ks", "r2", "n_good", "a_max")
+
+
+def resolution_study(cells: DataFrame, params: DataFrame, dx: float, targets: list[float], min_area: float = 1e5, interval: float = 10.0, routings: tuple[str, ...] = ("d8",)) -> DataFrame:
+    """Steepness of observed and modelled relief at coarser spacings: location, tile, dx_id, dx, u, k, d, theta, then ks,
+    r2, npts and amax of the observed relief (_obs) and of each routing's model (_d8, _dinf), ratio_* and status_*.
+
+    params: (tile_id, location, tile, u, k, d, theta), a row for each tile to study. The spacing is a key: every
+    surface of every tile is resampled, filled and routed in one plan, whose jobs don't grow with the number of spacings.
+    The steady state is solved on unit cells, with D / dx^2 and K / dx in place of D and K, and its slopes are taken along the
+    observed D8 flow, with the observed area. A run that fails has NULL values and a status, the others go on; a spacing
+    at which a tile has no channel has NULL values."""
+    runs = stage(spacings(params, targets), "runs")
+    flowing = flow_of_runs(coarse_surfaces(cells, runs, dx), runs, "dinf" in routings)
+    scenarios = runs.select(
+        F.col("run").alias("scenario"), F.lit("ad").alias("model"), F.col("theta").alias("m"), "u", (F.col("k") / F.col("dx")).alias("k"), (F.col("d") / (F.col("dx") * F.col("dx"))).alias("d"),
+        F.lit(0.0).alias("a_crit"), F.lit(1.0).alias("s_c"), F.col("run").alias("tile_id"),
+    )
+    solved = {kind: stage(models.solve_models(flowing, scenarios, 1.0, kind), f"solved-{kind}") for kind in routings}
+    flow = flowing.select("tile_id", "j", "i", "fd", "area")
+    parts = [flowing.select("tile_id", F.lit("obs").alias("part"), "j", "i", "z", "fd", "area")]
+    parts += [s.where("z IS NOT NULL").select("tile_id", F.lit(kind).alias("part"), "j", "i", "z").join(flow, ["tile_id", "j", "i"]) for kind, s in solved.items()]
+    fits = stage(steepness_of_runs(stage(reduce(DataFrame.unionByName, parts), "surfaces"), runs, min_area, interval), "fits")
+    row = runs.select("run", "location", "tile", "dx_id", "dx", "u", "k", "d", "theta")
+    for part in ("obs", *routings):
+        named = (F.col(a).alias(f"{b}_{part}") for a, b in (("ks", "ks"), ("r2", "r2"), ("n_good", "npts"), ("a_max", "amax")))
+        row = row.join(fits.where(F.col("part") == part).select("run", *named), "run", "left")
+    for kind, s in solved.items():
+        row = row.join(s.groupBy(F.col("tile_id").alias("run")).agg(F.max("status").alias(f"status_{kind}")), "run", "left")
+        row = row.withColumn(f"ratio_{kind}", slope_area.guarded_ratio(F.col(f"ks_{kind}"), F.col("ks_obs")))
+    return row.drop("run")
 
 
 def filled_results(results: DataFrame, spacings: list[float]) -> DataFrame:

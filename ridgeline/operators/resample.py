@@ -7,24 +7,35 @@ from pyspark.sql import functions as F
 
 
 def zoom(cells: DataFrame, factor_y: float, factor_x: float) -> DataFrame:
-    """Cells (tile_id, j, i, z) of each tile resampled by the given factors.
+    """Cells (tile_id, j, i, z) of each tile resampled by the given factors."""
+    return sampled(cells, extents(cells).withColumn("fy", F.lit(float(factor_y))).withColumn("fx", F.lit(float(factor_x))), ["tile_id"])
+
+
+def extents(cells: DataFrame) -> DataFrame:
+    """(tile_id, ny, nx)."""
+    return cells.groupBy("tile_id").agg((F.max("j") + 1).alias("ny"), (F.max("i") + 1).alias("nx"))
+
+
+def sampled(cells: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, j, i, z of every grid (keys, ny, nx, fy, fx) over cells of its tile; a tile may have many grids.
 
     Output size is round(n * factor) (half to even); sample k stands at k (n - 1) / (size - 1). Corner
     values are weighted bilinearly, NoData with weight zero; a cell whose valid weight is below one half
-    is NULL. Each output cell joins its four corners; a tile needs no other."""
-    box = cells.groupBy("tile_id").agg((F.max("j") + 1).alias("ny"), (F.max("i") + 1).alias("nx"))
-    box = box.withColumn("my", F.greatest(F.bround(F.col("ny") * factor_y), F.lit(1)).cast("int")).withColumn("mx", F.greatest(F.bround(F.col("nx") * factor_x), F.lit(1)).cast("int"))
-    out = box.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("my") - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mx") - 1)))
+    is NULL. Each output cell joins its four corners, rows of a grid are dealt over tasks; a tile needs no other."""
+    size = lambda n, f: F.greatest(F.bround(F.col(n) * F.col(f)), F.lit(1)).cast("int")
+    box = grids.withColumn("my", size("ny", "fy")).withColumn("mx", size("nx", "fx")).drop("fy", "fx")
+    rows = box.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("my") - 1))).repartition(*keys, "j")
+    out = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mx") - 1)))
     place = lambda k, n, m: F.when(F.col(m) > 1, F.col(k) * (F.col(n) - 1) / (F.col(m) - 1)).otherwise(0.0)
     out = out.withColumn("y", place("j", "ny", "my")).withColumn("x", place("i", "nx", "mx"))
     y0, x0 = F.least(F.floor("y"), F.greatest(F.col("ny") - 2, F.lit(0))), F.least(F.floor("x"), F.greatest(F.col("nx") - 2, F.lit(0)))
     out = out.withColumn("y0", y0.cast("int")).withColumn("x0", x0.cast("int")).withColumn("fy", F.col("y") - F.col("y0")).withColumn("fx", F.col("x") - F.col("x0"))
     corners = F.array(*(F.struct((F.col("y0") + a).alias("cj"), (F.col("x0") + b).alias("ci"), ((F.col("fy") if a else 1.0 - F.col("fy")) * (F.col("fx") if b else 1.0 - F.col("fx"))).alias("w")) for a in (0, 1) for b in (0, 1)))
-    wide = out.select("tile_id", "j", "i", F.explode(corners).alias("c")).select("tile_id", "j", "i", "c.cj", "c.ci", "c.w")
+    wide = out.select(*keys, "j", "i", F.explode(corners).alias("c")).select(*keys, "j", "i", "c.cj", "c.ci", "c.w")
     met = wide.join(cells.select("tile_id", F.col("j").alias("cj"), F.col("i").alias("ci"), "z"), ["tile_id", "cj", "ci"], "left")
     weight = F.coalesce(F.sum(F.when(F.col("z").isNotNull(), F.col("w"))), F.lit(0.0))
-    summed = met.groupBy("tile_id", "j", "i").agg(weight.alias("weight"), F.sum(F.col("w") * F.col("z")).alias("total"))
-    return summed.select("tile_id", "j", "i", F.when(F.col("weight") >= 0.5, F.col("total") / F.col("weight")).alias("z"))
+    summed = met.groupBy(*keys, "j", "i").agg(weight.alias("weight"), F.sum(F.col("w") * F.col("z")).alias("total"))
+    return summed.select(*keys, "j", "i", F.when(F.col("weight") >= 0.5, F.col("total") / F.col("weight")).alias("z"))
 
 
 def resample(cells: DataFrame, dx: float, dx_target: float) -> DataFrame:
@@ -32,3 +43,10 @@ def resample(cells: DataFrame, dx: float, dx_target: float) -> DataFrame:
     if dx_target <= 0:
         raise ValueError("the target spacing must be positive")
     return zoom(cells, dx / dx_target, dx / dx_target)
+
+
+def resample_sweep(cells: DataFrame, dx: float, targets: DataFrame) -> DataFrame:
+    """(tile_id, dx_id, j, i, z): square cells of side ``dx`` resampled to every spacing of their tile's in
+    ``targets`` (tile_id, dx_id, dx), one plan for all. Spacings that are not above zero give no cells."""
+    wanted = targets.where("dx > 0").select("tile_id", "dx_id", (F.lit(float(dx)) / F.col("dx")).alias("fy"))
+    return sampled(cells, extents(cells).join(wanted.withColumn("fx", F.col("fy")), "tile_id"), ["tile_id", "dx_id"])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.session import stage
+
 MIN_POINTS = 30
 MIN_BINS = 3
 ACCURACY = 10_000
@@ -25,10 +27,13 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, probs: tuple[float,
     A sketch a key gives cuts close to the wanted ranks, values are counted between cuts, and only the few
     cells that hold a wanted rank are sorted, after equal values are counted together. No task holds a
     group: memory does not grow with it, whatever its size. Cuts decide which cells are sorted, never
-    the result. Keys without a value have no row; NULL keys are a key."""
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    the result. Keys without a value have no row; NULL keys are a key.
+
+    The input is read once: keys and values are written, and the passes read those. Cuts and chosen cells are written too,
+    so Spark knows their size: it broadcasts them below its threshold and shuffles by key above it."""
+    rows = stage(rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL"), "values")
     near = sorted({min(1.0, max(0.0, p + d / ACCURACY)) for p in probs for d in (-10, -2, 2, 10)})
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", near, ACCURACY).alias("_cuts"))
+    sketch = stage(rows.groupBy(*keys).agg(F.percentile_approx("_v", near, ACCURACY).alias("_cuts")), "cuts")
     cell = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
     placed = join_keys(rows, sketch, keys).select(*keys, cell.alias("_cell"), "_v")
 
@@ -38,7 +43,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, probs: tuple[float,
     place = [p * (F.col("_n") - 1) for p in probs]
     ranks = F.array_distinct(F.array(*(f(x) for x in place for f in (F.floor, F.ceil))))
     inside = F.filter(ranks, lambda r: (r >= F.col("_upto") - F.col("_held")) & (r < F.col("_upto")))
-    chosen = cells.select(*keys, "_cell", "_n", (F.col("_upto") - F.col("_held")).alias("_before"), inside.alias("_ranks")).where(F.size("_ranks") > 0)
+    chosen = stage(cells.select(*keys, "_cell", "_n", (F.col("_upto") - F.col("_held")).alias("_before"), inside.alias("_ranks")).where(F.size("_ranks") > 0), "ranked")
 
     values = join_keys(placed, chosen, [*keys, "_cell"]).groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_m"), *(F.any_value(c).alias(c) for c in ("_n", "_before", "_ranks")))
     last = F.sum("_m").over(Window.partitionBy(*keys, "_cell").orderBy("_v")) + F.col("_before")
@@ -49,7 +54,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, probs: tuple[float,
         x = p * (F.col("n") - 1)
         low, high = F.try_element_at("_at", F.floor(x)), F.try_element_at("_at", F.ceil(x))
         out.append(low + (x - F.floor(x)) * (high - low))
-    return at.select(*keys, F.array(*out).alias("q"), "n")
+    return stage(at.select(*keys, F.array(*out).alias("q"), "n"), "quantiles")  # a row a key; callers read it more than once
 
 
 def join_keys(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

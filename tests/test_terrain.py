@@ -338,3 +338,37 @@ def test_coarse_nodes_share_their_cells(spark):
     nodes = (np.arange(p.shape[1]) + low // step - 1) * step
     assert np.allclose(p @ nodes, np.arange(low, low + n)) and np.allclose(p.sum(1), 1)
     assert np.allclose(models.hats(low, n, step, -1) @ nodes, np.arange(low - 1, low + n - 1))
+
+
+def test_the_sweep_on_unit_cells_equals_a_run_at_each_spacing(spark, sf_dir):
+    """Spacing as a key: the same steepness as resampling, filling, routing and solving with the spacing itself."""
+    cells = grids.tilted_cells(spark, sf_dir).where("tile_id IN ('t0', 't1')").withColumn("z", F.when((F.col("j") != 20) | (F.col("i") > 3), F.col("z")))
+    params = spark.createDataFrame([("t0", "L", 1, 1e-4, 3e-5, 1e-2, 0.4), ("t1", "L", 2, 2e-4, 5e-5, 2e-2, 0.5)], "tile_id string, location string, tile int, u double, k double, d double, theta double")
+    targets = [34.0]
+    rows = studies.resolution_study(cells, params, 10.0, targets, 3600.0, 10.0, ("d8", "dinf")).collect()
+    got = {(r["tile"], r["dx"]): r for r in rows}
+    assert len(rows) == len(got) == 2 and {r["status_d8"] for r in rows} == {"ok"}
+    for t in targets:
+        z = drainage.fill_pits(resample.resample(cells, 10.0, t)).select("tile_id", "j", "i", F.col("filled").alias("z"))
+        flowing = studies.routed(z, t, dinf=True, filled=True)
+        runs = params.selectExpr("tile_id AS scenario", "'ad' AS model", "theta AS m", "u", "k", "d", "0D AS a_crit", "1D AS s_c", "tile_id")
+        surfaces = {"obs": flowing}
+        for kind in ("d8", "dinf"):
+            solved = models.solve_models(flowing, runs, t, kind).select("tile_id", "j", "i", "z").where("z IS NOT NULL")
+            surfaces[kind] = flowing.drop("z").join(solved, ["tile_id", "j", "i"])
+        for part, surface in surfaces.items():
+            points = studies.channel_points(surface, t, 3600.0, 10.0).where("s > 0").join(params.select("tile_id", "tile", "theta"), "tile_id")
+            for r in points.groupBy("tile").agg(F.avg(F.log10("s") + F.col("theta") * F.log10("a")).alias("c"), F.count("*").alias("n")).collect():
+                mine = got[r["tile"], t]
+                assert (part, mine[f"npts_{part}"]) == (part, r["n"])
+                assert mine[f"ks_{part}"] == pytest.approx(10 ** r["c"], rel=1e-6)
+                if part != "obs":
+                    assert mine[f"ratio_{part}"] == pytest.approx(mine[f"ks_{part}"] / mine["ks_obs"])
+
+
+def test_a_sweep_over_no_cells_and_odd_spacings(spark):
+    none = grid(spark, lambda j, i: -j, 4, 4).where("false")
+    targets = spark.createDataFrame([("t", 0, 2.0), ("t", 1, 0.0), ("t", 2, 40.0)], "tile_id string, dx_id int, dx double")
+    assert resample.resample_sweep(none, 1.0, targets).count() == 0
+    some = resample.resample_sweep(grid(spark, lambda j, i: -j, 4, 4), 1.0, targets).groupBy("dx_id").count().collect()
+    assert {r["dx_id"]: r["count"] for r in some} == {0: 4, 2: 1}
