@@ -2,21 +2,22 @@
 
 Directions are window stencils. What follows paths (drainage area, elevations along channels) runs by
 pointer doubling, a join a round, so a path of L cells takes about log2 L rounds whatever the tile's
-size. Only what depends on a processing order (D-infinity area and channels) runs tile by tile in Python
-workers. Filling and flats are in ``drainage``.
+size. D-infinity area is handed on in blocks of a tile that exchange what crosses between them; only D-infinity
+channels, whose result depends on the order of a queue, run tile by tile in Python workers. Filling and flats are in ``drainage``.
 """
 
 from __future__ import annotations
 
 import math
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators.stencil import eight_neighbours
+from ridgeline.operators.stencil import BLOCK, eight_neighbours
 from ridgeline.session import stage, unstage, use_package
 
 # D8 codes, column step, row step; the order breaks ties.
@@ -239,30 +240,77 @@ def rasters(tile: pd.DataFrame, columns: list[str]) -> tuple[int, int, dict[str,
     return ny, nx, out
 
 
-def dinf_area(cells: DataFrame, dx: float) -> DataFrame:
+def dinf_edges(cells: DataFrame) -> DataFrame:
+    """(tile_id, j, i, z, rcv_j, rcv_i, weight, late) of cells with elevation and facet, and where their area goes.
+
+    A cell without receivers has one row with NULLs. late: the receiver comes first in the order of falling elevation, then rows,
+    so it keeps what it gets without handing it on."""
+    ok = cells.where(F.col("z").isNotNull() & F.col("facet").isNotNull())
+    there = ok.select("tile_id", F.col("j").alias("rcv_j"), F.col("i").alias("rcv_i"), F.col("z").alias("rcv_z"))
+    shares = dinf_receivers(ok).where("weight > 0").join(there, ["tile_id", "rcv_j", "rcv_i"])
+    given = ok.select(*CELL, "z").join(shares, CELL, "left")
+    before = F.struct(-F.col("rcv_z"), F.col("rcv_j"), F.col("rcv_i")) < F.struct(-F.col("z"), F.col("j"), F.col("i"))
+    return given.select(*CELL, "z", "rcv_j", "rcv_i", "weight", F.coalesce(before, F.lit(False)).alias("late"))
+
+
+def hand_on(rows: pd.DataFrame, come: pd.DataFrame, block: int) -> pd.DataFrame:
+    """What a block's cells get of what has come to it (``come``: j, i, area, late), handed on from high to low: j, i, area, late,
+    here. Rows that are not ``here`` go to cells of other blocks."""
+    if rows.empty or come.empty:
+        return pd.DataFrame({c: [] for c in ("tile_id", "j", "i", "area", "late", "here")})
+    low_j, low_i = (int(rows[c].min()) for c in "ji")
+    width = int(rows["i"].max()) - low_i + 1
+    name = lambda j, i: (j - low_j) * width + (i - low_i)
+    own = name(rows["j"].to_numpy(), rows["i"].to_numpy())
+    passing, kept = np.zeros(own.max() + 1), np.zeros(own.max() + 1)
+    late = come["late"].to_numpy(dtype=bool)
+    at, area = name(come["j"].to_numpy(), come["i"].to_numpy()), come["area"].to_numpy()
+    np.add.at(passing, at[~late], area[~late])
+    np.add.at(kept, at[late], area[late])
+    order = np.lexsort((rows["i"], rows["j"], -rows["z"]))
+    edges = rows.iloc[order]
+    edges = edges[edges["weight"].notna()]
+    rj, ri = (edges[f"rcv_{c}"].to_numpy().astype(np.int64) for c in "ji")
+    inside = (rj // block == low_j // block) & (ri // block == low_i // block)
+    to = np.where(inside, name(rj, ri), -1)
+    sent = np.zeros(len(edges))
+    flow = zip(name(edges["j"].to_numpy(), edges["i"].to_numpy()).tolist(), to.tolist(), edges["weight"].tolist(), edges["late"].tolist(), strict=True)
+    for n, (u, v, weight, is_late) in enumerate(flow):
+        sent[n] = weight * passing[u]
+        if v >= 0 and sent[n]:
+            (kept if is_late else passing)[v] += sent[n]
+    held = pd.DataFrame({"j": rows["j"], "i": rows["i"], "area": (passing + kept)[own], "late": False, "here": True})
+    held = held.drop_duplicates(["j", "i"])
+    out = pd.DataFrame({"j": rj, "i": ri, "area": sent, "late": edges["late"].to_numpy(dtype=bool), "here": False})[~inside]
+    both = pd.concat([held, out])
+    return both[both["area"] != 0].assign(tile_id=rows["tile_id"].iloc[0])
+
+
+def dinf_area(cells: DataFrame, dx: float, block: int = BLOCK) -> DataFrame:
     """Append ``area_dinf``: area handed on from high to low, split between two receivers.
 
-    Cells need elevation and facet to take part; what leads to others is lost. Equal elevations go in
-    row order. One task holds one tile (grouped map), since the order matters."""
+    Cells need elevation and facet to take part; what leads to others is lost. Equal elevations go in row order: what a cell
+    gets from one that comes after it stays there. Work goes by blocks of a tile: a block hands its cells' area on, and what
+    crosses into other blocks is what they start the next round with. Areas are sums, so rounds add up; every edge leads
+    onwards in one order, so rounds end with the most blocks that a path enters. Only blocks that got something work in a round."""
     use_package(cells.sparkSession)
-
-    def spread(tile: pd.DataFrame) -> pd.DataFrame:
-        ny, nx, g = rasters(tile, ["z", "facet", "r"])
-        ok = np.isfinite(g["z"]) & np.isfinite(g["facet"])
-        area = np.where(ok, dx * dx, np.nan)
-        jj, ii = np.nonzero(ok)
-        for n in np.lexsort((ii, jj, -g["z"][jj, ii])):
-            j, i = jj[n], ii[n]
-            share = g["r"][j, i] / QUARTER
-            for code, part in zip(FACETS[int(g["facet"][j, i])][:2], (1 - share, share), strict=True):
-                di, dj = STEP[code]
-                if 0 <= j + dj < ny and 0 <= i + di < nx and ok[j + dj, i + di]:
-                    area[j + dj, i + di] += part * area[j, i]
-        return tile.assign(area_dinf=area[tile["j"], tile["i"]])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields), "area_dinf double"])
-    out = cells.groupBy("tile_id").applyInPandas(spread, schema)
-    return out.withColumn("area_dinf", F.when(~F.isnan("area_dinf"), F.col("area_dinf")))
+    kind = cells.schema["tile_id"].dataType.simpleString()
+    place = [F.floor(F.col(c) / block).cast("int").alias(f"b{c}") for c in "ji"]
+    edges = stage(dinf_edges(cells).select("*", *place), "dinf-edges")
+    schema = f"tile_id {kind}, j int, i int, area double, late boolean, here boolean"
+    keys = ["tile_id", "bj", "bi"]
+    come = edges.select(*CELL).distinct().select(*CELL, F.lit(float(dx) * float(dx)).alias("area"), F.lit(False).alias("late"), *place)
+    rounds = []
+    while True:
+        work = edges if not rounds else edges.join(come.select(*keys).distinct(), keys, "left_semi")
+        got = work.groupBy(*keys).cogroup(come.groupBy(*keys)).applyInPandas(lambda rows, new: hand_on(rows, new, block), schema)
+        rounds.append(stage(got, "dinf-round"))
+        crossed = rounds[-1].where("NOT here")
+        if crossed.isEmpty():
+            break
+        come = crossed.groupBy(*CELL, "late").agg(F.sum("area").alias("area")).select(*CELL, "area", "late", *place)
+    total = reduce(DataFrame.unionByName, rounds).where("here").groupBy(*CELL).agg(F.sum("area").alias("area_dinf"))
+    return cells.join(total, CELL, "left").select(*cells.columns, "area_dinf")
 
 
 def dinf_channels(z: np.ndarray, facet: np.ndarray, r: np.ndarray, slope: np.ndarray, start: np.ndarray, dx: float) -> np.ndarray:

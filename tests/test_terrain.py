@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.solvers import minimise, residual, search, solve_stencil
 from ridgeline.jobs import studies
 from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
+from ridgeline.session import stage
 from ridgeline.sources import grids
 
 
@@ -372,3 +373,37 @@ def test_a_sweep_over_no_cells_and_odd_spacings(spark):
     assert resample.resample_sweep(none, 1.0, targets).count() == 0
     some = resample.resample_sweep(grid(spark, lambda j, i: -j, 4, 4), 1.0, targets).groupBy("dx_id").count().collect()
     assert {r["dx_id"]: r["count"] for r in some} == {0: 4, 2: 1}
+
+
+def dinf_by_order(cells):
+    """Areas as one walk over a whole tile, from high to low, then by rows."""
+    rows = {(r["j"], r["i"]): r for r in cells.collect() if r["z"] is not None and r["facet"] is not None}
+    area = dict.fromkeys(rows, 1.0)
+    out = {}
+    for r in routing.dinf_receivers(cells).collect():
+        out.setdefault((r["j"], r["i"]), []).append(((r["rcv_j"], r["rcv_i"]), r["weight"]))
+    for c in sorted(rows, key=lambda c: (-rows[c]["z"], c)):
+        for to, weight in out.get(c, []):
+            if to in area:
+                area[to] += weight * area[c]
+    return area
+
+
+def test_dinf_area_over_blocks_equals_one_walk(spark):
+    """Rough ground with holes, flats whose cells hand on in both directions, and paths along and across blocks' sides."""
+    rng = np.random.default_rng(4)
+    z = np.round(np.cumsum(rng.random((17, 19)), axis=0) * -2 + 3 * rng.random((17, 19)), 1)
+    z[5:9, 4:12] = z[5, 4]
+    ground = grid(spark, lambda j, i: z[j, i], 17, 19, holes={(3, 3), (12, 8)})
+    cells = stage(routing.dinf_direction(drainage.drain_flats(routing.d8_direction(ground, 1.0)), 1.0), "directed")
+    want = dinf_by_order(cells)
+    for block in (4, 7, 64):
+        got = at(routing.dinf_area(cells, 1.0, block), "area_dinf")
+        assert {c for c, v in got.items() if v is not None} == set(want)
+        assert all(got[c] == pytest.approx(v) for c, v in want.items())
+
+
+def test_dinf_area_of_nothing_and_of_nodata(spark):
+    none = routing.dinf_direction(grid(spark, lambda j, i: -j, 4, 4, holes={(j, i) for j in range(4) for i in range(4)}), 1.0)
+    assert set(at(routing.dinf_area(none, 1.0), "area_dinf").values()) == {None}
+    assert routing.dinf_area(none.where("false"), 1.0).count() == 0
