@@ -789,7 +789,7 @@ def peclet_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(studies.peclet_sweep(peclet_bases(spark, sf_dir), 12.0, 40.0, 4), "sweep")
+    return stage(studies.peclet_sweep(peclet_bases(spark, sf_dir), 12.0, 40.0, 25), "sweep")
 
 
 @query()
@@ -797,9 +797,9 @@ def peclet_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.peclet_curves(sweep(spark, sf_dir))
 
 
-SWEEP_SQL = """base AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS base, 10.0 + 10 * (s_suppkey % 9) AS pe, unnest(range(0, 4)) AS step FROM supplier),
+SWEEP_SQL = """base AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS base, 10.0 + 10 * (s_suppkey % 9) AS pe, unnest(range(0, 25)) AS step FROM supplier),
 sized AS (SELECT *, CAST(round_even(150 / t, 0) AS INTEGER) + 1 AS ny, CAST(round_even(200 / t, 0) AS INTEGER) + 1 + CASE WHEN CAST(round_even(200 / t, 0) AS INTEGER) % 2 = 1 THEN 1 ELSE 0 END AS nx
-  FROM (SELECT *, pow(10, log10(12.0) + step * (log10(40.0) - log10(12.0)) / 3) AS t FROM base)),
+  FROM (SELECT *, pow(10, log10(12.0) + step * (log10(40.0) - log10(12.0)) / 24) AS t FROM base)),
 sweep AS (SELECT base || '@' || CAST(step AS VARCHAR) AS scenario, nx, ny, 200.0 / (nx - 1) AS dx, 150.0 / (ny - 1) AS dy, 1e-4 * 50 * pow(2.59e6, 0.35) / pe AS d,
   greatest(2.59e6 - (nx - 1) * (200.0 / (nx - 1)) * (150.0 / (ny - 1)), 0) AS a_top FROM sized)"""
 

@@ -59,23 +59,36 @@ def upstream_counts(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("dn_j").isNotNull()).groupBy("tile_id", F.col("dn_j").alias("j"), F.col("dn_i").alias("i")).agg(F.count("*").alias("n_up"))
 
 
-def accumulate(edges: DataFrame, cell_area: float, max_rounds: int = 40) -> DataFrame:
+def accumulate(edges: DataFrame, cell_area: float, max_rounds: int = 40, refuse: bool = True) -> DataFrame:
     """(tile_id, j, i, area): drainage area over D8 edges by pointer doubling.
 
-    In each round a cell takes what the cells pointing at it hold, and pointers double. Refuses edges
-    with a cycle: their pointers never end."""
+    In each round a cell takes what the cells pointing at it hold, and pointers double; a tile of n cells has no path of more
+    than n, so what still points on after log2 n rounds is on a cycle or leads to one. Such edges are refused, or, with
+    ``refuse`` off, all of their tile's areas are NULL and the other tiles go on."""
     state = stage(edges.select("tile_id", F.struct("j", "i").alias("node"), F.when(F.col("dn_j").isNotNull(), F.struct(F.col("dn_j").alias("j"), F.col("dn_i").alias("i"))).alias("ptr"), F.lit(float(cell_area)).alias("area")), "flow")
-    for _ in range(max_rounds):
+    largest = state.groupBy("tile_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(min(max_rounds, largest.bit_length() + 1)):
         if state.where(F.col("ptr").isNotNull()).isEmpty():
-            out = state.select("tile_id", "node.j", "node.i", "area")
-            return out
+            break
         given = state.where(F.col("ptr").isNotNull()).groupBy("tile_id", F.col("ptr").alias("node")).agg(F.sum("area").alias("more"))
         ahead = state.select("tile_id", F.col("node").alias("ptr"), F.col("ptr").alias("next"))
         nxt = state.join(given, ["tile_id", "node"], "left").join(ahead, ["tile_id", "ptr"], "left")
         new = stage(nxt.select("tile_id", "node", F.col("next").alias("ptr"), (F.col("area") + F.coalesce("more", F.lit(0.0))).alias("area")), "flow")
         unstage(state)
         state = new
-    raise ValueError("flow directions form a cycle")
+    bad = stage(state.where(F.col("ptr").isNotNull()).groupBy("tile_id").agg(F.lit(True).alias("bad")), "cycles")
+    if refuse and not bad.isEmpty():
+        raise ValueError("flow directions form a cycle")
+    return state.join(bad, "tile_id", "left").select("tile_id", "node.j", "node.i", F.when(F.col("bad").isNull(), F.col("area")).alias("area"))
+
+
+def given_flow(cells: DataFrame, dx: float) -> DataFrame:
+    """Cells with directions from elsewhere (tile_id, j, i, z, fd), with area and ``status``: ok, or that the tile's
+    directions form a cycle, in which case its areas are NULL. Codes that are none of the eight lead nowhere."""
+    area = accumulate(downstream(cells), dx * dx, refuse=False)
+    met = stage(cells.join(area, CELL, "left"), "given-flow")
+    verdict = met.groupBy("tile_id").agg(F.when((F.count("z") > 0) & (F.count("area") == 0), "flow directions form a cycle").otherwise("ok").alias("status"))
+    return met.join(verdict, "tile_id").select(*cells.columns, "area", "status")
 
 
 def path_sums(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -353,10 +366,11 @@ def channel_slope_by_drop(cells: DataFrame, dx: float, interval: float, min_area
 
     An approximation of a smoothed channel slope; it claims no equality with any other. By doubling: each
     level knows where 2^n steps lead, how long they are and the lowest cell on them; going down the
-    levels, a cell jumps as long as nothing on the way is low enough, then takes one step more."""
+    levels, a cell jumps as long as nothing on the way is low enough, then takes one step more. Cells without an area, such as those of a tile whose directions
+    form a cycle, take no part."""
     node = lambda j, i: F.when(F.col(j).isNotNull(), F.struct(F.col(j).alias("j"), F.col(i).alias("i")))
     height = cells.where(F.col("z").isNotNull()).select("tile_id", F.struct("j", "i").alias("node"), "z")
-    edges = downstream(cells).where("dn_j IS NOT NULL").select("tile_id", F.struct("j", "i").alias("node"), node("dn_j", "dn_i").alias("ptr"), (F.col("steps") * dx).alias("length"))
+    edges = downstream(cells.where("area IS NOT NULL")).where("dn_j IS NOT NULL").select("tile_id", F.struct("j", "i").alias("node"), node("dn_j", "dn_i").alias("ptr"), (F.col("steps") * dx).alias("length"))
     low = height.select("tile_id", F.col("node").alias("ptr"), F.col("z").alias("low"))
     levels = [stage(edges.join(low, ["tile_id", "ptr"]).select("tile_id", "node", "ptr", "length", "low", F.lit(True).alias("grew")), "level")]
     while not levels[-1].where("grew").isEmpty():

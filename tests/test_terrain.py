@@ -407,3 +407,15 @@ def test_dinf_area_of_nothing_and_of_nodata(spark):
     none = routing.dinf_direction(grid(spark, lambda j, i: -j, 4, 4, holes={(j, i) for j in range(4) for i in range(4)}), 1.0)
     assert set(at(routing.dinf_area(none, 1.0), "area_dinf").values()) == {None}
     assert routing.dinf_area(none.where("false"), 1.0).count() == 0
+
+
+def test_a_tile_whose_directions_form_a_cycle_has_a_status_and_the_others_go_on(spark):
+    rows = [("bad", 0, 0, 3.0, 1), ("bad", 0, 1, 3.0, 16), ("bad", 0, 2, 4.0, 16), ("bad", 0, 3, 9.0, 64)]
+    rows += [("good", 0, i, 9.0 - i, 1) for i in range(4)] + [("odd", 0, 0, 1.0, 3), ("odd", 0, 1, None, 16)]
+    out = routing.given_flow(spark.createDataFrame(rows, "tile_id string, j int, i int, z double, fd int"), 2.0)
+    got = {(r["tile_id"], r["i"]): (r["area"], r["status"]) for r in out.collect()}
+    assert [got["good", i] for i in range(4)] == [(4.0 * (i + 1), "ok") for i in range(4)]
+    assert {got["bad", i] for i in range(4)} == {(None, "flow directions form a cycle")}
+    assert got["odd", 0] == (4.0, "ok") and got["odd", 1] == (None, "ok")
+    slopes = routing.channel_slope_by_drop(out, 2.0, 1.0, 1.0)
+    assert {r["tile_id"] for r in slopes.collect()} == {"good"}
