@@ -419,3 +419,102 @@ def test_a_tile_whose_directions_form_a_cycle_has_a_status_and_the_others_go_on(
     assert got["odd", 0] == (4.0, "ok") and got["odd", 1] == (None, "ok")
     slopes = routing.channel_slope_by_drop(out, 2.0, 1.0, 1.0)
     assert {r["tile_id"] for r in slopes.collect()} == {"good"}
+
+
+def random_flow(spark, ny=37, nx=29, seed=3):
+    """Filled, routed cells of a random surface that falls to the south, with a hole, and their pointers in Python."""
+    rng = np.random.default_rng(seed)
+    z = 500.0 - 1.5 * np.arange(ny)[:, None] + rng.random((ny, nx)) * 4
+    cells = stage(drainage.fill_pits(grid(spark, lambda j, i: z[j, i], ny, nx, holes={(20, 11), (9, 9)})).select("tile_id", "j", "i", F.col("filled").alias("z")), "random")
+    flowing = stage(drainage.filled_flow(cells, 10.0), "random-flow")
+    rows = {(r["j"], r["i"]): r for r in flowing.collect()}
+    down = {}
+    for (j, i), r in rows.items():
+        di, dj = routing.STEP.get(r["fd"], (0, 0)) if r["z"] is not None else (0, 0)
+        to = (j + dj, i + di)
+        down[j, i] = (to, math.hypot(dj, di)) if (dj or di) and to in rows and rows[to]["z"] is not None else None
+    return flowing, rows, down
+
+
+@pytest.mark.parametrize("block", [4, 7, 64])
+def test_areas_paths_and_falls_over_blocks_equal_walks(spark, block):
+    flowing, rows, down = random_flow(spark)
+    area = dict.fromkeys((c for c, r in rows.items() if r["z"] is not None), 0)
+    for c in area:
+        while c is not None:
+            area[c] += 1
+            c = down[c] and down[c][0]
+    got = at(routing.accumulate(routing.pointed(flowing.drop("area")), 100.0, block=block), "area")
+    assert got == {c: area[c] * 100.0 if c in area else None for c in rows}
+
+    paths = {(r["j"], r["i"]): r for r in routing.channel_paths(flowing, 10.0, 0.5, block).collect()}
+    edge = lambda c: c[0] in (0, 36) or c[1] in (0, 28)
+    falls = {(r["j"], r["i"]): r["slope"] for r in routing.channel_slope_by_drop(flowing, 10.0, 6.0, 200.0, block).collect()}
+    wanted = set()
+    for c in area:
+        here, unit = c, 0.0
+        while not edge(here) and down[here]:
+            unit += 10.0 * down[here][1] / math.sqrt(area[here] * 100.0)
+            here = down[here][0]
+        if edge(here):
+            assert paths[c]["path"] == pytest.approx(rows[here]["z"]) and paths[c]["path_unit"] == pytest.approx(unit)
+        else:
+            assert paths[c]["path"] is None and paths[c]["path_unit"] is None
+        here, run = c, 0.0
+        while down[here] and rows[here]["z"] > rows[c]["z"] - 6.0:
+            run += 10.0 * down[here][1]
+            here = down[here][0]
+        if area[c] >= 2 and run:
+            wanted.add(c)
+            assert falls[c] == pytest.approx((rows[c]["z"] - rows[here]["z"]) / run)
+    assert set(falls) == wanted
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_cycles_are_found_inside_and_across_blocks(spark, block):
+    loop = spark.createDataFrame([("t", 0, 1, 0, 2), ("t", 0, 2, 0, 1), ("t", 0, 0, 0, 1), ("s", 0, 0, 0, 1), ("s", 0, 1, None, None)], "tile_id string, j int, i int, dn_j int, dn_i int")
+    with pytest.raises(ValueError, match="cycle"):
+        routing.accumulate(loop, 1.0, block=block)
+    got = {(r["tile_id"], r["i"]): r["area"] for r in routing.accumulate(loop, 1.0, refuse=False, block=block).collect()}
+    assert got == {("t", 0): None, ("t", 1): None, ("t", 2): None, ("s", 0): 1.0, ("s", 1): 2.0}
+
+
+def static_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_cells_are_not_broadcast(spark):
+    sc = spark.createDataFrame([("s", 1e-4, 1e-5, 0.4, 1e-2, 11, 15, 10.0, 10.0, 500.0)], "scenario string, u double, k double, m double, d double, nx int, ny int, dx double, dy double, a_top double")
+    assert "Broadcast" not in static_plan(models.planform_solutions(sc, False))
+    cells = stage(grid(spark, lambda j, i: j + i), "cells")
+    assert not [x for x in static_plan(resample.resample(cells, 10.0, 20.0)).splitlines() if "BroadcastHashJoin" in x and "cj" in x]
+    flowing = stage(routing.flow(cells, 10.0), "flowing")
+    assert "Broadcast" not in static_plan(routing.channel_slope_by_drop(flowing, 10.0, 5.0, 100.0))
+
+
+def test_scenarios_for_tiles_are_not_limited(spark, monkeypatch):
+    monkeypatch.setattr(models, "MAX_SCENARIOS", 1)
+    z = grid(spark, lambda j, i: 100.0 - j, 6, 5)
+    cells = stage(routing.flow(z.unionByName(z.withColumn("tile_id", F.lit("r"))), 10.0), "flowing")
+    rows = [(f"{t}{n}", "ad", 0.5, 1e-4, 1e-5, 1e-2 * n, 0.0, 1.0, t) for t in "tr" for n in (1, 2)]
+    solved = models.solve_models(cells, spark.createDataFrame(rows, studies.SCENARIO + ", tile_id string"), 10.0)
+    assert {(r["scenario"], r["tile_id"]): r["count"] for r in solved.where("status = 'ok'").groupBy("scenario", "tile_id").count().collect()} == {(r[0], r[-1]): 30 for r in rows}
+    with pytest.raises(ValueError, match="scenarios"):
+        models.solve_models(cells, spark.createDataFrame([r[:-1] for r in rows], studies.SCENARIO), 10.0)
+
+
+def test_zoom_meets_its_sql_on_a_tile_cut_short(spark, tmp_path):
+    from oracle import same_rows
+
+    from ridgeline.jobs.catalog import ORACLE_SQL, QUERIES
+
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 57").write.parquet(str(tmp_path / "embeddings.parquet"))
+    same_rows(QUERIES["zoom_bilinear"](spark, str(tmp_path)), ORACLE_SQL["zoom_bilinear"], str(tmp_path))
+
+
+def test_fixed_exponent_fit_equals_two_passes(spark):
+    rng = np.random.default_rng(5)
+    a, s = 10 ** rng.uniform(2, 6, 200), 10 ** rng.uniform(-3, -1, 200)
+    fit = slope_area.fit_fixed(spark.createDataFrame([("g", float(x), float(y)) for x, y in zip(a, s, strict=True)], "grp string, a double, s double"), ["grp"], 0.45).first()
+    v, y = np.log10(s) + 0.45 * np.log10(a), np.log10(s)
+    assert fit["ks"] == pytest.approx(10 ** v.mean()) and fit["r2"] == pytest.approx(1 - ((v - v.mean()) ** 2).sum() / ((y - y.mean()) ** 2).sum())
