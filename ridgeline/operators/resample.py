@@ -32,7 +32,8 @@ def sampled(cells: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("y0", y0.cast("int")).withColumn("x0", x0.cast("int")).withColumn("fy", F.col("y") - F.col("y0")).withColumn("fx", F.col("x") - F.col("x0"))
     corners = F.array(*(F.struct((F.col("y0") + a).alias("cj"), (F.col("x0") + b).alias("ci"), ((F.col("fy") if a else 1.0 - F.col("fy")) * (F.col("fx") if b else 1.0 - F.col("fx"))).alias("w")) for a in (0, 1) for b in (0, 1)))
     wide = out.select(*keys, "j", "i", F.explode(corners).alias("c")).select(*keys, "j", "i", "c.cj", "c.ci", "c.w")
-    met = wide.join(cells.select("tile_id", F.col("j").alias("cj"), F.col("i").alias("ci"), "z"), ["tile_id", "cj", "ci"], "left")
+    # what an exploded table holds is not known to the planner: without the hint it would broadcast all cells
+    met = wide.join(cells.select("tile_id", F.col("j").alias("cj"), F.col("i").alias("ci"), "z").hint("merge"), ["tile_id", "cj", "ci"], "left")
     weight = F.coalesce(F.sum(F.when(F.col("z").isNotNull(), F.col("w"))), F.lit(0.0))
     summed = met.groupBy(*keys, "j", "i").agg(weight.alias("weight"), F.sum(F.col("w") * F.col("z")).alias("total"))
     return summed.select(*keys, "j", "i", F.when(F.col("weight") >= 0.5, F.col("total") / F.col("weight")).alias("z"))
