@@ -88,6 +88,7 @@ def binned(points: DataFrame, keys: list[str], min_area: float = 0.0, nbins: int
         raise ValueError("agg is median or mean")
     pts = log_points(points, keys, min_area)
     ends = pts.groupBy(*keys).agg(F.min("log_a").alias("lo"), F.max("log_a").alias("hi"), F.count("*").alias("total")).where((F.col("total") >= MIN_POINTS) & (F.col("hi") > F.col("lo")))
+    ends = stage(ends, "ends")  # small, and known to be: points are not shuffled by key for it
     width = (F.col("hi") - F.col("lo")) / nbins
     placed = pts.join(ends, keys).withColumn("bin", F.least(F.floor((F.col("log_a") - F.col("lo")) / width), F.lit(nbins - 1)).cast("int"))
     if agg == "mean":
@@ -125,7 +126,7 @@ def fit_bins(bins: DataFrame, keys: list[str], weighted: bool = True) -> DataFra
 
 def weighted_r2(rows: DataFrame, keys: list[str], y: str, fitted: str, w: str) -> DataFrame:
     """keys, r2 = 1 - sum w (y - fitted)^2 / sum w (y - weighted mean)^2; NULL without spread."""
-    mean = rows.groupBy(*keys).agg((F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("my"))
+    mean = stage(rows.groupBy(*keys).agg((F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("my")), "means")  # else rows would meet it shuffled, a group a task
     parts = rows.join(mean, keys).groupBy(*keys).agg(F.sum(F.col(w) * F.pow(F.col(y) - F.col(fitted), F.lit(2.0))).alias("res"), F.sum(F.col(w) * F.pow(F.col(y) - F.col("my"), F.lit(2.0))).alias("tot"))
     return parts.select(*keys, F.when(F.col("tot") > 0, 1.0 - F.col("res") / F.col("tot")).alias("r2"))
 
@@ -141,7 +142,8 @@ def iqr_errors(points: DataFrame, bins: DataFrame, keys: list[str], min_area: fl
     low = F.coalesce((before + c) / 2, c - (after - c) / 2)
     high = F.coalesce((after + c) / 2, c + (c - before) / 2)
     edges = bins.select(*keys, "bin", low.alias("e0"), high.alias("e1"))
-    table = edges.groupBy(*keys).agg(F.collect_list(F.struct("bin", "e0", "e1")).alias("edges"))  # at most nbins each
+    edges = stage(edges, "edges")
+    table = stage(edges.groupBy(*keys).agg(F.collect_list(F.struct("bin", "e0", "e1")).alias("edges")), "edge-lists")  # at most nbins each
     at = F.filter("edges", lambda e: (F.col("log_a") >= e["e0"]) & (F.col("log_a") < e["e1"]))
     inside = log_points(points, keys, min_area).join(table, keys).withColumn("bin", F.get(at, F.lit(0))["bin"]).where(F.col("bin").isNotNull())
     q = quantiles(inside, [*keys, "bin"], "s", QUARTILES)
@@ -164,9 +166,8 @@ def fit_fixed(points: DataFrame, keys: list[str], theta: float | Column, min_poi
     intercept is the mean of log S + theta log A."""
     pts = log_points(points, keys)
     c = F.avg(F.col("log_s") + theta * F.col("log_a"))
-    mean = pts.groupBy(*keys).agg(c.alias("c"), F.avg("log_s").alias("my"), F.count("*").alias("n_good"), F.max("log_a").alias("top"))
-    res = F.pow(F.col("log_s") - (F.col("c") - theta * F.col("log_a")), F.lit(2.0))
-    fit = pts.join(mean, keys).groupBy(*keys, "c", "n_good", "top").agg(F.sum(res).alias("res"), F.sum(F.pow(F.col("log_s") - F.col("my"), F.lit(2.0))).alias("tot"))
+    spread = F.var_pop(F.col("log_s") + theta * F.col("log_a"))  # around c, which is its mean
+    fit = pts.groupBy(*keys).agg(c.alias("c"), F.count("*").alias("n_good"), F.max("log_a").alias("top"), spread.alias("res"), F.var_pop("log_s").alias("tot"))
     enough = F.col("n_good") >= min_points
     return fit.select(*keys, F.when(enough, F.pow(F.lit(10.0), "c")).alias("ks"), F.when(enough & (F.col("tot") > 0), 1.0 - F.col("res") / F.col("tot")).alias("r2"), "n_good", F.pow(F.lit(10.0), "top").alias("a_max"))
 
