@@ -518,3 +518,39 @@ def test_fixed_exponent_fit_equals_two_passes(spark):
     fit = slope_area.fit_fixed(spark.createDataFrame([("g", float(x), float(y)) for x, y in zip(a, s, strict=True)], "grp string, a double, s double"), ["grp"], 0.45).first()
     v, y = np.log10(s) + 0.45 * np.log10(a), np.log10(s)
     assert fit["ks"] == pytest.approx(10 ** v.mean()) and fit["r2"] == pytest.approx(1 - ((v - v.mean()) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def test_dinf_directions_are_found_once_and_followed_without_joins_of_edges(spark):
+    cells = routing.dinf_direction(routing.flow(grid(spark, lambda j, i: 50.0 - j + 0.3 * ((5 * i + 3 * j) % 7), 12, 11), 1.0), 1.0)
+    plan = static_plan(routing.dinf_area(cells, 1.0))
+    assert "Window" not in plan and plan.count("SortMergeJoin") == 1
+
+
+def test_dinf_channels_are_those_of_a_plain_queue():
+    """Both elevations from one queue, against a walk with each slope by itself."""
+    rng = np.random.default_rng(9)
+    facet, r, slope = rng.integers(-1, 8, (14, 11)), rng.random((14, 11)) * math.pi / 4, rng.random((14, 11))
+    slope[4, 4] = np.inf
+    start = np.full((14, 11), np.nan)
+    start[-1], start[:, 0], start[7, 6] = rng.random(11), rng.random(14), 2.0
+
+    def walk(s):
+        out = {c: v for c, v in np.ndenumerate(start) if np.isfinite(v)}
+        queue = list(out)
+        for at_ in queue:
+            for cell, n in np.ndenumerate(facet):
+                if n < 0 or cell in out or not np.isfinite(slope[cell]):
+                    continue
+                a, b = ((cell[0] + routing.STEP[k][1], cell[1] + routing.STEP[k][0]) for k in routing.FACETS[n][:2])
+                if at_ not in (a, b):
+                    continue
+                if a in out and b in out:
+                    out[cell] = out[a] + (s * slope[cell] - (out[a] - out[b]) * math.sin(r[cell])) / math.cos(r[cell])
+                else:
+                    out[cell] = out[a] + s * slope[cell] if a in out else out[b] + s * slope[cell] * math.sqrt(2)
+                queue.append(cell)
+        return out
+
+    for got, s in zip(routing.dinf_channels(facet, r, slope, start, 1.0), (0.0, 1.0), strict=True):
+        want = walk(s)
+        assert {c for c, v in np.ndenumerate(got) if np.isfinite(v)} == set(want) and all(got[c] == pytest.approx(v) for c, v in want.items())
