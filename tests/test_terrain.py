@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import minimise, residual, search, solve_stencil
+from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, solve_stencil
 from ridgeline.jobs import studies
 from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
 from ridgeline.session import stage
@@ -554,3 +554,42 @@ def test_dinf_channels_are_those_of_a_plain_queue():
     for got, s in zip(routing.dinf_channels(facet, r, slope, start, 1.0), (0.0, 1.0), strict=True):
         want = walk(s)
         assert {c for c, v in np.ndenumerate(got) if np.isfinite(v)} == set(want) and all(got[c] == pytest.approx(v) for c, v in want.items())
+
+
+def test_rows_stay_narrow_until_a_tile_is_solved(spark, monkeypatch):
+    """What is shuffled for a tile of one block holds no stencils and isn't multiplied by runs; a calibration's neither."""
+    staged, stage = {}, models.stage
+    monkeypatch.setattr(models, "stage", lambda df, name, *more: staged.setdefault(name, stage(df, name, *more)))
+    cells = stage(routing.flow(grid(spark, lambda j, i: 100.0 - 3 * j + 0.01 * ((7 * i + 3 * j) % 5), 12, 9), 10.0), "cells")
+    runs = spark.createDataFrame([(f"r{n}", "threshold", 0.5, 1e-3, 5e-5, 0.1 * n, 700.0, 1.0) for n in range(1, 12)], studies.SCENARIO)
+    solved = models.solve_models(cells, runs, 10.0)
+    assert {r["count"] for r in solved.where("status = 'ok'").groupBy("scenario").count().collect()} == {108} and solved.count() == 11 * 108
+    assert staged["prepared"].count() == 108 and not [t for _, t in staged["prepared"].dtypes if "array" in t]
+    assert max(r["deal"] for r in staged["tile-runs"].collect()) == 1
+    plan = static_plan(models.calibrate(cells, "threshold", {"m": 0.5, "u": 1e-3, "k": 1e-5, "d": 1.0, "a_crit": 300.0}, {"a_crit": (1e2, 1e4)}, 10.0))
+    assert "spread" not in plan and "flow#" not in plan
+
+
+@pytest.mark.parametrize("shape", [(9, 6), (6, 9), (1, 5)])
+def test_one_elimination_serves_every_right_side(shape):
+    rng = np.random.default_rng(7)
+    c = -rng.random((3, 3, *shape))
+    c[1, 1] = 10.0
+    solve = factor_stencil(c)
+    for b in rng.random((3, *shape)):
+        assert np.abs(residual(c, b, solve(b))).max() < 1e-12
+
+
+def test_a_critical_slope_eliminates_once(monkeypatch):
+    made, factored = [], models.factored
+    monkeypatch.setattr(models, "factored", lambda *a: (made.append(1), factored(*a))[1])
+    g = {"valid": np.ones((8, 7), bool), "fd": np.full((8, 7), 4), "z": np.zeros((8, 7))}
+    g |= models.stencils(g, 10.0, "d8")
+    edge = np.ones((8, 7), bool)
+    edge[1:-1, 1:-1] = False
+    g |= {"fixed": edge, "value": np.zeros((8, 7)), "u": np.full((8, 7), 1e-4), "d": np.full((8, 7), 1e-2)}
+    z, settled = models.solve_block(g | {"flow": None}, 0.8, 10.0)
+    assert settled and len(made) == 1 and z[3, 3] > z[1, 1] > 0
+    slope = models.side_slope(z, g["valid"], 10.0)
+    d = g["d"] / (1 - np.clip(slope / 0.8, -0.99, 0.99) ** 2)
+    assert np.abs(residual(d * g["spread"], -g["u"], z)[~edge]).max() < 1e-8
