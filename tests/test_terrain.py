@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, solve_stencil
-from ridgeline.jobs import studies
+from ridgeline.jobs import catalog, studies
 from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
 from ridgeline.session import stage
 from ridgeline.sources import grids
@@ -526,6 +526,40 @@ def test_dinf_directions_are_found_once_and_followed_without_joins_of_edges(spar
     assert "Window" not in plan and plan.count("SortMergeJoin") == 1
 
 
+def test_both_flows_take_one_look_and_one_pass(spark, monkeypatch):
+    """Directions and areas of both routings as found one after another, over blocks that exchange what crosses and in one block; an
+    advection-diffusion run, which has no channels, is checked without their paths."""
+    rng = np.random.default_rng(6)
+    z = np.round(np.cumsum(rng.random((15, 13)), axis=0) * -2 + 2 * rng.random((15, 13)), 2)
+    ground = stage(grid(spark, lambda j, i: z[j, i], 15, 13, holes={(3, 3), (9, 8)}), "ground")
+    apart = stage(routing.dinf_direction(routing.flow(ground, 1.0), 1.0), "apart")
+    shares, looks, look = dinf_by_order(apart), [], routing.eight_neighbours
+    monkeypatch.setattr(routing, "eight_neighbours", lambda *a, **b: (looks.append(1), look(*a, **b))[1])
+    for block in (4, 64):
+        both = routing.both_flows(ground, 1.0, block)
+        got = {(r["j"], r["i"]): r for r in both.collect()}
+        assert len(got) == 15 * 13 and {c for c, r in got.items() if r["area_dinf"] is not None} == set(shares)
+        assert all(r["area_dinf"] == pytest.approx(shares[c]) for c, r in got.items() if c in shares)
+        for c in ("fd", "area", "facet", "r"):
+            assert {k: r[c] for k, r in got.items()} == at(apart, c)
+    assert len(looks) == 2
+    looks.clear()
+    cells = studies.routed(ground, 1.0, dinf=True)
+    assert len(looks) == 1 and "Join" not in static_plan(cells)
+    monkeypatch.setattr(routing, "dinf_channel_paths", None)
+    runs = spark.createDataFrame([("r", "ad", 0.45, 1e-4, 1e-5, 1e-2, 2000.0, 1.27)], studies.SCENARIO)
+    rest = catalog.left_over(models.solve_models(cells, runs, 10.0, "dinf"), cells, runs, "dinf").where("NOT is_boundary").select("rest").collect()
+    assert len(rest) == 13 * 11 and all(r["rest"] is None or abs(r["rest"]) < 1e-8 for r in rest)
+
+
+@pytest.mark.parametrize("holes", [(), {(2, 3)}, {(0, 2), (2, 4)}])
+def test_outlet_inside_moves_to_the_first_valid_end(spark, holes):
+    rows = [("t", j, i, 1.0, 9.0 if (j, i) == (3, 2) else 2.0) for j in range(6) for i in range(5) if (j, i) not in holes] + [("none", 0, 0, None, None)]
+    cells = spark.createDataFrame(rows, "tile_id string, j int, i int, z double, area double")
+    got = routing.perimeter_outlet(cells)
+    assert [tuple(r) for r in got.collect()] == [("t", 5 if (0, 2) in holes else 0, 2)]
+
+
 def test_dinf_channels_are_those_of_a_plain_queue():
     """Both elevations from one queue, against a walk with each slope by itself."""
     rng = np.random.default_rng(9)
