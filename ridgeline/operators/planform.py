@@ -20,16 +20,26 @@ def log_steps(first: float, last: float, count: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.pow(F.lit(10.0), F.lit(a) + k * F.lit((b - a) / (count - 1))))
 
 
+def checked(scenarios: DataFrame) -> DataFrame:
+    """The same scenarios; an error where nx is not odd or a size is below 5."""
+    ok = (F.col("nx") % 2 == 1) & (F.col("nx") >= 5) & (F.col("ny") >= 5)
+    return scenarios.withColumn("nx", F.when(ok, F.col("nx")).otherwise(F.raise_error(F.lit("nx must be odd and nx, ny at least 5")).cast("int")))
+
+
+def area_at(j: Column, i: Column) -> Column:
+    """Drainage area of a scenario's cell: what lies upstream in its row, or a_top and all rows so far in the centre."""
+    nx, ci, c = F.col("nx"), ((F.col("nx") - 1) / 2).cast("int"), F.col("dx") * F.col("dy")
+    return F.when(i < ci, (i + 1) * c).when(i > ci, (nx - i) * c).otherwise(F.col("a_top") + (j + 1) * 2 * ci * c)
+
+
 def planform(scenarios: DataFrame) -> DataFrame:
     """Scenarios (nx, ny, dx, dy, a_top, ...) exploded to cells with area and downstream link.
 
-    Flow runs inward to the centre column, then south; area is what lies upstream in the row, or
-    a_top and all rows so far in the centre. nx must be odd and both sizes at least 5, else an error."""
-    ok = (F.col("nx") % 2 == 1) & (F.col("nx") >= 5) & (F.col("ny") >= 5)
-    checked = scenarios.withColumn("nx", F.when(ok, F.col("nx")).otherwise(F.raise_error(F.lit("nx must be odd and nx, ny at least 5")).cast("int")))
-    cells = checked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
-    ci, c = ((F.col("nx") - 1) / 2).cast("int"), F.col("dx") * F.col("dy")
-    area = F.when(F.col("i") < ci, (F.col("i") + 1) * c).when(F.col("i") > ci, (F.col("nx") - F.col("i")) * c).otherwise(F.col("a_top") + (F.col("j") + 1) * 2 * ci * c)
+    Flow runs inward to the centre column, then south; for the area see :func:`area_at`.
+    nx must be odd and both sizes at least 5, else an error."""
+    cells = checked(scenarios).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
+    ci = ((F.col("nx") - 1) / 2).cast("int")
+    area = area_at(F.col("j"), F.col("i"))
     is_outlet = (F.col("i") == ci) & (F.col("j") == F.col("ny") - 1)
     dn_i = F.when(F.col("i") < ci, F.col("i") + 1).when(F.col("i") > ci, F.col("i") - 1).otherwise(F.col("i"))
     dn_j = F.when((F.col("i") == ci) & ~is_outlet, F.col("j") + 1).otherwise(F.col("j"))

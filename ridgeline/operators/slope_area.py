@@ -181,6 +181,37 @@ def local_ks(points: DataFrame, keys: list[str], m: float | Column, min_points:
     return q.select(*keys, *(F.when(enough, F.col("q")[k]).alias(f"ks_{name}") for k, name in ((1, "median"), (0, "q25"), (2, "q75"))), "n")
 
 
+def quantiles_in_row(values: Column, probs: tuple[float, ...]) -> list[Column]:
+    """Exact quantiles, linear between ranks, of the known values of an array; NULL without any."""
+    known = F.array_sort(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v)))
+    out = []
+    for p in probs:
+        x = p * (F.size(known) - 1)
+        low, high = F.get(known, F.floor(x).cast("int")), F.get(known, F.ceil(x).cast("int"))
+        out.append(low + (x - F.floor(x)) * (high - low))
+    return out
+
+
+def fit_in_row(rows: DataFrame, points: str, m: Column, min_points: int = 5) -> DataFrame:
+    """Append ks, r2, n_good of :func:`fit_fixed` and ks_median, ks_q25, ks_q75 of :func:`local_ks` for an array of points (a, s) in each
+    row: a few points each for many keys, which need no grouping. n_good is NULL without a usable point."""
+    good = F.filter(points, lambda p: finite(p["a"]) & finite(p["s"]) & (p["a"] > 0) & (p["s"] > 0))
+    mean = lambda c, f: F.try_divide(F.aggregate(c, F.lit(0.0), lambda t, x: t + f(x)), F.size(c))
+    spread = lambda c: mean(F.col(c), lambda x: (x - F.col(f"{c}_mean")) * (x - F.col(f"{c}_mean")))
+    df = rows.withColumn("_good", good).withColumns({
+        "_y": F.transform("_good", lambda p: F.log10(p["s"])), "_c": F.transform("_good", lambda p: F.log10(p["s"]) + m * F.log10(p["a"])),
+        "_ks": F.array_sort(F.filter(F.transform("_good", lambda p: p["s"] * F.pow(p["a"], m)), lambda v: v > 0)), "_n": F.size("_good"),
+    })
+    df = df.withColumns({f"{c}_mean": mean(F.col(c), lambda x: x) for c in ("_y", "_c")})
+    df = df.withColumns({"_tot": spread("_y"), "_res": spread("_c")})
+    enough, some = F.col("_n") >= min_points, F.size("_ks") >= min_points
+    local = zip(("ks_q25", "ks_median", "ks_q75"), quantiles_in_row(F.col("_ks"), QUARTILES), strict=True)
+    return df.select(
+        *rows.columns, F.when(enough, F.pow(F.lit(10.0), "_c_mean")).alias("ks"), F.when(enough & (F.col("_tot") > 0), 1.0 - F.col("_res") / F.col("_tot")).alias("r2"),
+        F.when(F.col("_n") > 0, F.col("_n").cast("long")).alias("n_good"), *(F.when(some, q).alias(n) for n, q in local),
+    )
+
+
 def guarded_ratio(over: Column, under: Column) -> Column:
     """over / under where both are finite and positive, else NULL."""
     return F.when(finite(over) & finite(under) & (over > 0) & (under > 0), over / under)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, solve_stencil
+from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, solve_crosses, solve_stencil
 from ridgeline.jobs import catalog, studies
 from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
 from ridgeline.session import stage
@@ -627,3 +627,75 @@ def test_a_critical_slope_eliminates_once(monkeypatch):
     slope = models.side_slope(z, g["valid"], 10.0)
     d = g["d"] / (1 - np.clip(slope / 0.8, -0.99, 0.99) ** 2)
     assert np.abs(residual(d * g["spread"], -g["u"], z)[~edge]).max() < 1e-8
+
+
+PLANFORM_KINDS = "scenario string, u double, k double, m double, d double, nx int, ny int, dx double, dy double, a_top double"
+
+
+def planforms(spark):
+    return spark.createDataFrame([(f"s{n}", 1e-4, 1e-5 * (1 + n % 3), 0.4, 1e-2, 7 + 2 * (n % 3), 6 + n % 5, 10.0, 8.0, 100.0 * n) for n in range(12)], PLANFORM_KINDS)
+
+
+@pytest.mark.parametrize("shape", [(5, 9), (9, 5)])
+def test_many_systems_are_solved_as_each_by_itself(shape):
+    rng = np.random.default_rng(6)
+    c, b = rng.random((5, 4, *shape)), rng.random((4, *shape))
+    c[2] += 5
+    together = solve_crosses(c, b)
+    for n in range(4):
+        nine = np.zeros((9, *shape))
+        nine[[1, 3, 4, 5, 7]] = c[:, n]
+        assert np.allclose(together[n], solve_stencil(nine.reshape(3, 3, *shape), b[n]))
+
+
+@pytest.mark.parametrize("no_flux", [False, True])
+def test_planforms_need_no_group_each_and_meet_their_written_equations(spark, no_flux):
+    sc = planforms(spark)
+    solved = models.planform_solutions(sc, no_flux)
+    assert "GroupsInPandas" not in static_plan(solved)
+    key = lambda r: (r["scenario"], r["j"], r["i"])
+    equations = models.planform_system(sc, no_flux)
+    want = {key(r): r["z"] for r in models.relax(equations.drop("area"), 1.0).collect()}
+    areas = {key(r): r["area"] for r in equations.select("scenario", "j", "i", "area").collect()}
+    got = {key(r): r for r in solved.collect()}
+    assert got.keys() == want.keys() and {r["status"] for r in got.values()} == {"ok"}
+    assert all(r["z"] == pytest.approx(want[c], abs=1e-9) and r["area"] == areas[c] for c, r in got.items())
+
+
+def test_a_planform_that_cannot_be_solved_has_a_status_and_those_of_its_shape_go_on(spark):
+    sc = planforms(spark).where("scenario IN ('s0', 's1')").withColumn("nx", F.lit(7)).withColumn("ny", F.lit(6))
+    sc = sc.withColumns({c: F.when(F.col("scenario") == "s0", 0.0).otherwise(F.col(c)) for c in ("k", "d")})
+    rows = models.planform_solutions(sc, False).groupBy("scenario", F.col("status") == "ok").agg(F.count("*"), F.count("z")).collect()
+    assert {tuple(r) for r in rows} == {("s0", False, 42, 0), ("s1", True, 42, 42)}
+
+
+def test_curves_of_many_scenarios_shuffle_and_group_nothing_by_scenario(spark):
+    sc = stage(planforms(spark), "scenarios")
+    plan = static_plan(studies.peclet_curves(sc))
+    assert not [x for x in ("Window", "Join", "Aggregate", "GroupsInPandas") if x in plan]
+    assert "Exchange" not in static_plan(studies.peclet_curves(sc, profiles=lambda s: s.withColumns({c: F.transform(F.sequence(F.lit(0), "ny"), lambda j: -1.0 * j) for c in models.PROFILES})))
+
+
+def test_curves_are_those_of_the_cells_also_for_larger_planforms(spark):
+    """Medians, fits and quartiles from the solved cells themselves; with blocks of 8 cells the same profiles come from blocks."""
+    sc = planforms(spark)
+    got = {r["scenario"]: r for r in studies.peclet_curves(sc, min_points=3).collect()}
+    cells = {flag: {(r["scenario"], r["j"], r["i"]): r for r in models.planform_solutions(sc, flag).collect()} for flag in (False, True)}
+    for p in sc.collect():
+        name, ci, over = p["scenario"], p["nx"] // 2, p["u"] / p["k"]
+        rows = range(int(np.floor(0.2 * p["ny"])), int(np.ceil((1 - 0.2) * p["ny"])))
+        z = lambda j, i: cells[False][name, j, i]["z"]  # noqa: B023, E731
+        lap = [(z(j, ci + 1) - 2 * z(j, ci) + z(j, ci - 1)) / p["dx"] ** 2 + (z(j + 1, ci) - 2 * z(j, ci) + z(j - 1, ci)) / p["dy"] ** 2 for j in rows]
+        assert got[name]["ks_curvature"] == pytest.approx(np.median([1 + p["d"] / p["k"] * x / over for x in lap]))
+        line = [cells[True][name, j, ci] for j in range(p["ny"])]
+        s, a = np.array([(line[j]["z"] - line[j + 1]["z"]) / p["dy"] for j in rows]), np.array([line[j]["area"] for j in rows])
+        s, a = s[s > 0], a[s > 0]
+        v, y = np.log10(s) + p["m"] * np.log10(a), np.log10(s)
+        assert got[name]["n_fit"] == len(s) >= 3 and got[name]["ks_fit"] == pytest.approx(10 ** v.mean() / over)
+        assert got[name]["r2_fit"] == pytest.approx(1 - ((v - v.mean()) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+        assert [got[name][c] for c in ("ks_q25", "ks_local", "ks_q75")] == pytest.approx(list(np.quantile(s * a ** p["m"], (0.25, 0.5, 0.75)) / over))
+    few = sc.where("scenario IN ('s0', 's5')")
+    for r in studies.peclet_curves(few, profiles=lambda s: models.planform_profiles(s, block=8)).collect():
+        assert [r[c] for c in ("ks_curvature", "ks_fit", "ks_local")] == pytest.approx([got[r["scenario"]][c] for c in ("ks_curvature", "ks_fit", "ks_local")], rel=1e-4)
+    flat = studies.peclet_curves(few, profiles=lambda s: s.withColumns({c: F.array_repeat(F.lit(1.0), F.col("ny")) for c in models.PROFILES})).collect()
+    assert {(r["n_fit"], r["ks_fit"], r["ks_local"], r["ks_curvature"]) for r in flat} == {(None, None, None, 1.0)}
