@@ -21,7 +21,7 @@ def sampled(cells: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
 
     Output size is round(n * factor) (half to even); sample k stands at k (n - 1) / (size - 1). Corner
     values are weighted bilinearly, NoData with weight zero; a cell whose valid weight is below one half
-    is NULL. Each output cell joins its four corners, rows of a grid are dealt over tasks; a tile needs no other."""
+    is NULL. Each output cell joins the square of cells that it lies in, rows of a grid are dealt over tasks; a tile needs no other."""
     size = lambda n, f: F.greatest(F.bround(F.col(n) * F.col(f)), F.lit(1)).cast("int")
     box = grids.withColumn("my", size("ny", "fy")).withColumn("mx", size("nx", "fx")).drop("fy", "fx")
     rows = box.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("my") - 1))).repartition(*keys, "j")
@@ -30,12 +30,17 @@ def sampled(cells: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("y", place("j", "ny", "my")).withColumn("x", place("i", "nx", "mx"))
     y0, x0 = F.least(F.floor("y"), F.greatest(F.col("ny") - 2, F.lit(0))), F.least(F.floor("x"), F.greatest(F.col("nx") - 2, F.lit(0)))
     out = out.withColumn("y0", y0.cast("int")).withColumn("x0", x0.cast("int")).withColumn("fy", F.col("y") - F.col("y0")).withColumn("fx", F.col("x") - F.col("x0"))
-    corners = F.array(*(F.struct((F.col("y0") + a).alias("cj"), (F.col("x0") + b).alias("ci"), ((F.col("fy") if a else 1.0 - F.col("fy")) * (F.col("fx") if b else 1.0 - F.col("fx"))).alias("w")) for a in (0, 1) for b in (0, 1)))
-    wide = out.select(*keys, "j", "i", F.explode(corners).alias("c")).select(*keys, "j", "i", "c.cj", "c.ci", "c.w")
+    # a cell is a corner of four squares of neighbouring cells: squares are as many as cells, however many grids are sampled from them
+    corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
+    parts = cells.where("z IS NOT NULL").select("tile_id", "j", "i", "z", corner.alias("c")).select("tile_id", (F.col("j") - F.col("c.a")).alias("y0"), (F.col("i") - F.col("c.b")).alias("x0"), "c", "z")
+    squares = parts.groupBy("tile_id", "y0", "x0").agg(*(F.max(F.when((F.col("c.a") == a) & (F.col("c.b") == b), F.col("z"))).alias(f"z{a}{b}") for a in (0, 1) for b in (0, 1)))
     # what an exploded table holds is not known to the planner: without the hint it would broadcast all cells
-    met = wide.join(cells.select("tile_id", F.col("j").alias("cj"), F.col("i").alias("ci"), "z").hint("merge"), ["tile_id", "cj", "ci"], "left")
-    weight = F.coalesce(F.sum(F.when(F.col("z").isNotNull(), F.col("w"))), F.lit(0.0))
-    summed = met.groupBy(*keys, "j", "i").agg(weight.alias("weight"), F.sum(F.col("w") * F.col("z")).alias("total"))
+    met = out.join(squares.hint("merge"), ["tile_id", "y0", "x0"], "left")
+    share = lambda c, k: F.col(c) if k else 1.0 - F.col(c)
+    weights = [(F.col(f"z{a}{b}"), share("fy", a) * share("fx", b)) for a in (0, 1) for b in (0, 1)]
+    weight = sum((F.when(z.isNotNull(), w).otherwise(0.0) for z, w in weights), F.lit(0.0))
+    total = sum((F.coalesce(w * z, F.lit(0.0)) for z, w in weights), F.lit(0.0))
+    summed = met.select(*keys, "j", "i", weight.alias("weight"), total.alias("total"))
     return summed.select(*keys, "j", "i", F.when(F.col("weight") >= 0.5, F.col("total") / F.col("weight")).alias("z"))
 
 

@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, solve_crosses, solve_stencil
+from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, solve_crosses, solve_stencil, solve_stencils
 from ridgeline.jobs import catalog, studies
 from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
-from ridgeline.session import stage
+from ridgeline.session import in_packs, stage
 from ridgeline.sources import grids
 
 
@@ -699,3 +699,73 @@ def test_curves_are_those_of_the_cells_also_for_larger_planforms(spark):
         assert [r[c] for c in ("ks_curvature", "ks_fit", "ks_local")] == pytest.approx([got[r["scenario"]][c] for c in ("ks_curvature", "ks_fit", "ks_local")], rel=1e-4)
     flat = studies.peclet_curves(few, profiles=lambda s: s.withColumns({c: F.array_repeat(F.lit(1.0), F.col("ny")) for c in models.PROFILES})).collect()
     assert {(r["n_fit"], r["ks_fit"], r["ks_local"], r["ks_curvature"]) for r in flat} == {(None, None, None, 1.0)}
+
+
+def test_packs_are_whole_groups_also_across_batches(spark):
+    """Groups of 1 to 40 rows in batches of 7: each is seen once and whole, with others if it is small."""
+    rows = spark.range(400).selectExpr("id", "cast(cast(sqrt(id * 4) as int) as string) AS tile_id", "cast(id % 2 as int) AS b")
+    sizes = lambda part: part.groupby(["tile_id", "b"]).agg(n=("id", "size"), total=("id", "sum")).reset_index().assign(calls=len(part))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = in_packs(rows, ["tile_id", "b"], sizes, "tile_id string, b int, n int, total long, calls int", least=30).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = {(r[0], r[1]): (r[2], r[3]) for r in rows.groupBy("tile_id", "b").agg(F.count("*"), F.sum("id")).collect()}
+    assert len(got) == len(want) and {(r["tile_id"], r["b"]): (r["n"], r["total"]) for r in got} == want
+    assert sum(r["calls"] > r["n"] for r in got) > len(got) // 2
+
+
+def test_small_tiles_share_a_call(spark, monkeypatch):
+    """What follows paths, fills and solves tiles of one block gets many of them together, and gives what each alone gives."""
+    ground = lambda n: grid(spark, lambda j, i: 50.0 - j + 0.4 * ((5 * i + (3 + n) * j) % 7), 8 + n, 9, holes={(3, n)})
+    tiles = [ground(n).withColumn("tile_id", F.lit(f"t{n}")) for n in range(3)]
+    every = stage(tiles[0].unionByName(tiles[1]).unionByName(tiles[2]), "ground")
+    runs = spark.createDataFrame([("r", "ad", 0.4, 1e-4, 1e-5, 1e-2, 0.0, 1.0), ("s", "ad", 0.5, 1e-4, 2e-5, 1e-2, 0.0, 1.0)], studies.SCENARIO)
+
+    def study(cells):
+        filled = stage(drainage.fill_pits(cells).select("tile_id", "j", "i", F.col("filled").alias("z")), "filled")
+        flowing = stage(studies.routed(filled, 10.0, True, filled=True), "flowing")
+        slopes = routing.channel_slope_by_drop(flowing, 10.0, 2.0, 200.0)
+        solved = models.solve_models(flowing, runs, 10.0, "dinf")
+        return {("z", *r[:4]): r[4:] for r in solved.select("scenario", "tile_id", "j", "i", "z", "status").collect()} | {(r[0], r[1], r[2]): r[3:] for r in slopes.collect()} | {("a", r["tile_id"], r["j"], r["i"]): (r["area"], r["area_dinf"]) for r in flowing.collect()}
+
+    plans, kept = [], models.stage
+    for module in (drainage, routing):
+        monkeypatch.setattr(module, "stage", lambda df, name, *a: (plans.append(static_plan(df)) if name in ("flooded", "counted", "walks", "dinf-round") else None, kept(df, name, *a))[1])
+    together = study(every)
+    assert len(plans) >= 4 and not [p for p in plans if "GroupsInPandas" in p]
+    one_by_one = {}
+    for tile in tiles:
+        one_by_one |= study(stage(tile, "tile"))
+    assert together.keys() == one_by_one.keys()
+    for key, values in one_by_one.items():
+        for a, b in zip(together[key], values, strict=True):
+            assert a == b or a == pytest.approx(b, rel=1e-9)
+
+
+@pytest.mark.parametrize("shape", [(5, 9), (9, 5)])
+def test_linear_systems_of_a_shape_are_eliminated_together_and_one_that_fails_is_alone(monkeypatch, shape):
+    rng = np.random.default_rng(7)
+    c, b = rng.random((3, 3, 4, *shape)), rng.random((4, *shape))
+    c[1, 1] += 9
+    together = solve_stencils(c, b)
+    assert all(np.allclose(together[n], solve_stencil(c[:, :, n], b[n])) for n in range(4))
+    systems, calls = [], []
+    for n in range(4):
+        fixed = np.zeros(shape, bool)
+        fixed[0], fixed[-1], fixed[:, 0], fixed[2, 2] = True, True, True, True
+        systems.append({"fixed": fixed, "value": rng.random(shape), "u": np.full(shape, 1e-3), "d": np.full(shape, float(n != 2)), "flow": None, "spread": c[:, :, n]})
+    monkeypatch.setattr(models, "solve_stencils", lambda c, b: (calls.append(c.shape[2]), solve_stencils(c, b))[1])
+    solved = models.solve_linears(systems)
+    assert calls == [4] and [status == "ok" for _, status in solved] == [True, True, False, True] and np.isnan(solved[2][0]).all()
+    for n in (0, 1, 3):
+        assert np.allclose(solved[n][0], models.solve_linear(systems[n], systems[n]["d"]))
+
+
+def test_spacings_join_squares_not_corners(spark):
+    """A grid's cells meet the elevations once, and nothing is grouped by them afterwards."""
+    cells = stage(grid(spark, lambda j, i: j + i), "cells")
+    plan = static_plan(resample.resample(cells, 10.0, 20.0))
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Aggregate" not in above and "Window" not in plan
