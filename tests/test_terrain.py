@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, solve_crosses, solve_stencil, solve_stencils
+from ridgeline.functions.solvers import factor_stencil, minimise, residual, search, search_line, solve_crosses, solve_stencil, solve_stencils
 from ridgeline.jobs import catalog, studies
 from ridgeline.operators import drainage, models, planform, resample, routing, slope_area, stencil
 from ridgeline.session import in_packs, stage
@@ -769,3 +769,46 @@ def test_spacings_join_squares_not_corners(spark):
     plan = static_plan(resample.resample(cells, 10.0, 20.0))
     above = plan[: plan.index("SortMergeJoin")]
     assert "Aggregate" not in above and "Window" not in plan
+
+
+@pytest.mark.parametrize(
+    ("f", "start", "want"),
+    [(lambda x: (x - 0.345) ** 2, -3.0, 0.345), (lambda x: abs(x + 7.9), 0.0, -7.9), (lambda x: x, 0.0, -8.0), (lambda x: -x, 0.5, 1.0), (lambda x: (x + 8) ** 2, -8.0, -8.0),
+     (lambda x: 1 - math.exp(-((x + 5) ** 2)), -3.0, -5.0), (lambda x: math.nan if x > -2 else (x + 3) ** 2, -2.5, -3.0)],
+)
+def test_a_line_search_finds_the_bottom_inside_and_at_the_ends_of_its_box(f, start, want):
+    met = []
+    x, value, converged = search_line(lambda p: (met.append(p[0]), f(p[0]))[1], start, -8.0, 1.0, 400)
+    assert converged and x[0] == pytest.approx(want, abs=1e-4) and value == f(x[0])
+    assert len(met) < 30 and -8 <= min(met) and max(met) <= 1
+    assert not search_line(lambda p: f(p[0]), start, -8.0, 1.0, 3)[2] and not search_line(lambda p: math.nan, start, -8.0, 1.0, 400)[2]
+
+
+def rough_tile(seed):
+    """Prepared cells of a tile that no model fits exactly."""
+    rng = np.random.default_rng(seed)
+    ny, nx = 9, 8
+    edge = np.ones((ny, nx), bool)
+    edge[1:-1, 1:-1] = False
+    z = 100 - 3.0 * np.indices((ny, nx))[0] + rng.random((ny, nx))
+    g = {"z": z, "valid": np.ones((ny, nx), bool), "drive": 100.0 * rng.integers(1, 20, (ny, nx)), "fd": np.full((ny, nx), 4.0), "is_boundary": edge, "edge_outlet": edge & False}
+    return g | models.stencils(g, 10.0, "d8")
+
+
+@pytest.mark.parametrize("bounds", [{"k": (1e-7, 1e-3), "d": (1e-4, 1e1)}, {"k": (1e-5, 1e-4), "d": (1e-2, 3e-2)}, {"d": (1e-4, 1e1), "m": (0.2, 0.8), "k": (1e-7, 1e-3)}])
+def test_fitting_by_ratio_is_as_good_as_a_search_over_both_and_eliminates_less(monkeypatch, bounds):
+    base = {"m": 0.45, "u": 1e-3, "k": 1e-5, "d": 1e-2, "a_crit": 0.0, "s_c": 1.0}
+    g = rough_tile(3)
+    loss = lambda p: float(np.mean((models.solve_block(models.posed(g, base | {"model": "ad"} | p), None, 10.0)[0] - g["z"]) ** 2))
+    low, high = (np.log10([bounds[n][e] for n in bounds]) for e in (0, 1))
+    calls, factored = [], models.factored
+    monkeypatch.setattr(models, "factored", lambda *a: (calls.append(1), factored(*a))[1])
+    start = np.clip(np.log10([base[n] for n in bounds]), low, high)
+    _, want, _ = search(lambda x: loss(dict(zip(bounds, 10.0**x, strict=True))), start, low, high, 400)
+    before = len(calls)
+    found, value, first, converged = models.search_ratio(g, base, bounds, 400)
+    assert converged and first == pytest.approx(loss(dict(zip(bounds, 10.0**start, strict=True))))
+    assert value == pytest.approx(loss(found), rel=1e-6) and value <= want * (1 + 1e-4)
+    assert all(a * (1 - 1e-9) <= found[n] <= b * (1 + 1e-9) for n, (a, b) in bounds.items())
+    assert len(bounds) > 2 or len(calls) - before < 35
+    assert bounds != {"k": (1e-7, 1e-3), "d": (1e-4, 1e1)} or before > 60  # a narrow box ends both soon
